@@ -1,0 +1,11 @@
+"""Training-data operators: one module for each, plus `queries` with what the driver runs.
+
+The helpers that run in Python workers travel by value, so executors need not
+have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
