@@ -34,6 +34,8 @@ LEAF = 16_384
 #: A window's first reach to either side of a seam, in characters.
 REACH = 64
 MARGIN = 3
+#: White space that every reading of the pattern takes for such.
+SEAMS = " \n\r\t"
 
 
 @lru_cache(maxsize=4)
@@ -52,14 +54,14 @@ def vocabulary(path: str, pattern: str):
 def seam_left(text: str, lo: int, at: int, reach: int) -> int | None:
     """The last place before `at` where white space follows another character, not below `lo` and within reach."""
     for i in range(at - MARGIN, max(lo, at - reach), -1):
-        if text[i].isspace() and not text[i - 1].isspace():
+        if text[i] in SEAMS and not text[i - 1].isspace():
             return i
     return lo if at - reach <= lo else None
 
 
 def seam_right(text: str, at: int, hi: int, reach: int) -> int | None:
     for i in range(at + MARGIN, min(hi, at + reach)):
-        if text[i].isspace() and not text[i - 1].isspace():
+        if text[i] in SEAMS and not text[i - 1].isspace():
             return i
     return hi if at + reach >= hi else None
 
