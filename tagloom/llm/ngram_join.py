@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Kept, sliced
 from .components import components
+from .decontaminate import sized
 from .shingles import mix, shingle_sets
 
 #: Elements a part at the largest size of an instance's own band. Larger: fewer signatures, of which more need a finer partition.
@@ -92,74 +93,74 @@ def signatures(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-FIRST = "part int, kind string, doc_id long, n long, k1 long, k2 long, ids binary, counts binary, sigs binary, instances binary"
+def labels(spark, n: int) -> list[int]:
+    """For each of `n` partitions a number that Spark's hash partitioning sends there, so that each gets the same share."""
+    placed = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to"))
+    found = {r.to: r.id for r in placed.groupBy("to").agg(F.min("id").alias("id")).toLocalIterator()}
+    return [found[k] for k in sorted(found)]
 
 
-def _emit(width: int, n_parts: int):
-    """Of each text its size and set hash, and the signatures in packets by part of the signatures' range.
-
-    Within a task only the first of equal sets sends its signatures.
-    """
+def _keys(width: int):
+    """Of each text the size of its set and a 128-bit hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), *((c, pa.int64()) for c in ("doc_id", "n", "k1", "k2")), *((c, pa.binary()) for c in ("ids", "counts", "sigs", "instances"))])
         for batch in sliced(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             value, sizes = shingle_sets(batch.column("text"), width)
             start = np.cumsum(sizes) - sizes
-            k1, k2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-            if has := len(full := np.flatnonzero(sizes)):
+            k1, k2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            if len(full := np.flatnonzero(sizes)):
                 k1[full] = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start[full])
                 k2[full] = np.bitwise_xor.reduceat(mix(value + np.uint64(0x1234567)), start[full])
-            none = [None] * len(ids)
-            yield pa.record_batch([pa.array((ids % n_parts).astype(np.int32)), pa.array(["doc"] * len(ids)), pa.array(ids), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *[pa.array(none, pa.binary())] * 4], schema=schema)
-            if not has:
-                continue
-            new = np.zeros(len(ids), bool)
-            for i in full.tolist():
-                key = (int(k1[i]), int(k2[i]))
-                if key not in seen:
-                    seen.add(key)
-                    new[i] = True
-            own = np.repeat(new, sizes)
-            doc, instance, sig = signatures(value[own], sizes[new])
-            names = ids[new]
-            to = (sig >> np.uint64(40)).astype(np.int64) % n_parts
-            order = np.lexsort((doc, to))
-            doc, instance, sig, to = doc[order], instance[order].astype(np.uint8), sig[order], to[order]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
+
+    return run
+
+
+def _emit(width: int, to_label: list[int]):
+    """The signatures in packets, one for each part of their range: 40 bits of each, and runs of documents and instances."""
+    label, n_parts = np.array(to_label, np.int32), len(to_label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc, instance, sig = signatures(*shingle_sets(batch.column("text"), width))
+            to = ((sig >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
+            run_of = doc * 256 + instance
+            order = np.lexsort((run_of, to))
+            run_of, sig, to = run_of[order], sig[order], to[order]
             cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                d, c = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(to[a]), names[d].tobytes(), c.astype(np.int32).tobytes(), sig[a:b].tobytes(), instance[a:b].tobytes()))
+                runs, count = np.unique(run_of[a:b], return_counts=True)
+                low = (sig[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                high = (sig[a:b] >> np.uint64(32)).astype(np.uint8)
+                rows.append((int(label[to[a]]), ids[runs // 256].tobytes(), (runs % 256).astype(np.uint8).tobytes(), count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes(), low.tobytes(), high.tobytes()))
             if rows:
-                none = [None] * len(rows)
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array(["sig"] * len(rows)), *[pa.array(none, pa.int64())] * 4, *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3, 4))], schema=schema)
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6))], names=["part", "ids", "instances", "counts", "low", "high"])
 
     return run
 
 
-SECOND = "kind string, doc_id long, n long, k1 long, k2 long, sig long, instance int"
+PACKETS = "part int, ids binary, instances binary, counts binary, low binary, high binary"
+MEMBERS = "bucket long, instance int, rep long, hub long"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes on texts' rows; of signatures only those that two texts or more of this part have."""
-    schema = pa.schema([("kind", pa.string()), *((c, pa.int64()) for c in ("doc_id", "n", "k1", "k2", "sig")), ("instance", pa.int32())])
-    sigs, docs, instances = [], [], []
+    """The members of each bucket of two or more in this part, with the smallest of them."""
+    sigs, docs, instances, part = [], [], [], 0
     for batch in batches:
-        t = pa.table(batch)
-        whole = t.filter(pa.compute.equal(t["kind"], "doc"))
-        if whole.num_rows:
-            none = pa.nulls(whole.num_rows)
-            yield from pa.table([*(whole[c].combine_chunks() for c in ("kind", "doc_id", "n", "k1", "k2")), none.cast(pa.int64()), none.cast(pa.int32())], schema=schema).to_batches()
-        for r in t.filter(pa.compute.equal(t["kind"], "sig")).select(["ids", "counts", "sigs", "instances"]).to_pylist():
-            docs.append(np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int32)))
-            sigs.append(np.frombuffer(r["sigs"], np.int64))
-            instances.append(np.frombuffer(r["instances"], np.uint8))
+        for r in batch.to_pylist():
+            ids = np.frombuffer(r["ids"], np.int64)
+            counts = np.frombuffer(r["counts"], np.uint16 if len(r["counts"]) == 2 * len(ids) else np.uint32)
+            docs.append(np.repeat(ids, counts))
+            instances.append(np.repeat(np.frombuffer(r["instances"], np.uint8), counts))
+            sigs.append(np.frombuffer(r["low"], np.uint32).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
+            part = r["part"]
     if not sigs:
         return
-    sig, doc, instance = np.concatenate(sigs), np.concatenate(docs), np.concatenate(instances)
+    doc, instance = np.concatenate(docs), np.concatenate(instances)
+    # 40 bits may meet by chance (and are then told apart by what follows), but only within an instance
+    sig = np.concatenate(sigs) << 8 | instance
     del sigs, docs, instances
     order = np.argsort(sig)
     sig = sig[order]
@@ -168,10 +169,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several[1:] |= same
     several[:-1] |= same
     order, sig = order[several], sig[several]
+    if not len(sig):
+        return
     doc, instance = doc[order], instance[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+    hub = np.minimum.reduceat(doc, starts)[number]
+    bucket = (np.int64(part) << np.int64(40)) + number
     for a in range(0, len(sig), 50_000):
-        n = len(sig[a : a + 50_000])
-        yield pa.record_batch([pa.array(["sig"] * n), pa.array(doc[a : a + n]), *[pa.nulls(n, pa.int64())] * 3, pa.array(sig[a : a + n]), pa.array(instance[a : a + n].astype(np.int32))], schema=schema)
+        cut = slice(a, a + 50_000)
+        yield pa.record_batch([pa.array(bucket[cut]), pa.array(instance[cut].astype(np.int32)), pa.array(doc[cut]), pa.array(hub[cut])], names=["bucket", "instance", "rep", "hub"])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches don't rule out."""
+    for batch in sliced(batches):
+        d = {c: batch.column(c) for c in ("a", "b", "na", "nb")}
+        differ = [np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+        ok = 7 * np.array(differ, np.int64) <= d["na"].to_numpy() + d["nb"].to_numpy()
+        yield pa.record_batch([d["a"], d["b"]], names=["a", "b"]).filter(pa.array(ok))
 
 
 def _sets(width: int):
@@ -184,24 +200,26 @@ def _sets(width: int):
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sketch for each instance in which a set takes part: a byte of hash of what each part holds."""
-    for batch in sliced(batches):
-        lists = batch.column("shingles")
-        value = lists.flatten().to_numpy().view(np.uint64)
-        sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-        ids = batch.column("doc_id").to_numpy()
-        for below in (0, 1):
-            instance = band_of(sizes) - below
-            ok = instance >= 0
-            if not ok.any():
-                continue
-            parts = parts_of(instance[ok]) * 3
-            held, count = contents(value[np.repeat(ok, sizes)], sizes[ok], parts, 7)
-            held = np.where(count > 0, (held >> np.uint64(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
-            cuts = np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(cuts), pa.py_buffer(held)])
-            yield pa.record_batch([pa.array(ids[ok]), pa.array(instance[ok].astype(np.int32)), pa.array(sizes[ok]), blobs], names=["doc_id", "instance", "n", "sketch"])
+def _sketches(width: int):
+    """A sketch for each instance in which a text's set takes part: a byte of hash of what each part holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            value, sizes = shingle_sets(batch.column("text"), width)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for below in (0, 1):
+                instance = band_of(np.maximum(sizes, 1)) - below
+                ok = (instance >= 0) & (sizes > 0)
+                if not ok.any():
+                    continue
+                parts = parts_of(instance[ok]) * 3 // 2 + 1
+                held, count = contents(value[np.repeat(ok, sizes)], sizes[ok], parts, 7)
+                held = np.where(count > 0, (held >> np.uint64(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
+                cuts = np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(cuts), pa.py_buffer(held)])
+                yield pa.record_batch([pa.array(ids[ok]), pa.array(instance[ok].astype(np.int32)), pa.array(sizes[ok].astype(np.int64)), blobs], names=["doc_id", "instance", "n", "sketch"])
+
+    return run
 
 
 def _pairs_of(g: dict[str, np.ndarray], sketch: np.ndarray, one: int, two: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -267,12 +285,17 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(pa.Table.from_batches(rest), True)[0]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs `a`, `b` of which 100 * intersection >= 75 * union."""
+def _linked(pairs: DataFrame, single: DataFrame, width: int, kept: Kept) -> DataFrame:
+    """Those pairs `a`, `b` of which 100 * intersection >= 75 * union. Sets are made of the texts that the pairs name, and of no others."""
+    pairs = kept.write(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = kept.write(single.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    out = kept.write(pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
+    kept.drop(pairs, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -280,43 +303,43 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     kept = Kept(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    keys = kept.write(docs.mapInArrow(_keys(width), "doc_id long, n long, k1 long, k2 long"))
+    classes = keys.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    of = kept.write(keys.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    kept.drop(keys)
+    # one text of each class goes on
+    copies = of.where("rep <> doc_id").select("doc_id").distinct()
+    single = docs.join(sized(copies), "doc_id", "left_anti")
+
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = docs.mapInArrow(_emit(width, 8 * n_parts), FIRST).repartition(n_parts, "part")
-    met = kept.write(first.mapInArrow(_meet, SECOND))
-    texts = met.where("kind = 'doc'").select("doc_id", "n", "k1", "k2")
-    classes = texts.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    of = kept.write(texts.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-
-    # members of buckets with two classes or more
-    named = met.where("kind = 'sig'").join(of.select("doc_id", "rep").distinct(), "doc_id").groupBy("sig", "rep").agg(F.min("instance").alias("instance"))
-    named = kept.write(named)
-    hubs = named.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    members = kept.write(named.join(hubs.select("sig", "hub"), "sig"))
-    kept.drop(met, named)
+    packets = single.mapInArrow(_emit(width, labels(spark, n_parts)), PACKETS).repartition(n_parts, "part")
+    members = kept.write(packets.mapInArrow(_meet, MEMBERS))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = kept.write(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+    sketches = kept.write(single.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_sketches(width), "doc_id long, instance int, n long, sketch binary"))
 
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = kept.write(_linked(pairs, sets))
+    pairs = members.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("instance").alias("instance"))
+    one = sketches.select(F.col("doc_id").alias("a"), "instance", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("doc_id").alias("b"), "instance", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    close = pairs.join(one, ["a", "instance"]).join(two, ["b", "instance"]).where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    links = _linked(close.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_prune, "a long, b long"), single, width, kept)
     found = kept.write(components(links, kept))
 
-    # what still parts a bucket
-    left = members.join(found, members.rep == found.node, "left").select("sig", "rep", "instance", F.coalesce("component", "rep").alias("component"))
+    # what still parts a bucket: its smallest member has been compared with all others
+    left = members.where("rep <> hub").join(found, members.rep == found.node, "left").select(F.col("bucket").alias("sig"), "rep", "instance", F.coalesce("component", "rep").alias("component")).distinct()
     buckets = left.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep", "instance").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
     buckets = buckets.groupBy("m", "who").agg(F.min("sig").alias("sig"))  # one of those with the same members
-    sketches = sets.mapInArrow(_sketches, "doc_id long, instance int, n long, sketch binary")
     parted = left.join(buckets, "sig").join(sketches.withColumnRenamed("doc_id", "rep"), ["rep", "instance"])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     parted = parted.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", F.col("rep").alias("doc_id"), "component", "n", "sketch")
     dealt = dealt.repartition(n_parts, *GROUP).sortWithinPartitions(*GROUP)
     more = dealt.mapInArrow(_may_link, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links2 = kept.write(_linked(more, sets))
+    links2 = _linked(more, single, width, kept)
     if links2.isEmpty():
         last = found
     else:
         last = kept.write(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links2), kept))
-    kept.drop(members, links, links2, sets)
+    kept.drop(members, links, links2, sketches)
     # a text whose links were found only in itself stays alone
     return of.join(last, of.rep == last.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
