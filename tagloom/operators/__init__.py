@@ -1,0 +1 @@
+"""Operators on tag, file, play, score and vector tables: DataFrames in, DataFrames out."""

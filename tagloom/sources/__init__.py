@@ -1,0 +1 @@
+"""Readers of the standard tables and writers of playlists and bundles."""
