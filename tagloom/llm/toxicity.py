@@ -192,13 +192,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     """The rows of `docs` whose score is below 0.5, in one pass: rows travel through the scorer whole."""
     w, b = fit(docs, labels, max_train)
     with_text = docs.select("*", F.col("text").cast("string").alias("_text"))
-    run = _scorer(w, b)
+    run, columns = _scorer(w, b), docs.columns
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = pa.record_batch([batch.column("_text")], names=["text"])
             # the scorer slices too; its parts come in order
             score = np.concatenate([x.column("score").to_numpy() for x in run([texts])])
-            yield batch.filter(pa.array(score < 0.5)).select(docs.columns)
+            yield batch.filter(pa.array(score < 0.5)).select(columns)
 
     return with_text.mapInArrow(filtered, docs.schema)
