@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 BITS = 18
-MAX_TRAIN = 6_000
-MAX_TRAIN_WORDS = 20_000
+MAX_TRAIN = 3_000
+MAX_TRAIN_WORDS = 4_000
 STEPS = 150
 MIN_DOCS = 3
 PENALTY = 3e-5
