@@ -3,12 +3,13 @@
 Two sets whose similarity is 3/4 or more differ in at most (|A| + |B|) / 7
 elements. Sizes fall into bands of ratio 4/3; a pair lies in one band or two
 neighbouring ones, so that each set takes part in the instance of its own band
-and of the band below. An instance hashes the domain into so many parts that
-more of them hold elements than can differ: one part at least is then the same
-in both sets and not empty. Each part's content, enumerated for each set, is a
-signature, and a pair that links shares one. A set that happens to occupy too
-few parts enumerates finer partitions too, until it occupies enough; a pair
-meets at the finest that either needs.
+and of the band below. An instance hashes the domain into groups of three
+parts, half as many as elements can differ: in one group at least, then, one
+part differs at most. Each two parts of each group, with what the set has in
+them, are a signature, and a pair that links shares one that is not empty. A
+set that leaves too many parts empty for this (a small one, above all)
+enumerates single parts too, of finer and finer partitions, until it occupies
+more of them than can differ; a pair meets at the finest that either needs.
 
 Sets that are equal are one class. Signatures meet in buckets: each bucket's
 smallest member is compared with the others, links are united, and only buckets
@@ -37,8 +38,10 @@ from .components import components
 from .decontaminate import sized
 from .shingles import mix, shingle_sets
 
-#: Elements a part at the largest size of an instance's own band. Larger: fewer signatures, of which more need a finer partition.
-FILL = 2.3
+#: Groups an element at the largest size of an instance's own band: twice as many are to hold more than can differ, a third of the elements.
+GROUPS = 0.2
+#: Parts a sketch has for each group.
+SKETCHED = 4
 BLOCK = 1024
 
 
@@ -47,8 +50,9 @@ def lower_bounds() -> np.ndarray:
     return np.array([(4 / 3) ** i for i in range(120)])
 
 
-def parts_of(instance: np.ndarray) -> np.ndarray:
-    return np.ceil(lower_bounds()[instance + 1] / FILL).astype(np.int64)
+def groups_of(instance: np.ndarray) -> np.ndarray:
+    """First-level partitions of an instance, each of three parts."""
+    return np.ceil(lower_bounds()[instance + 1] * GROUPS).astype(np.int64)
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -77,16 +81,30 @@ def signatures(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
         level = 0
         while len(doc):
             n, instance = sizes[doc], band_of(sizes[doc]) - below
-            parts = parts_of(instance) << level
+            parts = 3 * groups_of(instance) << max(0, level - 1)
             own = np.concatenate([value[ends[d] - sizes[d] : ends[d]] for d in doc]) if len(doc) < len(sizes) else value
             held, count = contents(own, n, parts, 1 + level)
-            owner = np.repeat(np.arange(len(doc)), parts)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            full = count > 0
-            key = mix(held + mix(place.astype(np.uint64) + mix((instance * 64 + level).astype(np.uint64))[owner]))
-            out.append((doc[owner[full]], instance[owner[full]], key[full]))
+            salt = mix((instance * 64 + level).astype(np.uint64))
+            if level == 0:
+                # pairs of a group's parts; a group counts if none of its pairs is empty
+                owner = np.repeat(np.arange(len(doc)), parts // 3)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(parts // 3) - parts // 3, parts // 3)
+                h, c = held.reshape(-1, 3), count.reshape(-1, 3)
+                key = mix(h + mix(mix(h[:, [1, 2, 0]]) + np.arange(3, dtype=np.uint64) + mix(place.astype(np.uint64) + salt[owner])[:, None]))
+                full = (c + c[:, [1, 2, 0]]) > 0
+                who = np.repeat(owner, 3).reshape(-1, 3)[full]
+                whole = 2 * np.bincount(owner, weights=(c > 0).sum(axis=1) >= 2, minlength=len(doc))
+            else:
+                owner = np.repeat(np.arange(len(doc)), parts)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+                key = mix(held + mix(place.astype(np.uint64) + salt[owner]))
+                full = count > 0
+                who = owner[full]
+                whole = np.bincount(who, minlength=len(doc))
+            out.append((doc[who], instance[who], key[full]))
             most = n // 3 if below == 0 else 2 * n // 7
-            doc = doc[np.bincount(owner[full], minlength=len(doc)) <= most]
+            # without a difference the sets are equal, and one class
+            doc = doc[(most > 0) & (whole <= most)]
             level += 1
     if not out:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
@@ -212,7 +230,7 @@ def _sketches(width: int):
                 ok = (instance >= 0) & (sizes > 0)
                 if not ok.any():
                     continue
-                parts = parts_of(instance[ok]) * 3 // 2 + 1
+                parts = groups_of(instance[ok]) * SKETCHED
                 held, count = contents(value[np.repeat(ok, sizes)], sizes[ok], parts, 7)
                 held = np.where(count > 0, (held >> np.uint64(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
                 cuts = np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)
