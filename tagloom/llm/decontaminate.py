@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, words
+from .common import Kept, text_of, words
 
 #: So many of the items' words are looked for in one pass over the documents; more words take more passes.
 WORDS_A_PASS = 20_000
@@ -42,7 +42,8 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFra
     """doc_id, n_words and where item windows occur: `hits`, an array of (start, len), and `items`, of item ids."""
     texts = docs.select("doc_id", words(text_of()).alias("w"))
     found = windows_of(items, window)
-    vocabulary = sorted(r.word for r in found.select(F.explode("w").alias("word")).distinct().toLocalIterator())
+    # the items' vocabulary: it grows with the benchmark, not with the documents
+    vocabulary = sorted(r.word for r in found.select(F.explode("w").alias("word")).distinct().collect())
     seen = None
     for a in range(0, len(vocabulary), WORDS_A_PASS):
         some = vocabulary[a : a + WORDS_A_PASS]
@@ -59,7 +60,9 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFra
         .where("p.n > 0")
         .select("item_id", F.col("w").alias("want"), F.col("p.at").alias("at"), F.col("p.word").alias("word"))
     )
-    tokens = sorted(r.word for r in prefix.select("word").distinct().toLocalIterator())
+    # a row a window: written once, so that the documents are counted once for all its uses
+    prefix = Kept(docs.sparkSession).write(prefix)
+    tokens = sorted(r.word for r in prefix.select("word").distinct().collect())
     hits = texts.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("around", T.ArrayType(T.StringType()))]))).alias("c"))
     for a in range(0, len(tokens), WORDS_A_PASS):
         some = tokens[a : a + WORDS_A_PASS]
