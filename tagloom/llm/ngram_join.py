@@ -14,7 +14,7 @@ more of them than can differ; a pair meets at the finest that either needs.
 Sets that are equal are one class. Signatures meet in buckets: each bucket's
 smallest member is compared with the others, links are united, and only buckets
 that still hold several components go on to a second step: members' sketches
-(a byte a part, so that differing bytes bound the difference from below)
+(four bits a part, so that differing ones bound the difference from below)
 are compared in blocks, and pairs that may link are verified. No pair is lost,
 none is formed within a component, and none is capped.
 
@@ -40,7 +40,7 @@ from .shingles import mix, shingle_sets
 
 #: Groups an element at the largest size of an instance's own band: twice as many are to hold more than can differ, a third of the elements.
 GROUPS = 0.2
-#: Parts a sketch has for each group.
+#: Parts a sketch has for each group, an even number.
 SKETCHED = 4
 BLOCK = 1024
 
@@ -135,14 +135,14 @@ def _keys(width: int):
 
 
 def _emit(width: int, to_label: list[int]):
-    """The signatures in packets, one for each part of their range: 40 bits of each, and runs of documents and instances."""
+    """The signatures in packets, one for each part of their range: 32 bits of each, and runs of documents and instances."""
     label, n_parts = np.array(to_label, np.int32), len(to_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             doc, instance, sig = signatures(*shingle_sets(batch.column("text"), width))
-            to = ((sig >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
+            to = ((sig >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
             run_of = doc * 256 + instance
             order = np.lexsort((run_of, to))
             run_of, sig, to = run_of[order], sig[order], to[order]
@@ -151,15 +151,14 @@ def _emit(width: int, to_label: list[int]):
             for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
                 runs, count = np.unique(run_of[a:b], return_counts=True)
                 low = (sig[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                high = (sig[a:b] >> np.uint64(32)).astype(np.uint8)
-                rows.append((int(label[to[a]]), ids[runs // 256].tobytes(), (runs % 256).astype(np.uint8).tobytes(), count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes(), low.tobytes(), high.tobytes()))
+                rows.append((int(label[to[a]]), ids[runs // 256].tobytes(), (runs % 256).astype(np.uint8).tobytes(), count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes(), low.tobytes()))
             if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6))], names=["part", "ids", "instances", "counts", "low", "high"])
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5))], names=["part", "ids", "instances", "counts", "low"])
 
     return run
 
 
-PACKETS = "part int, ids binary, instances binary, counts binary, low binary, high binary"
+PACKETS = "part int, ids binary, instances binary, counts binary, low binary"
 MEMBERS = "bucket long, instance int, rep long, hub long"
 
 
@@ -172,12 +171,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.frombuffer(r["counts"], np.uint16 if len(r["counts"]) == 2 * len(ids) else np.uint32)
             docs.append(np.repeat(ids, counts))
             instances.append(np.repeat(np.frombuffer(r["instances"], np.uint8), counts))
-            sigs.append(np.frombuffer(r["low"], np.uint32).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
+            sigs.append(np.frombuffer(r["low"], np.uint32).astype(np.int64))
             part = r["part"]
     if not sigs:
         return
     doc, instance = np.concatenate(docs), np.concatenate(instances)
-    # 40 bits may meet by chance (and are then told apart by what follows), but only within an instance
+    # 32 bits may meet by chance (and are then told apart by what follows), but only within an instance
     sig = np.concatenate(sigs) << 8 | instance
     del sigs, docs, instances
     order = np.argsort(sig)
@@ -190,6 +189,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(sig):
         return
     doc, instance = doc[order], instance[order]
+    order = np.lexsort((doc, sig))
+    order = order[np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(doc[order]) != 0)])]
+    sig, doc, instance = sig[order], doc[order], instance[order]
     new = np.concatenate([[True], sig[1:] != sig[:-1]])
     starts, number = np.flatnonzero(new), np.cumsum(new) - 1
     hub = np.minimum.reduceat(doc, starts)[number]
@@ -199,11 +201,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(bucket[cut]), pa.array(instance[cut].astype(np.int32)), pa.array(doc[cut]), pa.array(hub[cut])], names=["bucket", "instance", "rep", "hub"])
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many parts differ between sketches, along the last axis."""
+    d = x ^ y
+    return np.count_nonzero(d & 15, axis=-1) + np.count_nonzero(d >> 4, axis=-1)
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches don't rule out."""
     for batch in sliced(batches):
         d = {c: batch.column(c) for c in ("a", "b", "na", "nb")}
-        differ = [np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+        differ = [differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
         ok = 7 * np.array(differ, np.int64) <= d["na"].to_numpy() + d["nb"].to_numpy()
         yield pa.record_batch([d["a"], d["b"]], names=["a", "b"]).filter(pa.array(ok))
 
@@ -219,7 +227,7 @@ def _sets(width: int):
 
 
 def _sketches(width: int):
-    """A sketch for each instance in which a text's set takes part: a byte of hash of what each part holds."""
+    """A sketch for each instance in which a text's set takes part: four bits of hash of what each part holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -232,8 +240,9 @@ def _sketches(width: int):
                     continue
                 parts = groups_of(instance[ok]) * SKETCHED
                 held, count = contents(value[np.repeat(ok, sizes)], sizes[ok], parts, 7)
-                held = np.where(count > 0, (held >> np.uint64(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
-                cuts = np.concatenate([[0], np.cumsum(parts)]).astype(np.int32)
+                held = np.where(count > 0, np.maximum(held >> np.uint64(60), 1), 0).astype(np.uint8)
+                held = held[::2] | held[1::2] << 4
+                cuts = np.concatenate([[0], np.cumsum(parts // 2)]).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(cuts), pa.py_buffer(held)])
                 yield pa.record_batch([pa.array(ids[ok]), pa.array(instance[ok].astype(np.int32)), pa.array(sizes[ok].astype(np.int64)), blobs], names=["doc_id", "instance", "n", "sketch"])
 
@@ -243,7 +252,7 @@ def _sketches(width: int):
 def _pairs_of(g: dict[str, np.ndarray], sketch: np.ndarray, one: int, two: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one block of a bucket with another, of different components, that the sketches don't rule out.
 
-    A share of the bytes rules out most: what differs there differs in all.
+    A share of the parts rules out most: what differs there differs in all.
     """
     p, q = np.flatnonzero(g["block"] == one), np.flatnonzero(g["block"] == two)
     ids, component, n = g["doc_id"], g["component"], g["n"]
@@ -255,7 +264,7 @@ def _pairs_of(g: dict[str, np.ndarray], sketch: np.ndarray, one: int, two: int)
             at = q[(cq != component[i]) & ((iq > ids[i]) | (one != two)) & (4 * np.minimum(nq, n[i]) >= 3 * np.maximum(nq, n[i]))]
             for s in (share, sketch):
                 if len(at):
-                    at = at[7 * np.count_nonzero(s[at] != s[i], axis=1) <= n[i] + n[at]]
+                    at = at[7 * differing(s[at], s[i]) <= n[i] + n[at]]
             if len(at):
                 out.append((np.full(len(at), ids[i]), ids[at]))
     return out
@@ -343,7 +352,9 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     found = kept.write(components(links, kept))
 
     # what still parts a bucket: its smallest member has been compared with all others
-    left = members.where("rep <> hub").join(found, members.rep == found.node, "left").select(F.col("bucket").alias("sig"), "rep", "instance", F.coalesce("component", "rep").alias("component")).distinct()
+    left = members.where("rep <> hub").join(found, members.rep == found.node, "left").select(F.col("bucket").alias("sig"), "rep", "instance", F.coalesce("component", "rep").alias("component"))
+    # dealt once by bucket: what follows aggregates there, and joins what it has aggregated
+    left = left.repartition(n_parts, "sig")
     buckets = left.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep", "instance").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
     buckets = buckets.groupBy("m", "who").agg(F.min("sig").alias("sig"))  # one of those with the same members
     parted = left.join(buckets, "sig").join(sketches.withColumnRenamed("doc_id", "rep"), ["rep", "instance"])
