@@ -216,12 +216,20 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([d["a"], d["b"]], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _sets(width: int):
+def _alike(width: int):
+    """The pairs of texts whose sets have 100 * intersection >= 75 * union."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            value, sizes = shingle_sets(batch.column("text"), width)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
+            (one, n), (two, m) = (shingle_sets(batch.column(c), width) for c in ("ta", "tb"))
+            row = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
+            value = np.concatenate([one, two])
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            # a set holds a value once, so that one next to its equal is in both
+            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=len(n))
+            ok = (both > 0) & (100 * both >= 75 * (n + m - both))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -313,15 +321,15 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, single: DataFrame, width: int, kept: Kept) -> DataFrame:
-    """Those pairs `a`, `b` of which 100 * intersection >= 75 * union. Sets are made of the texts that the pairs name, and of no others."""
+    """Those pairs `a`, `b` of which 100 * intersection >= 75 * union. Texts that pairs name travel, which compress better than their sets."""
     pairs = kept.write(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = kept.write(single.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    out = kept.write(pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
-    kept.drop(pairs, sets)
+    texts = kept.write(single.join(sized(wanted), "doc_id", "left_semi"))
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    out = kept.write(both.mapInArrow(_alike(width), "a long, b long").distinct())
+    kept.drop(pairs, texts)
     return out
 
 
