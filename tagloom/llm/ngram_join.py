@@ -14,7 +14,7 @@ more of them than can differ; a pair meets at the finest that either needs.
 Sets that are equal are one class. Signatures meet in buckets: each bucket's
 smallest member is compared with the others, links are united, and only buckets
 that still hold several components go on to a second step: members' sketches
-(four bits a part, so that differing ones bound the difference from below)
+(four bits a part: the parity of its elements and a hash of them; parts that differ bound the difference from below, by two where the parity is the same)
 are compared in blocks, and pairs that may link are verified. No pair is lost,
 none is formed within a component, and none is capped.
 
@@ -40,9 +40,12 @@ from .shingles import mix, shingle_sets
 
 #: Groups an element at the largest size of an instance's own band: twice as many are to hold more than can differ, a third of the elements.
 GROUPS = 0.2
-#: Parts a sketch has for each group, an even number.
+#: Parts a sketch has for each group, at least.
 SKETCHED = 4
 BLOCK = 1024
+#: The lowest bit of each four.
+ONES = np.uint64(0x1111111111111111)
+REMEMBERED = 200_000
 
 
 def lower_bounds() -> np.ndarray:
@@ -202,16 +205,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many parts differ between sketches, along the last axis."""
+    """How many elements differ at least between sketches, along the last axis of 64-bit numbers."""
     d = x ^ y
-    return np.count_nonzero(d & 15, axis=-1) + np.count_nonzero(d >> 4, axis=-1)
+    some = (d | d >> np.uint64(1) | d >> np.uint64(2) | d >> np.uint64(3)) & ONES
+    return 2 * np.bitwise_count(some).sum(axis=-1, dtype=np.int64) - np.bitwise_count(d & (ONES << np.uint64(3))).sum(axis=-1, dtype=np.int64)
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches don't rule out."""
     for batch in sliced(batches):
         d = {c: batch.column(c) for c in ("a", "b", "na", "nb")}
-        differ = [differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+        differ = [differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
         ok = 7 * np.array(differ, np.int64) <= d["na"].to_numpy() + d["nb"].to_numpy()
         yield pa.record_batch([d["a"], d["b"]], names=["a", "b"]).filter(pa.array(ok))
 
@@ -235,7 +239,7 @@ def _alike(width: int):
 
 
 def _sketches(width: int):
-    """A sketch for each instance in which a text's set takes part: four bits of hash of what each part holds."""
+    """A sketch for each instance in which a text's set takes part: four bits for what each part holds, its parity the highest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -246,9 +250,9 @@ def _sketches(width: int):
                 ok = (instance >= 0) & (sizes > 0)
                 if not ok.any():
                     continue
-                parts = groups_of(instance[ok]) * SKETCHED
+                parts = -(-groups_of(instance[ok]) * SKETCHED // 16) * 16  # whole 64-bit numbers
                 held, count = contents(value[np.repeat(ok, sizes)], sizes[ok], parts, 7)
-                held = np.where(count > 0, np.maximum(held >> np.uint64(60), 1), 0).astype(np.uint8)
+                held = np.where(count > 0, np.maximum(held >> np.uint64(61), 1), 0).astype(np.uint8) | (count % 2 << 3).astype(np.uint8)
                 held = held[::2] | held[1::2] << 4
                 cuts = np.concatenate([[0], np.cumsum(parts // 2)]).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(cuts), pa.py_buffer(held)])
@@ -264,7 +268,7 @@ def _pairs_of(g: dict[str, np.ndarray], sketch: np.ndarray, one: int, two: int)
     """
     p, q = np.flatnonzero(g["block"] == one), np.flatnonzero(g["block"] == two)
     ids, component, n = g["doc_id"], g["component"], g["n"]
-    share = np.ascontiguousarray(sketch[:, : max(32, sketch.shape[1] * 2 // 5)])
+    share = np.ascontiguousarray(sketch[:, : max(4, sketch.shape[1] * 2 // 5)])
     out = []
     if len(p) and len(q):
         cq, iq, nq = component[q], ids[q], n[q]
@@ -284,6 +288,7 @@ GROUP = ("sig", "one", "two")
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of each group of rows; rows come sorted by group, of which one at a time is held whole."""
     rest: list[pa.RecordBatch] = []
+    seen: set[tuple[int, int]] = set()  # pairs that this task has named; what it forgets comes out again, and is made distinct later
 
     def groups(t: pa.Table, last: bool):
         t = t.combine_chunks()
@@ -299,10 +304,17 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (c["component"][x:y] == c["component"][x]).all():
                 continue
             g = {k: v[x:y] for k, v in c.items()}
-            for one, two in _pairs_of(g, data[ends[x] : ends[y]].reshape(y - x, -1), int(g["one"][0]), int(g["two"][0])):
+            for one, two in _pairs_of(g, data[ends[x] : ends[y]].reshape(y - x, -1).view(np.uint64), int(g["one"][0]), int(g["two"][0])):
                 a.append(one)
                 b.append(two)
-        found = pa.record_batch([pa.array(np.concatenate(z) if z else np.zeros(0, np.int64)) for z in (a, b)], names=["a", "b"])
+        both = np.zeros((0, 2), np.int64)
+        if a:
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            both = both[np.fromiter((p not in seen for p in map(tuple, both.tolist())), bool, len(both))]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(map(tuple, both.tolist()))
+        found = pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
         return found, t.slice(cuts[stop])
 
     size = 0
