@@ -50,3 +50,15 @@ def m3u(files: DataFrame) -> DataFrame:
     """The lines of a playlist, in the order of file_id; a missing duration is -1, a missing title the file's name."""
     title = F.coalesce("title", F.element_at(F.split("normalized_path", "/"), -1))
     return files.select("file_id", F.concat(F.lit("#EXTINF:"), F.coalesce(F.floor("duration_seconds"), F.lit(-1)).cast("string"), F.lit(","), F.col("artist"), F.lit(" - "), title).alias("info"), F.col("normalized_path").alias("path"))
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """Each folder that holds files, its number of files and total size (a stand-in for its time of change)."""
+    return files.groupBy(F.regexp_replace("normalized_path", r"/[^/]*$", "").alias("folder")).agg(F.count("*").alias("file_count"), F.sum("file_size").alias("mtime"))
+
+
+def scan_plan(found: DataFrame, cached: DataFrame) -> DataFrame:
+    """Each folder and whether an incremental scan reads it: it does unless time and number of files are those cached."""
+    known = cached.select("folder", F.col("file_count").alias("c"), F.col("mtime").alias("t"))
+    same = F.coalesce((F.col("file_count") == F.col("c")) & (F.col("mtime") == F.col("t")), F.lit(False))
+    return found.join(known, "folder", "left").select("folder", "file_count", (~same).alias("scan"))

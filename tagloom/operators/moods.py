@@ -44,3 +44,11 @@ def correlation(edges: DataFrame) -> DataFrame:
     both = own.select("file_id", F.col("value_str").alias("mood")).join(own.select("file_id", F.col("value_str").alias("other")), "file_id").where("mood <> other").groupBy("mood", "other").agg(F.count("*").alias("n"))
     each = own.groupBy(F.col("value_str").alias("mood")).agg(F.count("*").alias("m"))
     return both.join(each, "mood").select("mood", "other", F.round(F.col("n") / F.col("m"), 6).alias("p"))
+
+
+def inclusive(edges: DataFrame) -> DataFrame:
+    """Per file and tier its moods, sorted and joined by |: a tier holds those of the stricter ones too."""
+    tiers = F.create_map(*(F.lit(x) for t in TIERS for x in (PREFIX + t, TIERS.index(t))))
+    dealt = edges.select("file_id", "value_str", F.explode(F.sequence(tiers[F.col("rel")], F.lit(len(TIERS) - 1))).alias("i"))
+    names = F.array(*(F.lit(PREFIX + t) for t in TIERS))
+    return dealt.groupBy("file_id", "i").agg(F.array_join(F.array_sort(F.collect_set("value_str")), "|").alias("moods")).select("file_id", F.get(names, "i").alias("rel"), "moods")

@@ -35,3 +35,22 @@ def genre_shares(plays: DataFrame, tags: DataFrame) -> DataFrame:
     """Per user and genre the plays."""
     genres = tags.where("rel = 'genre'").select(F.col("file_id").alias("nd_id"), F.col("value_str").alias("genre")).distinct()
     return plays.join(genres, "nd_id").groupBy("user_id", "genre").agg(F.sum("playcount").alias("plays"))
+
+
+def taste_centroids(weights: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Per user the weighted mean of the played tracks' vectors, at length 1, a row a dimension: user_id, dim (from 0) and value.
+
+    Each track's vector is multiplied where its plays are, and sums of a user
+    and dimension are pre-aggregated before they travel.
+    """
+    own = weights.join(vectors.select(F.col("file_id").alias("nd_id"), "vector"), "nd_id")
+    sums = own.select("user_id", "weight", F.posexplode("vector").alias("dim", "x")).groupBy("user_id", "dim").agg(F.sum(F.col("weight") * F.col("x").cast("double")).alias("s"))
+    length = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("user_id")))
+    return sums.withColumn("length", length).select("user_id", "dim", F.when(F.col("length") > 0, F.col("s") / F.col("length")).otherwise(0.0).alias("value"))
+
+
+def sync_status(plays: DataFrame, files: DataFrame) -> DataFrame:
+    """Of each track of either side: matched, orphan (played, but no file) or unplayed."""
+    played = plays.select(F.col("nd_id").alias("file_id")).distinct().withColumn("p", F.lit(1))
+    both = files.select("file_id", F.lit(1).alias("f")).join(played, "file_id", "full")
+    return both.select("file_id", F.when(F.col("f").isNull(), "orphan").when(F.col("p").isNull(), "unplayed").otherwise("matched").alias("status"))

@@ -126,3 +126,27 @@ def ranked_per_group(df: DataFrame, group: str, by: str, then: str, n: int) -> D
     """The n largest of each group; Spark prunes by rank before it shuffles."""
     w = Window.partitionBy(group).orderBy(F.col(by).desc(), F.col(then))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def split_value(tags: DataFrame, rel: str, old: str, parts: list[str]) -> DataFrame:
+    """The table with one value replaced by several; a file that has one of them already keeps one edge."""
+    is_old = (F.col("rel") == rel) & (F.col("value_str") == old)
+    each = F.when(is_old, F.array(*map(F.lit, parts))).otherwise(F.array("value_str"))
+    return tags.withColumn("value_str", F.explode(F.coalesce(each, F.array("value_str")))).distinct()
+
+
+def set_tags(tags: DataFrame, rel: str, values: DataFrame) -> DataFrame:
+    """The table with all tags of this rel, of the files in `values` (file_id, value_str), replaced by these."""
+    files = values.select("file_id").distinct().withColumn("rel", F.lit(rel))
+    return tags.join(files, ["file_id", "rel"], "left_anti").select("file_id", "rel", "value_str", "value_num").union(values.select("file_id", F.lit(rel), "value_str", F.lit(None).cast("double")).distinct())
+
+
+def incomplete(files: DataFrame, tags: DataFrame, rels: list[str]) -> DataFrame:
+    """file_id and the number of these rels that it lacks, where it lacks any."""
+    has = tags.where(F.col("rel").isin(rels)).groupBy("file_id").agg(F.countDistinct("rel").alias("has"))
+    return files.select("file_id").join(has, "file_id", "left").select("file_id", (F.lit(len(rels)) - F.coalesce("has", F.lit(0))).alias("lacks")).where("lacks > 0")
+
+
+def value_counts(tags: DataFrame) -> DataFrame:
+    """Per rel how many different values it has, of either kind."""
+    return tags.groupBy("rel").agg(F.countDistinct(F.struct("value_str", "value_num")).alias("n_values"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import library, moods, personal, scores, tags, vectors
+from ..operators import drift, heads, library, matching, moods, personal, scores, tags, vectors
 from ..sources.views import view, with_views
 from ..streaming import scrobbles
 
@@ -108,6 +108,57 @@ add("taste_weights", lambda p: personal.taste_weights(p, "2001-09-01").select("u
 add("genre_shares", personal.genre_shares, ", g AS (SELECT DISTINCT file_id, value_str FROM tags_long WHERE rel = 'genre') SELECT user_id, value_str AS genre, CAST(sum(playcount) AS BIGINT) AS plays FROM plays JOIN g ON nd_id = file_id GROUP BY 1, 2", ("plays", "tags_long"))
 
 
+# merging, splitting and setting tags; what files lack
+add("split_tag", lambda t: tags.split_value(t, "genre", "ring", ["hoop", "small"]).groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, unnest(CASE WHEN rel = 'genre' AND value_str = 'ring' THEN ['hoop', 'small'] ELSE [value_str] END) AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
+add("set_song_tags", lambda t, f: tags.set_tags(t, "genre", f.where("file_id % 3 = 0").select("file_id", F.col("artist").alias("value_str"))).groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT rel, value_str FROM tags_long WHERE NOT (rel = 'genre' AND file_id % 3 = 0) UNION ALL SELECT 'genre', artist FROM files WHERE file_id % 3 = 0) GROUP BY 1, 2", ("tags_long", "files"))
+add("incomplete_tags", lambda f, t: tags.incomplete(f, t, ["nom:mood-strict", "nom:mood-loose", "artist"]), ", h AS (SELECT file_id, count(DISTINCT rel) AS has FROM tags_long WHERE rel IN ('nom:mood-strict', 'nom:mood-loose', 'artist') GROUP BY 1) SELECT f.file_id, 3 - coalesce(has, 0) AS lacks FROM files f LEFT JOIN h ON f.file_id = h.file_id WHERE coalesce(has, 0) < 3", ("files", "tags_long"))
+add("tag_value_counts", tags.value_counts, "SELECT rel, count(*) AS n_values FROM (SELECT DISTINCT rel, value_str, value_num FROM tags_long) GROUP BY 1", T)
+add("artist_tag_profile", lambda t: tags.cooccurrence(t, "artist", "genre"), "SELECT x.value_str AS x, y.value_str AS y, count(DISTINCT x.file_id) AS n_files FROM tags_long x JOIN tags_long y ON x.file_id = y.file_id WHERE x.rel = 'artist' AND y.rel = 'genre' GROUP BY 1, 2", T)
+add("inclusive_moods", moods.inclusive, """, t AS (SELECT * FROM (VALUES ('nom:mood-strict', 0), ('nom:mood-regular', 1), ('nom:mood-loose', 2)) v(name, i)), d AS (SELECT DISTINCT e.file_id, o.name AS rel, e.value_str FROM mood_edges e JOIN t ON t.name = e.rel JOIN t o ON o.i >= t.i)
+SELECT file_id, rel, string_agg(value_str, '|' ORDER BY value_str) AS moods FROM d GROUP BY 1, 2""", ME)
+add("scan_plan", lambda f: library.scan_plan(library.folders(f), library.folders(f.where("file_id % 40 <> 0"))), ", a AS (SELECT regexp_replace(normalized_path, '/[^/]*$', '') AS folder, count(*) AS file_count, sum(file_size) AS m, count_if(file_id % 40 <> 0) AS c, sum(CASE WHEN file_id % 40 <> 0 THEN file_size END) AS cm FROM files GROUP BY 1) SELECT folder, file_count, NOT coalesce(file_count = c AND m = cm, false) AS scan FROM a", FI)
+
+# head decisions, drift
+add("head_decisions", lambda s: heads.decide(s.groupBy("segment_id").agg(F.max("score_a").alias("score_a"), F.max("score_b").alias("score_b")).select(F.col("segment_id").alias("file_id"), F.expr("stack(2, 'a', score_a, 'b', score_b) AS (label, p)"), F.round(F.col("score_b") / 4, 6).alias("std"))), """, g AS (SELECT segment_id, max(score_a) AS score_a, max(score_b) AS score_b FROM segments GROUP BY 1), l AS (SELECT segment_id AS file_id, 'a' AS label, score_a AS p, least(score_b, 1.0e0) AS counter, round(score_b / 4, 6) AS std FROM g UNION ALL SELECT segment_id, 'b', score_b, least(score_a, 1.0e0), round(score_b / 4, 6) FROM g),
+t AS (SELECT file_id, label, p, counter, CASE WHEN p >= 0.8e0 AND p / greatest(counter, 1e-9) >= 1.2e0 AND p - counter >= 0.15e0 AND std < 0.08e0 THEN 'high' WHEN p >= 0.75e0 AND p / greatest(counter, 1e-9) >= 1.1e0 AND p - counter >= 0.08e0 AND std < 0.15e0 THEN 'medium' WHEN p >= 0.6e0 AND p / greatest(counter, 1e-9) >= 1.02e0 AND p - counter >= 0.03e0 AND std < 0.25e0 THEN 'low' END AS tier FROM l) SELECT * FROM t WHERE tier IS NOT NULL""", SE)
+
+
+def _sides(t: DataFrame) -> DataFrame:
+    return t.where("rel = 'nom:calm'").select(F.when(F.col("file_id") % 2 == 0, "old").otherwise("new").alias("side"), F.col("value_num").alias("v"))
+
+
+_SIDE = ", s AS (SELECT CASE WHEN file_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, value_num AS v FROM tags_long WHERE rel = 'nom:calm')"
+add("jsd_drift", lambda t: drift.divergence(_sides(t)), _SIDE + """, b AS (SELECT least(floor(v * 100), 99) AS bin, count_if(side = 'old') AS o, count_if(side = 'new') AS n FROM s WHERE v BETWEEN 0 AND 1 GROUP BY 1), c AS (SELECT o / sum(o) OVER () AS p, n / sum(n) OVER () AS q FROM b)
+SELECT round(sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2), 6) AS jsd FROM c""", T)
+add("median_iqr_drift", lambda t: drift.centre_and_spread(_sides(t)), _SIDE + ", q AS (SELECT quantile_cont(v, [0.25, 0.5, 0.75]) FILTER (side = 'old') AS o, quantile_cont(v, [0.25, 0.5, 0.75]) FILTER (side = 'new') AS n FROM s) SELECT round(abs(n[2] - o[2]), 6) AS median_drift, round(abs((n[3] - n[1]) - (o[3] - o[1])), 6) AS iqr_drift FROM q", T)
+add("calib_drift", lambda t: drift.percentile_drift(t.where("rel = 'nom:calm'").select((F.col("file_id") % 20).alias("key"), F.col("file_id").alias("run"), (F.col("value_num") / 100).alias("p5"), (F.col("value_num") / 10).alias("p95"))), ", h AS (SELECT file_id % 20 AS key, file_id AS run, value_num / 100 AS p5, value_num / 10 AS p95 FROM tags_long WHERE rel = 'nom:calm'), b AS (SELECT *, lag(p5) OVER w AS b5, lag(p95) OVER w AS b95, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS nth FROM h WINDOW w AS (PARTITION BY key ORDER BY run)) SELECT key, round(abs(p5 - b5), 6) AS apd_p5, round(abs(p95 - b95), 6) AS apd_p95, round(abs((p95 - p5) - (b95 - b5)), 6) AS srd, abs(p5 - b5) < 0.01e0 AND abs(p95 - b95) < 0.01e0 AS settled FROM b WHERE nth = 1 AND b5 IS NOT NULL", T)
+
+# vectors in two tiers, taste, sync, matching
+add("track_vector_lookup", lambda v: matching.latest(v.where("file_id % 3 = 0").select("file_id", F.lit("cold").alias("tier")).union(v.where("file_id % 2 = 0").select("file_id", F.lit("hot"))), "file_id", ["tier"]), "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM vectors WHERE file_id % 3 = 0 OR file_id % 2 = 0", VE)
+_WEIGHT = "round(ln(1 + playcount) * pow(2.0e0, -date_diff('day', CAST(last_played AS DATE), DATE '2001-09-01') / 30.0e0), 9)"
+add("taste_centroid", lambda p, v: personal.taste_centroids(personal.taste_weights(p, "2001-09-01"), v).withColumn("value", F.round("value", 5) + 0.0), f", s AS (SELECT user_id, i - 1 AS dim, sum({_WEIGHT} * CAST(vector[i] AS DOUBLE)) AS s FROM plays JOIN vectors ON nd_id = file_id CROSS JOIN (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i) GROUP BY 1, 2), l AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY user_id)) AS len FROM s) SELECT user_id, dim, CASE WHEN len > 0 THEN round(s / len, 5) ELSE 0.0e0 END + 0.0e0 AS value FROM l", ("plays", "vectors"))
+add("sync_diff", lambda p, f: personal.sync_status(p.where("nd_id % 5 <> 0"), f.where("file_id % 7 <> 0")), ", p AS (SELECT DISTINCT nd_id FROM plays WHERE nd_id % 5 <> 0), g AS (SELECT file_id FROM files WHERE file_id % 7 <> 0) SELECT coalesce(g.file_id, nd_id) AS file_id, CASE WHEN g.file_id IS NULL THEN 'orphan' WHEN nd_id IS NULL THEN 'unplayed' ELSE 'matched' END AS status FROM g FULL JOIN p ON g.file_id = nd_id", ("plays", "files"))
+
+
+def _matched(f: DataFrame) -> DataFrame:
+    isrc = F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("I"), F.col("file_id")))
+    asked = f.select(F.col("file_id").alias("track_id"), isrc.alias("isrc"), F.concat(F.lit("  "), F.upper("title"), F.lit(" (Remastered 2011)")).alias("title"), F.concat(F.lit("The "), F.col("artist")).alias("artist"))
+    return matching.match(asked, f.where("file_id % 9 <> 0").withColumn("isrc", isrc))
+
+
+add("match_isrc_exact", _matched, ", k AS (SELECT * FROM files WHERE file_id % 9 <> 0), n AS (SELECT lower(title) AS t, artist AS a, min(file_id) AS m FROM k GROUP BY 1, 2) SELECT f.file_id AS track_id, CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN 'isrc' WHEN m IS NOT NULL THEN 'exact' ELSE 'not_found' END AS status, CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN f.file_id ELSE m END AS file_id FROM files f LEFT JOIN n ON lower(f.title) = n.t AND f.artist = n.a", FI)
+add("file_moves", lambda f: matching.moves(*(f.where(f"file_id % 10 = {d}").select("file_id", F.concat(F.lit(at), "normalized_path").alias("path"), F.concat_ws(":", "title", "artist").alias("fingerprint"), F.col("duration_seconds").alias("duration")) for d, at in ((0, "old/"), (5, "new/")))), "", FI)
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null")
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n")
+
+
+QUERIES["ext_tumbling"] = _hourly
+ORACLE_SQL["ext_tumbling"] = "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+
+
 def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and ts is not null")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tagloom.operators import library, scores, tags
+from tagloom.operators import drift, heads, library, matching, scores, tags
 from tagloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -68,3 +68,30 @@ def test_scan_diff_of_empty(spark):
     f = spark.createDataFrame([("a", 1)], "normalized_path string, file_size long")
     assert [r.status for r in library.scan_diff(f.limit(0), f).collect()] == ["new"]
     assert [r.status for r in library.scan_diff(f, f.limit(0)).collect()] == ["missing"]
+
+
+def test_heads(spark):
+    rows = [(1, "happy", 0.9, 0.01), (1, "non_happy", 0.1, 0.01), (1, "sad", 0.85, None), (2, "only", 0.62, 0.2), (3, "a", 0.9, 0.3), (3, "b", 0.1, 0.0), (4, "x", 0.78, 0.1), (4, "y", 0.3, 0.1)]
+    found = {(r.file_id, r.label): (r.counter, r.tier) for r in heads.decide(spark.createDataFrame(rows, "file_id long, label string, p double, std double")).collect()}
+    assert found == {(1, "happy"): (0.1, "high"), (2, "only"): (0.0, "low"), (4, "x"): (0.3, "medium")}
+
+
+def test_equal_sides_do_not_drift(spark):
+    s = spark.createDataFrame([(side, v) for side in ("old", "new") for v in (0.1, 0.5, 1.0, 7.0)], "side string, v double")
+    assert drift.divergence(s).first().jsd == 0
+    assert tuple(drift.centre_and_spread(s).first()) == (0, 0)
+
+
+def test_matching(spark):
+    made = spark.createDataFrame([("Song (feat. X)",), ("Don't Stop Me Now (Remastered 2011)",), ("  Hello   World  ",), (None,), ("Live and Let Die",)], "t string").select(matching.comparable("t"))
+    assert [r[0] for r in made.collect()] == ["song", "dont stop me now", "hello world", "", "live and let die"]
+    lib = spark.createDataFrame([(3, None, "Help", "The Beatles"), (2, "I2", "Help!", "Beatles")], "file_id long, isrc string, title string, artist string")
+    ask = spark.createDataFrame([(1, "I2", "zzz", "q"), (2, None, "help", "beatles"), (3, None, "other", "beatles")], "track_id long, isrc string, title string, artist string")
+    assert {tuple(r) for r in matching.match(ask, lib).collect()} == {(1, "isrc", 2), (2, "exact", 2), (3, "not_found", None)}
+
+
+def test_moves(spark):
+    cols = "file_id long, path string, fingerprint string, duration double"
+    old = spark.createDataFrame([(1, "a", "f", 10.0), (2, "b", "f", None), (3, "c", None, 1.0), (4, "d", "g", 5.0)], cols)
+    new = spark.createDataFrame([(0, "x", "f", 11.0), (0, "y", "f", 99.0), (0, "z", "f", 10.0), (0, "w", "g", 6.01)], cols).drop("file_id")
+    assert {tuple(r) for r in matching.moves(old, new).collect()} == {(1, "a", "x"), (2, "b", "y")}
