@@ -1,11 +1,14 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Lines are sets of character shingles: the SHINGLE characters from the start of
-each word on (of scripts without spaces, from each character on). A signature
-holds the SKETCH smallest hashes of a line's shingles; bands are pairs of them
-that stand close together, so that lines that share two of their smallest
-shingles meet. Each bucket's smallest line is compared with the others by exact
-Jaccard, and pairs of THRESHOLD or more are united by distributed union-find.
+each word on (of scripts without spaces, from each character on). A
+signature holds the SKETCH smallest hashes of a line's shingles; bands are pairs
+of them that stand close together, so that lines that share two of their
+smallest shingles meet. Each bucket's smallest line is compared with the others
+by exact Jaccard, and pairs of THRESHOLD or more are united by distributed
+union-find; in buckets that still hold several components then, each two lines
+of different components are compared. Sizes and parities of the sets (bounds,
+both exact) leave out pairs that cannot link before texts are looked at.
 Of each component (equal lines are one line) the first occurrence stays, by
 doc_id and place.
 
@@ -19,6 +22,8 @@ lines; an empty table gives no rows; further columns come out as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +43,31 @@ _UNSPACED = r"\x{2E80}-\x{FFEF}"
 #: Takes a word (32 characters at most, or one character of an unspaced script) and looks ahead for its shingle.
 _AT_WORD = rf"(\S)(?=(.{{0,{SHINGLE - 1}}}))(?:(?<=[{_UNSPACED}])|[^\s{_UNSPACED}]{{0,31}}+)\s*+"
 _CUT = "\x01"
+#: Members of a bucket that are compared with each other in one group.
+BLOCK = 512
+
+
+def _let(x: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is computed once."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of a line's character shingles, with repetitions: one pass writes them in a row, one cuts them."""
+    """The hashes of a line's character shingles, without repetitions: one pass writes them in a row, one cuts them."""
     row = F.regexp_replace(F.translate(line, _CUT, " "), _AT_WORD, f"$1$2{_CUT}")
-    return F.transform(F.array_remove(F.split(row, _CUT), ""), lambda x: F.xxhash64(x))
+    return F.array_distinct(F.transform(F.array_remove(F.split(row, _CUT), ""), lambda x: F.xxhash64(x)))
+
+
+def _parity(h: Column) -> Column:
+    """64 bits: how often each is hit, odd or even. Bits that differ bound from below how many elements do."""
+    zero = F.lit(0).cast("long")
+    return F.aggregate(h, zero, lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _set(h: Column) -> Column:
+    """Size, parities and sketch of a set."""
+    halves = (F.filter(h, lambda x: x < 0), F.filter(h, lambda x: x >= 0))
+    return F.struct(F.size(h).alias("n"), *(_parity(x).alias(f"p{i}") for i, x in enumerate(halves)), F.slice(F.sort_array(h), 1, SKETCH).alias("sketch"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,27 +81,71 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("k", F.xxhash64("line")).withColumn("c", F.hash("line"))
 
 
+def _may_link(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those pairs `a`, `b` that sizes and parities don't rule out."""
+    one, two = (keys.select(F.struct("k", "c").alias(x), F.struct("n", "p0", "p1").alias(f"s{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_bounds("sa", "sb")).select("a", "b")
+
+
+def _bounds(a: str, b: str) -> Column:
+    """Whether sets of these sizes and parities may reach THRESHOLD; they differ in (1 - THRESHOLD) / (1 + THRESHOLD) of the elements of both at most."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")), F.lit(0))
+    return (F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-6) & (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (n + m) + 1e-6)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, kept: Kept) -> DataFrame:
+    """Those pairs `a`, `b` whose sets have THRESHOLD of their union in common."""
+    pairs = kept.write(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select("key.*")
+    texts = kept.write(_keyed(_lines(docs)).select("k", "c", "line").join(sized(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)))
+    one, two = (texts.select(F.struct("k", "c").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
+
+    def alike(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["a"], s["b"]))
+        return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
+
+    links = kept.write(pairs.join(one, "a").join(two, "b").where(_let(sets, alike)).select("a", "b"))
+    kept.drop(pairs, texts)
+    return links
+
+
+def _parted(members: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of lines of different components that share a bucket and may link, in blocks of a bucket's lines."""
+    left = members.where("key <> hub").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    # the smallest line has been compared with all others
+    buckets = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
+    buckets = buckets.groupBy("m", "who").agg(F.min("bucket").alias("bucket"))  # one of those with the same members
+    sets = keys.select(F.struct("k", "c").alias("key"), F.struct("n", "p0", "p1").alias("s"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    some = left.join(sized(buckets), "bucket").join(sets, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["bucket", "one", "two"]
+    dealt = some.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "component", "s")
+    a = dealt.where("block = one").select(*group, F.col("key").alias("ka"), F.col("component").alias("ca"), F.col("s").alias("sa"))
+    b = dealt.where("block = two").select(*group, F.col("key").alias("kb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
+    both = a.join(b, group).where((F.col("ca") != F.col("cb")) & ((F.col("one") != F.col("two")) | (F.col("ka") < F.col("kb"))) & _bounds("sa", "sb"))
+    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
 def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
-    """k, c and component of each line that resembles a different one; `keys` has each line's name and sketch."""
-    bands = F.array(*(F.xxhash64(F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j))) for i, j in BANDS))
-    # a line of one shingle has no pair to meet by
-    banded = keys.where("size(sketch) > 1").select(F.struct("k", "c").alias("key"), F.explode(F.array_distinct(F.slice(bands, 1, len(BANDS)))).alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last"), F.count("*").alias("n")).where("hub <> last")
-    hubs = kept.write(hubs)
-    two = hubs.select(F.col("hub").alias("a"), F.col("last").alias("b"))
-    larger = hubs.where("n > 2").select("bucket", "hub")
-    more = banded.join(sized(larger), "bucket").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    pairs = kept.write(two.union(more).distinct())
+    """k, c and component of each line that resembles a different one; `keys` has each line's name, size, parities and sketch."""
+    size = F.size("sketch")
+    bands = [F.when(size > j, F.xxhash64(F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j)))) for i, j in BANDS]
+    # lines of one shingle meet by it
+    single = F.when(size == 1, F.xxhash64(F.get("sketch", F.lit(0))))
+    banded = keys.select(F.struct("k", "c").alias("key"), F.explode(F.array_distinct(F.array_compact(F.array(single, *bands)))).alias("bucket"))
+    hubs = kept.write(banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("bucket", "hub"))
+    members = kept.write(banded.join(sized(hubs), "bucket"))
     kept.drop(hubs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select("key.*")
-    # each candidate line's exact set of shingles, once
-    some = _keyed(_lines(docs)).select("k", "c", "line").join(sized(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY))
-    sets = kept.write(some.select(F.struct("k", "c").alias("key"), F.array_distinct(shingles(F.col("line"))).alias("h")))
-    both = F.size(F.array_intersect("ha", "hb"))
-    alike = both >= THRESHOLD * (F.size("ha") + F.size("hb") - both)
-    links = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b").where(alike).select("a", "b")
+    pairs = members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    links = _linked(_may_link(pairs, keys), docs, kept)
     found = kept.write(components(links, kept))
-    kept.drop(pairs, sets)
+    more = _linked(_parted(members, keys, found), docs, kept)
+    if not more.isEmpty():
+        found = kept.write(components(links.union(more), kept))
+    kept.drop(members, links, more)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
 
 
@@ -85,12 +153,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id and `drop`, the places of the lines that go."""
     kept = Kept(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sketch = F.slice(F.sort_array(F.array_distinct(shingles(F.col("line")))), 1, SKETCH)
-    occurrences = kept.write(_keyed(_lines(docs)).select("doc_id", "at", "k", "c", sketch.alias("sketch")))
-    keys = occurrences.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "sketch")).alias("first"))
-    keys = kept.write(keys.select("k", "c", "n", F.struct("first.doc_id", "first.at").alias("first"), "first.sketch"))
+    occurrences = kept.write(_keyed(_lines(docs)).select("doc_id", "at", "k", "c", _let(shingles(F.col("line")), _set).alias("set")))
+    keys = occurrences.groupBy("k", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at", "set")).alias("first"))
+    keys = kept.write(keys.select("k", "c", "times", F.struct("first.doc_id", "first.at").alias("first"), "first.set.*"))
     near = line_components(docs, keys, kept)
-    united = keys.join(near, list(KEY), "left").where("n > 1 or component is not null").select("k", "c", "first", F.coalesce("component", F.struct("k", "c")).alias("component"))
+    united = keys.join(near, list(KEY), "left").where("times > 1 or component is not null").select("k", "c", "first", F.coalesce("component", F.struct("k", "c")).alias("component"))
     united = kept.write(united)
     stays = united.groupBy("component").agg(F.min("first").alias("stay"))
     of = united.join(stays, "component").select("k", "c", "stay")

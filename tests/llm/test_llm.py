@@ -251,3 +251,40 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def line_lists(spark, lines):
+    return [r.text == "" for r in sorted(line_dedup.dedup_lines(docs_of(spark, lines)).collect(), key=lambda r: r.doc_id)]
+
+
+def brute_lines(lines, shingle=8):
+    """Which lines go: exact Jaccard of all pairs."""
+    sets = [{x[j : j + shingle] for j in range(len(x) - shingle + 1)} for x in lines]
+    up = list(range(len(lines)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return [find(i) != i for i in range(len(lines))]
+
+
+def test_lines_that_their_bucket_s_smallest_does_not_resemble(spark):
+    import xxhash
+
+    # a shared header whose shingles hold the smallest hashes: each bucket is one of all lines
+    rng = random.Random(9)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42) + 2**63) % 2**64
+    small = sorted(("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(60000)), key=signed)[:8]
+    lines = []
+    for _ in range(12):
+        body = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+        lines += [" ".join(small) + " " + body, " ".join(small) + " " + body[:-1] + "z"]
+    want = brute_lines(lines)
+    assert sum(want) == 12 and line_lists(spark, lines) == want
