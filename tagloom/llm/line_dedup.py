@@ -1,7 +1,6 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are sets of character shingles: the SHINGLE characters from the start of
-each word on (of scripts without spaces, from each character on). A
+Lines are sets of character shingles: SHINGLE characters from each place on. A
 signature holds the SKETCH smallest hashes of a line's shingles; bands are pairs
 of them that stand close together, so that lines that share two of their
 smallest shingles meet. Each bucket's smallest line is compared with the others
@@ -31,18 +30,13 @@ from .common import Kept
 from .components import components
 from .decontaminate import sized
 
-SHINGLE = 16
+SHINGLE = 8
 MIN_CHARS = 24
 THRESHOLD = 0.8
 SKETCH = 5
 #: Pairs of places in the sketch that make a band.
 BANDS = [(i, j) for i in range(SKETCH) for j in range(i + 1, SKETCH) if j - i <= 2]
 KEY = ("k", "c")
-#: Characters of scripts without spaces.
-_UNSPACED = r"\x{2E80}-\x{FFEF}"
-#: Takes a word (32 characters at most, or one character of an unspaced script) and looks ahead for its shingle.
-_AT_WORD = rf"(\S)(?=(.{{0,{SHINGLE - 1}}}))(?:(?<=[{_UNSPACED}])|[^\s{_UNSPACED}]{{0,31}}+)\s*+"
-_CUT = "\x01"
 #: Members of a bucket that are compared with each other in one group.
 BLOCK = 512
 
@@ -53,9 +47,14 @@ def _let(x: Column, of: Callable[[Column], Column]) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of a line's character shingles, without repetitions: one pass writes them in a row, one cuts them."""
-    row = F.regexp_replace(F.translate(line, _CUT, " "), _AT_WORD, f"$1$2{_CUT}")
-    return F.array_distinct(F.transform(F.array_remove(F.split(row, _CUT), ""), lambda x: F.xxhash64(x)))
+    """The hashes of a line's character shingles, without repetitions. In UTF-32 each is cut out without a walk over the line."""
+    width = 4 * SHINGLE
+
+    def cut(b: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - width + 1), F.lit(4))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(b, i, width))))
+
+    return _let(F.encode(line, "UTF-32"), cut)
 
 
 def _parity(h: Column) -> Column:

@@ -275,6 +275,25 @@ def brute_lines(lines, shingle=8):
     return [find(i) != i for i in range(len(lines))]
 
 
+def test_short_near_lines_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    lines = []
+    for n in (10, 14, 18, 22, 26, 30) * 12:
+        w = [word() for _ in range(n)]
+        lines.append(" ".join(w))
+        w[rng.randrange(n)] = word()
+        lines.append(" ".join(w))
+    lines += ["See https://example.com/a1 for details", "See https://example.com/b2 for details", "x" * 30, "x" * 31]
+    lines += [f"Download it from https://example.com/files/of/the/archive/{t}" for t in ("alpha-release-notes", "omega-source-tarball")]
+    want = brute_lines(lines)
+    assert sum(want) > 20 and not any(want[-2:]) and want[-3] and not want[-5]
+    got = line_lists(spark, lines)
+    assert not any(g and not w for g, w in zip(got, want, strict=True))
+    # bands find pairs by chance: nearly all
+    assert sum(got) >= 0.95 * sum(want)
+
+
 def test_lines_that_their_bucket_s_smallest_does_not_resemble(spark):
     import xxhash
 
