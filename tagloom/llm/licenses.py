@@ -38,8 +38,6 @@ TEMPLATES = [
 ]
 #: So many of a file's rarest template words are looked up.
 LOOKED_UP = 8
-#: A template word in more than this share of the files tells nothing.
-TOO_COMMON = 0.2
 #: This share of a template's words must stand in place.
 COVERAGE = 0.5
 
@@ -58,12 +56,12 @@ def _strings(xs: list[str]) -> Column:
 
 
 def rarest_first(texts: DataFrame) -> list[str]:
-    """The templates' words by falling inverse document frequency among the texts (column `w`), without those too common: at most as many as the templates have."""
+    """The templates' words by falling inverse document frequency among the texts (column `w`): at most as many as the templates have."""
     vocabulary = sorted({w for _, ws, _, _ in _templates() for w in ws})
     counts = texts.select(F.explode_outer(F.concat(F.array_intersect("w", _strings(vocabulary)), F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
     df = {r["word"]: r["count"] for r in counts}
-    n = df.pop("", 0)
-    return sorted((w for w in df if df[w] <= max(1, TOO_COMMON * n)), key=lambda w: (df[w], w))
+    df.pop("", 0)
+    return sorted(df, key=lambda w: (df[w], w))
 
 
 def _found(template: tuple[str, list[str], int, int], rare: set[str]) -> Column | None:

@@ -307,3 +307,8 @@ def test_lines_that_their_bucket_s_smallest_does_not_resemble(spark):
         lines += [" ".join(small) + " " + body, " ".join(small) + " " + body[:-1] + "z"]
     want = brute_lines(lines)
     assert sum(want) == 12 and line_lists(spark, lines) == want
+
+
+def test_a_notice_that_most_files_carry(spark):
+    got = licenses.scan(docs_of(spark, ["Released under the MIT license.", "Released under the MIT license.", "plain text"])).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "mit", 1: "mit", 2: ""}
