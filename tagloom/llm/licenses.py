@@ -1,11 +1,11 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are short texts whose postings say where each word stands. Of a
-file's words those with the highest inverse document frequency (over the whole
-table) among the templates' words are looked up: each place gives alignments of
-templates, which are intersected by relative position: a template is found
-where its mandatory key phrase stands in full and enough of its other words
-stand at the places that the alignment gives them. A few base phrases are
+Templates are short texts whose postings say where each word stands. Of
+each template's key phrase the word with the highest inverse document frequency
+(over the whole table) is looked up, however common it is: each of its places
+gives an alignment, and a template is found where its mandatory key phrase
+stands in full and enough of its other words stand at the places that the
+alignment gives them; it may begin before the text's first word. A few base phrases are
 looked for at every place besides.
 
 Cases: a null text counts as empty; an empty one has no words, no labels (the
@@ -36,8 +36,6 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-#: So many of a file's rarest template words are looked up.
-LOOKED_UP = 8
 #: This share of a template's words must stand in place.
 COVERAGE = 0.5
 
@@ -55,43 +53,43 @@ def _strings(xs: list[str]) -> Column:
     return F.array(*map(F.lit, xs))
 
 
-def rarest_first(texts: DataFrame) -> list[str]:
-    """The templates' words by falling inverse document frequency among the texts (column `w`): at most as many as the templates have."""
-    vocabulary = sorted({w for _, ws, _, _ in _templates() for w in ws})
-    counts = texts.select(F.explode_outer(F.concat(F.array_intersect("w", _strings(vocabulary)), F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
-    df = {r["word"]: r["count"] for r in counts}
-    df.pop("", 0)
-    return sorted(df, key=lambda w: (df[w], w))
+def frequencies(texts: DataFrame) -> dict[str, int]:
+    """In how many texts (column `w`) each word of the templates' key phrases stands."""
+    vocabulary = sorted({w for _, ws, at, n in _templates() for w in ws[at : at + n]})
+    counts = texts.select(F.explode(F.array_intersect("w", _strings(vocabulary))).alias("word")).groupBy("word").count().collect()
+    return {r["word"]: r["count"] for r in counts}
 
 
-def _found(template: tuple[str, list[str], int, int], rare: set[str]) -> Column | None:
+def _found(template: tuple[str, list[str], int, int], df: dict[str, int]) -> Column:
     """The template's label and coverage at its best alignment (columns `w`, the words, and `at`, places of words looked up), or null."""
     label, ws, key_at, key_n = template
-    posts = [(w, k) for k, w in enumerate(ws) if w in rare]
-    if not posts:
-        return None
-    key = " ".join(ws[key_at : key_at + key_n])
-
-    def aligned(i: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(F.get("w", i) == w, i - k) for w, k in posts)))
+    rarest, key = _rarest(template, df), " ".join(ws[key_at : key_at + key_n])
+    posts = [k for k in range(key_at, key_at + key_n) if ws[k] == rarest]
 
     def coverage(o: Column) -> Column:
-        same = F.zip_with(F.slice("w", o + 1, len(ws)), _strings(ws), lambda x, y: x == y)
+        # words before the text's first are not there
+        same = F.array(*(F.coalesce(F.when(o + k >= 0, F.get("w", o + k) == w), F.lit(False)) for k, w in enumerate(ws)))
         return F.size(F.filter(same, lambda x: x)) / F.lit(float(len(ws)))
 
-    offsets = F.filter(F.array_distinct(F.flatten(F.transform("at", aligned))), lambda o: o >= 0)
-    verified = F.filter(offsets, lambda o: F.array_join(F.slice("w", o + key_at + 1, key_n), " ") == key)
+    places = F.filter("at", lambda i: F.get("w", i) == rarest)
+    offsets = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*(i - k for k in posts)))))
+    verified = F.filter(offsets, lambda o: F.when(o + key_at >= 0, F.array_join(F.slice("w", F.greatest(o + key_at, F.lit(0)) + 1, key_n), " ") == key))
     best = F.when(F.size("at") > 0, F.array_max(F.transform(verified, coverage)))
     return F.when(best >= COVERAGE, F.struct(F.lit(label).alias("label"), best.alias("score")))
 
 
+def _rarest(template: tuple[str, list[str], int, int], df: dict[str, int]) -> str:
+    """The word of the template's key phrase that the fewest texts have."""
+    _, ws, at, n = template
+    return min(ws[at : at + n], key=lambda w: (df.get(w, 0), w))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base phrases' places and labels, all labels and a score for each text."""
     texts = docs.select("doc_id", words(text_of()).alias("w"))
-    rare = rarest_first(texts)
+    df = frequencies(texts)
     templates = _templates()
-    named = texts.withColumn("top", F.slice(F.array_intersect(_strings(rare) if rare else F.array().cast("array<string>"), F.col("w")), 1, LOOKED_UP))
-
+    wanted = sorted({_rarest(t, df) for t in templates})
     def base(w: Column, i: Column) -> Column:
         out = F.lit(None).cast("string")
         for phrase, label in BASE.items():
@@ -111,12 +109,10 @@ def scan(docs: DataFrame) -> DataFrame:
         any_base = any_base | both
     none = F.array().cast("array<struct<at:int,label:string>>")
     places = F.when(any_base, F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), base(w, i).alias("label"))), lambda x: x["label"].isNotNull())).otherwise(none)
-    looked = F.when(F.size("top") > 0, F.array_compact(F.transform("w", lambda w, i: F.when(F.array_contains("top", w), i)))).otherwise(F.array().cast("array<int>"))
-    held = named.select("doc_id", "w", places.alias("base"), looked.alias("at"))
+    looked = F.when(F.arrays_overlap("w", _strings(wanted)), F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(wanted), i)))).otherwise(F.array().cast("array<int>"))
+    held = texts.select("doc_id", "w", places.alias("base"), looked.alias("at"))
 
-    found = [_found(t, set(rare)) for t in templates]
-    found = [x for x in found if x is not None]
-    matches = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<label:string,score:double>>")
+    matches = F.array_compact(F.array(*(_found(t, df) for t in templates)))
     out = held.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", matches.alias("m"))
     base_labels = F.array_sort(F.array_distinct(F.col("base.label")))
     return out.select(

@@ -312,3 +312,25 @@ def test_lines_that_their_bucket_s_smallest_does_not_resemble(spark):
 def test_a_notice_that_most_files_carry(spark):
     got = licenses.scan(docs_of(spark, ["Released under the MIT license.", "Released under the MIT license.", "plain text"])).collect()
     assert {r.doc_id: r.labels for r in got} == {0: "mit", 1: "mit", 2: ""}
+
+
+def brute_labels(text):
+    w, out = WORD.findall((text or "").translate(LOW)), set()
+    for label, ws, at, n in licenses._templates():
+        for o in range(-at, len(w) - at - n + 1):
+            if w[o + at : o + at + n] == ws[at : at + n] and sum(0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(ws)) >= licenses.COVERAGE * len(ws):
+                out.add(label)
+    for p, label in licenses.BASE.items():
+        if any(w[o : o + len(p.split())] == p.split() for o in range(len(w))):
+            out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_licenses_equal_brute_force(spark):
+    notice = "Released under the MIT license."
+    long = licenses.TEMPLATES[1][1]
+    # a notice in most of a small table, beside a text of rarer words, and at the very start
+    texts = [notice, notice, "plain text", f"{long}. Licensed under the Apache License, Version 2.0.", "under the MIT license", "MIT license", f"{long} cc by nc 4 0", "licensed under cc by sa", "Lesser General Public License", None]
+    got = {r.doc_id: r.labels for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert got[0] == "mit" and got[3] == "apache-2.0,mit" and got[4] == "mit" and got[5] == ""
