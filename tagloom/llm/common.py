@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,11 +44,46 @@ def words(c: Column) -> Column:
     return split_words(ascii_lower(c), BETWEEN_WORDS)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: 64-bit words of a sieve: the table that every executor gets has no more rows, however much is looked for.
+SIEVE = 1 << 19
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """The rows of `df` whose 64-bit hash `key` may be among `wanted`'s `of`; some others pass, none is lost.
+
+    A table of bits, of bounded size, is broadcast, so that few of the rows that
+    an exact join is to find are shuffled for nothing. When very much is looked
+    for, most bits are set and more rows pass.
+    """
+    place = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SIEVE))
+    slot, bits = fresh(df, "slot"), fresh(df, "bits")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(of).bitwiseAND(F.lit(63)).cast("int"))
+    table = wanted.select(place(F.col(of)).alias(slot), bit.alias("bit")).groupBy(slot).agg(F.bit_or("bit").alias(bits))
+    met = df.withColumn(slot, place(F.col(key))).join(F.broadcast(table), slot)
+    hit = F.call_function("shiftrightunsigned", F.col(bits), F.col(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.where(hit).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is made only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where none is set, a temporary one is made if all runs on this machine
+    (tests); on a cluster executors would each write to a disk of their own, so
+    that an error is raised.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tagloom-")
         sc.setCheckpointDir(at)
     return at
@@ -56,27 +92,36 @@ def shared_dir(spark: SparkSession) -> str:
 class Kept:
     """Tables written below the shared folder to cut lineage: lost executors take nothing with them.
 
-    `drop` deletes those that nothing lazy reads any more.
+    `drop` deletes those that nothing lazy reads any more; the rest goes when
+    the driver's Python ends, as results may be read until then.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        atexit.register(self.end)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths = getattr(self, "paths", {})
         self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths.pop(id(df))[1])
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def end(self) -> None:
+        # a session that has been stopped has no file systems any more
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

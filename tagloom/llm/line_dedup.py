@@ -1,44 +1,54 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are sets of character shingles: SHINGLE characters from each place on. A
-signature holds the SKETCH smallest hashes of a line's shingles; bands are pairs
-of them that stand close together, so that lines that share two of their
-smallest shingles meet. Each bucket's smallest line is compared with the others
-by exact Jaccard, and pairs of THRESHOLD or more are united by distributed
-union-find; in buckets that still hold several components then, each two lines
-of different components are compared. Sizes and parities of the sets (bounds,
-both exact) leave out pairs that cannot link before texts are looked at.
-Of each component (equal lines are one line) the first occurrence stays, by
-doc_id and place.
-
-Lines shorter than MIN_CHARS, in characters, are not looked at and stay.
+Lines are sets of character shingles: SHINGLE characters from each place on (a
+shorter line is its own one shingle). A signature holds the least hash of each
+of BINS classes of a line's shingles; two neighbouring classes make a band, and
+lines that agree in a band meet in a bucket. Of those that meet, pairs that
+agree in AGREE classes at least go on to exact Jaccard, and pairs of THRESHOLD
+or more are united by distributed union-find.
+
+Each bucket's smallest line is compared with the others first. In buckets that
+still hold several components then, the lines that are not in the smallest
+one's component are compared with all others of theirs, dealt out by two more
+classes that both agree in: as AGREE classes agree, of which a band has two,
+each pair that is left meets so, and no bucket is looked at as a whole.
 
-Cases: a null text stays null; a text all of whose lines go becomes empty; rows
-without doc_id stay as they are; repeated rows are repeated lines of one
-document: their equal lines go by place only, so all copies keep the same
-lines; an empty table gives no rows; further columns come out as they are.
+Of each component (equal lines are one line) the first occurrence stays, by
+doc_id and place. For a pair just at the threshold the chance to meet is 0.97;
+it grows quickly beyond.
+
+Cases: a null text stays null; a line without a word (blank) is not looked at
+and stays, all others count, whatever their length; a text all of whose lines
+go becomes empty; rows without doc_id stay as they are; repeated rows are
+repeated lines of one document: their equal lines go by place only, so all
+copies keep the same lines; an empty table gives no rows; further columns come
+out as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, fresh, sieve
 from .components import components
-from .decontaminate import sized
 
 SHINGLE = 8
-MIN_CHARS = 24
 THRESHOLD = 0.8
-SKETCH = 5
-#: Pairs of places in the sketch that make a band.
-BANDS = [(i, j) for i in range(SKETCH) for j in range(i + 1, SKETCH) if j - i <= 2]
+#: Classes of hashes (a power of two); two make a band.
+BINS = 8
+#: Classes in which lines must agree to be compared.
+AGREE = 4
+#: Hashes that are looked at for a class, on average: the least ones, so that most shingles take no part in minima.
+LEAST = 6
+#: Bits of a hash that order it within its class.
+BITS = 31
 KEY = ("k", "c")
-#: Members of a bucket that are compared with each other in one group.
-BLOCK = 512
+CLASSES = [f"m{j}" for j in range(BINS)]
 
 
 def _let(x: Column, of: Callable[[Column], Column]) -> Column:
@@ -57,94 +67,96 @@ def shingles(line: Column) -> Column:
     return _let(F.encode(line, "UTF-32"), cut)
 
 
-def _parity(h: Column) -> Column:
-    """64 bits: how often each is hit, odd or even. Bits that differ bound from below how many elements do."""
-    zero = F.lit(0).cast("long")
-    return F.aggregate(h, zero, lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-
-def _set(h: Column) -> Column:
-    """Size, parities and sketch of a set."""
-    halves = (F.filter(h, lambda x: x < 0), F.filter(h, lambda x: x >= 0))
-    return F.struct(F.size(h).alias("n"), *(_parity(x).alias(f"p{i}") for i, x in enumerate(halves)), F.slice(F.sort_array(h), 1, SKETCH).alias("sketch"))
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place and line of each line that is long enough."""
+    """doc_id, place and line of each line that holds a word, with the line's name: 96 bits of hash."""
     texts = docs.where("doc_id is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
-    return texts.where(F.char_length("line") >= MIN_CHARS)
+    return texts.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "at", "line", F.xxhash64("line").alias("k"), F.hash("line").alias("c"))
+
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """Of each different line k, c, how often it occurs and the least hash of each class (null: none).
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    """With a line's name: 96 bits of hash."""
-    return lines.withColumn("k", F.xxhash64("line")).withColumn("c", F.hash("line"))
+    Shingles are rows here, so that hashing and minima are compiled code, and
+    are summed up before anything is shuffled.
+    """
+    whole = lines.select("k", "c", F.encode("line", "UTF-32").alias("b"))
+    sized_ = whole.withColumn("last", F.greatest(F.lit(1), F.octet_length("b") - (4 * SHINGLE - 1)))
+    each = sized_.select("k", "c", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4))).alias("i"))
+    hashed = each.select("k", "c", "last", "i", F.xxhash64(F.col("b").substr(F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
+    most = (F.lit(float(1 << BITS)) * F.least(F.lit(1.0), F.lit(4.0 * LEAST * BINS) / F.col("last"))).cast("long")
+    value = F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("v")
+    some = hashed.select("k", "c", "i", most.alias("most"), F.col("h").bitwiseAND(F.lit(BINS - 1)).cast("int").alias("class"), value)
+    some = some.where((F.col("v") <= F.col("most")) | (F.col("i") == 1))
+    return some.groupBy(*KEY).agg(F.count_if(F.col("i") == 1).alias("times"), *(F.min(F.when(F.col("class") == j, F.col("v"))).alias(m) for j, m in enumerate(CLASSES)))
 
 
-def _may_link(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Those pairs `a`, `b` that sizes and parities don't rule out."""
-    one, two = (keys.select(F.struct("k", "c").alias(x), F.struct("n", "p0", "p1").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_bounds("sa", "sb")).select("a", "b")
+def _agreeing(a: str, b: str) -> Column:
+    """In how many classes two signatures agree (columns named with these prefixes)."""
+    return reduce(lambda x, y: x + y, (F.col(f"{a}{m}").eqNullSafe(F.col(f"{b}{m}")).cast("int") for m in CLASSES))
 
 
-def _bounds(a: str, b: str) -> Column:
-    """Whether sets of these sizes and parities may reach THRESHOLD; they differ in (1 - THRESHOLD) / (1 + THRESHOLD) of the elements of both at most."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")), F.lit(0))
-    return (F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-6) & (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (n + m) + 1e-6)
+def _as(keys: DataFrame, side: str) -> DataFrame:
+    return keys.select(F.col("k").alias(f"{side}k"), F.col("c").alias(f"{side}c"), *(F.col(m).alias(f"{side}{m}") for m in CLASSES))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, kept: Kept) -> DataFrame:
-    """Those pairs `a`, `b` whose sets have THRESHOLD of their union in common."""
+    """Those pairs of names (ak, ac, bk, bc) whose sets have THRESHOLD of their union in common, as structs a and b."""
     pairs = kept.write(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select("key.*")
-    texts = kept.write(_keyed(_lines(docs)).select("k", "c", "line").join(sized(wanted), list(KEY), "left_semi").dropDuplicates(list(KEY)))
-    one, two = (texts.select(F.struct("k", "c").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    wanted = kept.write(pairs.select(F.explode(F.array(F.struct(F.col("ak").alias("k"), F.col("ac").alias("c")), F.struct(F.col("bk").alias("k"), F.col("bc").alias("c")))).alias("key")).distinct().select("key.*"))
+    texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
+    texts = kept.write(texts.join(wanted.hint("merge"), list(KEY), "left_semi").dropDuplicates(list(KEY)))
+    one, two = (texts.select(F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c"), F.col("line").alias(f"l{x}")) for x in "ab")
     sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
 
     def alike(s: Column) -> Column:
         both = F.size(F.array_intersect(s["a"], s["b"]))
         return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
 
-    links = kept.write(pairs.join(one, "a").join(two, "b").where(_let(sets, alike)).select("a", "b"))
-    kept.drop(pairs, texts)
+    met = pairs.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(sets, alike))
+    links = kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
+    kept.drop(pairs, wanted, texts)
     return links
 
 
-def _parted(members: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of lines of different components that share a bucket and may link, in blocks of a bucket's lines."""
-    left = members.where("key <> hub").join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    # the smallest line has been compared with all others
-    buckets = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
-    buckets = buckets.groupBy("m", "who").agg(F.min("bucket").alias("bucket"))  # one of those with the same members
-    sets = keys.select(F.struct("k", "c").alias("key"), F.struct("n", "p0", "p1").alias("s"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    some = left.join(sized(buckets), "bucket").join(sets, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = ["bucket", "one", "two"]
-    dealt = some.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "component", "s")
-    a = dealt.where("block = one").select(*group, F.col("key").alias("ka"), F.col("component").alias("ca"), F.col("s").alias("sa"))
-    b = dealt.where("block = two").select(*group, F.col("key").alias("kb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
-    both = a.join(b, group).where((F.col("ca") != F.col("cb")) & ((F.col("one") != F.col("two")) | (F.col("ka") < F.col("kb"))) & _bounds("sa", "sb"))
-    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+def _rest(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of lines of different components that share a bucket whose smallest line has not united them, and agree in AGREE classes."""
+    of = found.select(F.col("node.k").alias("k"), F.col("node.c").alias("c"), F.struct("component.k", "component.c").alias("component"))
+    known = near.join(of, list(KEY), "left").withColumn("component", F.coalesce("component", F.struct("k", "c")))
+    # buckets that hold several components; a bucket's members other than the smallest one
+    held = members.join(known, "k")
+    parted = held.groupBy("bucket").agg(F.min(F.struct("component.k", "component.c")).alias("lo"), F.max(F.struct("component.k", "component.c")).alias("hi"), F.min(F.when(F.col("k") == F.col("hub"), F.col("component"))).alias("home")).where("lo <> hi").select("bucket", "home")
+    left = held.where("k <> hub").join(parted, "bucket")
+    # two classes besides the band's own, by which pairs that agree in enough are dealt out
+    keys = []
+    for i, j in combinations(range(BINS), 2):
+        own = (F.col("band") == i // 2) | (F.col("band") == j // 2)
+        keys.append(F.when(~own, F.xxhash64("bucket", F.lit(i * BINS + j), CLASSES[i], CLASSES[j])))
+    dealt = left.select("k", "c", "component", "home", *CLASSES, F.explode(F.array_compact(F.array(*keys))).alias("deal"))
+    a = dealt.where("component <> home").select("deal", F.col("component").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac"))
+    b = dealt.select("deal", F.col("component").alias("of_b"), F.col("home"), F.col("k").alias("bk"), F.col("c").alias("bc"))
+    met = a.join(b, "deal").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("home")) | (F.struct("ak", "ac") < F.struct("bk", "bc"))))
+    return met.select("ak", "ac", "bk", "bc").distinct()
 
 
 def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
-    """k, c and component of each line that resembles a different one; `keys` has each line's name, size, parities and sketch."""
-    size = F.size("sketch")
-    bands = [F.when(size > j, F.xxhash64(F.get("sketch", F.lit(i)), F.get("sketch", F.lit(j)))) for i, j in BANDS]
-    # lines of one shingle meet by it
-    single = F.when(size == 1, F.xxhash64(F.get("sketch", F.lit(0))))
-    banded = keys.select(F.struct("k", "c").alias("key"), F.explode(F.array_distinct(F.array_compact(F.array(single, *bands)))).alias("bucket"))
-    hubs = kept.write(banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("bucket", "hub"))
-    members = kept.write(banded.join(sized(hubs), "bucket"))
-    kept.drop(hubs)
-    pairs = members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    links = _linked(_may_link(pairs, keys), docs, kept)
+    """k, c and component of each line that resembles a different one; `keys` has each line's name and signature."""
+    bands = []
+    for j in range(BINS // 2):
+        one, two = CLASSES[2 * j], CLASSES[2 * j + 1]
+        bands.append(F.when(F.col(one).isNotNull() | F.col(two).isNotNull(), F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), one, two).alias("bucket"))))
+    banded = keys.select("k", F.inline(F.array_compact(F.array(*bands))))
+    hubs = kept.write(banded.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub <> last").select("bucket", "hub"))
+    members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
+    meeting = members.select("k").distinct()
+    near = kept.write(sieve(keys, "k", meeting, "k").join(meeting, "k", "left_semi").select(*KEY, *CLASSES))
+    pairs = members.where("k <> hub").select(F.col("hub").alias("ak"), F.col("k").alias("bk")).distinct()
+    pairs = pairs.join(_as(near, "a"), "ak").join(_as(near, "b"), "bk").where(_agreeing("a", "b") >= AGREE)
+    links = _linked(pairs.select("ak", "ac", "bk", "bc"), docs, kept)
     found = kept.write(components(links, kept))
-    more = _linked(_parted(members, keys, found), docs, kept)
+    more = _linked(_rest(members, near, found), docs, kept)
     if not more.isEmpty():
-        found = kept.write(components(links.union(more), kept))
-    kept.drop(members, links, more)
+        found = kept.write(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), kept))
+    kept.drop(members, hubs, near, links, more)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
 
 
@@ -152,24 +164,24 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id and `drop`, the places of the lines that go."""
     kept = Kept(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    occurrences = kept.write(_keyed(_lines(docs)).select("doc_id", "at", "k", "c", _let(shingles(F.col("line")), _set).alias("set")))
-    keys = occurrences.groupBy("k", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at", "set")).alias("first"))
-    keys = kept.write(keys.select("k", "c", "times", F.struct("first.doc_id", "first.at").alias("first"), "first.set.*"))
+    keys = kept.write(signatures(_lines(docs)))
     near = line_components(docs, keys, kept)
-    united = keys.join(near, list(KEY), "left").where("times > 1 or component is not null").select("k", "c", "first", F.coalesce("component", F.struct("k", "c")).alias("component"))
-    united = kept.write(united)
-    stays = united.groupBy("component").agg(F.min("first").alias("stay"))
-    of = united.join(stays, "component").select("k", "c", "stay")
-    gone = occurrences.select("doc_id", "at", "k", "c").join(of, list(KEY)).where(F.struct("doc_id", "at") != F.col("stay"))
+    united = keys.join(near, list(KEY), "left").where("times > 1 or component is not null")
+    united = kept.write(united.select("k", "c", F.coalesce("component", F.struct("k", "c")).alias("component")))
+    occurrences = sieve(_lines(docs).select("doc_id", "at", "k", "c"), "k", united, "k").join(united, list(KEY))
+    occurrences = kept.write(occurrences.select("doc_id", "at", F.xxhash64("component.k", "component.c").alias("h"), "component"))
+    stays = occurrences.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("stay"))
+    gone = occurrences.join(stays, "component").where(F.struct("doc_id", "at") != F.col("stay"))
     out = kept.write(gone.groupBy("doc_id").agg(F.collect_set("at").alias("drop")))
-    kept.drop(occurrences, keys, united)
+    kept.drop(keys, united, occurrences)
     return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with each text's lines that repeat or resemble an earlier one left out."""
-    gone = sized(dropped_lines(docs).withColumnRenamed("doc_id", "_gone_id").withColumnRenamed("drop", "_gone"))
-    joined = docs.join(gone, docs.doc_id == gone._gone_id, "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    of, drop = fresh(docs, "of"), fresh(docs, "drop")
+    gone = dropped_lines(docs).select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone[of], "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -189,10 +189,41 @@ def test_lines(spark):
     assert out[0].text == long + "\nshort"
     assert out[1].text == "own line that nobody else has written"
     assert out[2].text == "" and out[6].text == ""
-    assert out[3].text is None and out[4].text == "" and out[5].text == "short" and out[7].text == texts[7]
+    # equal lines of any length are one line
+    assert out[3].text is None and out[4].text == "" and out[5].text == "" and out[7].text == texts[7]
     assert out[0].w == "w"
 
 
+def test_lines_of_edge_cases(spark):
+    kind = "doc_id long, text string, _drop long, drop long, of string, k long, c long, line string"
+    rows = [(1, "a\n\n  \na\n\nb", 1, 2, "x", 3, 4, "l"), (2, "b\nc\n", 1, 2, "x", 3, 4, "l"), (2, "b\nc\n", 1, 2, "x", 3, 4, "l"), (None, "a\nb", 1, 2, "x", 3, 4, "l"), (3, None, None, None, None, None, None, None), (4, "z" * 50000 + "\n" + "z" * 50001, 1, 2, "x", 3, 4, "l")]
+    d = spark.createDataFrame(rows, kind)
+    out = line_dedup.dedup_lines(d)
+    assert out.columns == d.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str)
+    # blank lines stay; repeated rows keep the same lines; rows without doc_id stay as they are
+    assert got == sorted([(1, "a\n\n  \n\nb"), (2, "c\n"), (2, "c\n"), (0, "a\nb"), (3, None), (4, "z" * 50000)], key=str)
+    assert line_dedup.dedup_lines(d.limit(0)).collect() == []
+
+
+def test_lines_of_one_template(spark):
+    # half of each line is the same, so that unlike lines meet in the same buckets
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    head = " ".join(word() for _ in range(25))
+    lines = []
+    for _ in range(60):
+        body = [word() for _ in range(20)]
+        lines.append(head + " " + " ".join(body))
+        for _ in range(3):
+            own = list(body)
+            own[rng.randrange(20)] = word()
+            lines.append(head + " " + " ".join(own))
+    want, got = brute_lines(lines), line_lists(spark, lines)
+    assert sum(want) == 180 and not any(g and not w for g, w in zip(got, want, strict=True))
+    assert sum(got) >= 0.98 * sum(want)
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 17])
 def test_tree_equals_library(leaf):
     enc, tokens = bpe.vocabulary(*tokenizer())
