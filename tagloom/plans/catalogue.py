@@ -6,21 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, heads, library, matching, moods, personal, scores, tags, vectors
-from ..sources.views import view, with_views
+from ..sources.views import view
 from ..streaming import scrobbles
+from .registry import ORACLE_SQL, QUERIES, add  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 RULES = tags.Rules("OR", (tags.Condition("genre", "=", "ring"),), (tags.Rules("AND", (tags.Condition("nom:energy", ">", 0.9), tags.Condition("nom:mood-strict", "CONTAINS", "urgent"))),))
 
 
-def add(name: str, build, sql: str = "", views: tuple[str, ...] = ()) -> None:
-    """Registers a query over views: `build` gets them as DataFrames, in this order."""
-    QUERIES[name] = lambda spark, sf_dir: build(*(view(spark, sf_dir, v) for v in views))
-    if sql:
-        ORACLE_SQL[name] = f"{with_views(*views)} {sql}"
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _playlist(view(spark, sf_dir, "tags_long"), view(spark, sf_dir, "files"))
 
@@ -166,3 +158,6 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["scrobble_counts"] = _scrobbles
+
+# the other parts of the catalogue register themselves
+from . import curation_queries, state_queries  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
@@ -27,8 +29,24 @@ SELECT o_custkey AS user_id, l_partkey AS nd_id, count(*) AS playcount, max(o_or
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
     "vectors": "SELECT vec_id AS file_id, embedding AS vector, label AS genre_id FROM embeddings",
     "segments": "SELECT l_partkey AS file_id, l_orderkey * 10 + l_linenumber AS segment_id, l_discount * 10 AS score_a, l_tax * 12.5e0 AS score_b FROM lineitem",
+    "libraries": """
+SELECT r_regionkey AS library_id, lower(r_name) AS name, CASE WHEN r_regionkey = 0 THEN 'music' ELSE concat('music/', lower(r_name)) END AS root_path,
+  r_regionkey <> 3 AS is_enabled, CASE WHEN r_regionkey = 1 THEN 'off' WHEN r_regionkey = 2 THEN 'poll' WHEN r_regionkey = 4 THEN NULL ELSE 'event' END AS watch_mode,
+  CASE WHEN r_regionkey % 2 = 1 THEN 'none' WHEN r_regionkey = 2 THEN 'minimal' ELSE 'full' END AS file_write_mode
+FROM region""",
+    "library_scans": """
+SELECT o_orderkey AS scan_id, o_custkey % 4 AS library_id, CASE WHEN o_orderstatus = 'O' THEN 'running' ELSE 'completed' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS files_processed, o_orderdate AS started_at
+FROM orders""",
+    "states": """
+SELECT f.file_id, a.axis, (f.file_id * a.k + CAST(floor(f.file_id / 5.0e0) AS BIGINT)) % 7 < 4 AS positive
+FROM files f CROSS JOIN (VALUES ('tagged', 2), ('too_short', 3), ('calibrated', 6), ('tags_written', 7), ('tags_current', 8), ('scanned', 11), ('vectors_extracted', 12), ('errored', 13)) AS a(axis, k)""",
+    "claims": "SELECT DISTINCT l_partkey AS file_id, l_suppkey AS worker_id FROM lineitem WHERE l_quantity >= 49",
+    "nd_links": "SELECT concat('nd', CAST(p_partkey AS VARCHAR(20))) AS nd_id, p_partkey AS file_id FROM part WHERE p_size < 45",
+    "snapshots": """
+SELECT concat('head', CAST(o_custkey % 12 AS VARCHAR(20))) AS calibration_key, o_orderkey AS snapshot_at, o_totalprice / 1000000.0e0 AS p5, o_totalprice / 500000.0e0 AS p95, o_custkey AS n
+FROM orders""",
 }
-NEEDS = {"tags_long": ["files", "mood_edges"]}
+NEEDS = {"tags_long": ["files", "mood_edges"], "states": ["files"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +55,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for other in NEEDS.get(name, []):
         view(spark, sf_dir, other).createOrReplaceTempView(other)
     for t in TABLES:
-        if f" {t}" in text:
+        if re.search(rf"\b{t}\b", text):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(text)
 
