@@ -4,8 +4,10 @@ Lines are sets of character shingles: SHINGLE characters from each place on (a
 shorter line is its own one shingle). A signature holds the least hash of each
 of BINS classes of a line's shingles; two neighbouring classes make a band, and
 lines that agree in a band meet in a bucket. Of those that meet, pairs that
-agree in AGREE classes at least go on to exact Jaccard, and pairs of THRESHOLD
-or more are united by distributed union-find.
+agree in AGREE classes at least go on. Bounds from the sizes and parities of
+their sets, which are exact, leave out those that can't link; the others'
+Jaccard similarity is computed from the texts, and pairs of THRESHOLD or more
+are united by distributed union-find.
 
 Each bucket's smallest line is compared with the others first. In buckets that
 still hold several components then, the lines that are not in the smallest
@@ -49,6 +51,8 @@ LEAST = 6
 BITS = 31
 KEY = ("k", "c")
 CLASSES = [f"m{j}" for j in range(BINS)]
+#: 64-bit words that hold the parities of a line's set.
+WORDS = 16
 
 
 def _let(x: Column, of: Callable[[Column], Column]) -> Column:
@@ -99,22 +103,42 @@ def _as(keys: DataFrame, side: str) -> DataFrame:
     return keys.select(F.col("k").alias(f"{side}k"), F.col("c").alias(f"{side}c"), *(F.col(m).alias(f"{side}{m}") for m in CLASSES))
 
 
+def _parities(texts: DataFrame) -> DataFrame:
+    """Of each line k, c the size n of its set, and for each class of shingles whether it holds an odd number of them, in WORDS words."""
+    each = texts.select(*KEY, F.explode(shingles(F.col("line"))).alias("h"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    return each.groupBy(*KEY).agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(WORDS)))
+
+
+def _may_link() -> Column:
+    """Whether sets of these sizes and parities may reach THRESHOLD: they differ in (1 - THRESHOLD) / (1 + THRESHOLD) of the elements of both at most, and in each class of another parity by one element at least. Exact: none is lost."""
+    n, m = F.col("an"), F.col("bn")
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"ap{j}").bitwiseXOR(F.col(f"bp{j}"))) for j in range(WORDS)))
+    return (F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-6) & (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (n + m) + 1e-6)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, kept: Kept) -> DataFrame:
     """Those pairs of names (ak, ac, bk, bc) whose sets have THRESHOLD of their union in common, as structs a and b."""
     pairs = kept.write(pairs)
     wanted = kept.write(pairs.select(F.explode(F.array(F.struct(F.col("ak").alias("k"), F.col("ac").alias("c")), F.struct(F.col("bk").alias("k"), F.col("bc").alias("c")))).alias("key")).distinct().select("key.*"))
     texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
-    texts = kept.write(texts.join(wanted.hint("merge"), list(KEY), "left_semi").dropDuplicates(list(KEY)))
+    # an inner join: a semi-join would be pushed below the sieve
+    texts = kept.write(texts.join(wanted.hint("merge"), list(KEY)).dropDuplicates(list(KEY)))
+    sets = kept.write(_parities(texts))
+    set_a, set_b = (sets.select(*(F.col(c).alias(f"{x}{c}") for c in sets.columns)) for x in "ab")
+    close = pairs.join(set_a, ["ak", "ac"]).join(set_b, ["bk", "bc"])
+    close = kept.write(close.where(_may_link()).select("ak", "ac", "bk", "bc"))
     one, two = (texts.select(F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c"), F.col("line").alias(f"l{x}")) for x in "ab")
-    sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
+    both_sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
 
     def alike(s: Column) -> Column:
         both = F.size(F.array_intersect(s["a"], s["b"]))
         return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
 
-    met = pairs.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(sets, alike))
+    met = close.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(both_sets, alike))
     links = kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
-    kept.drop(pairs, wanted, texts)
+    kept.drop(pairs, wanted, texts, sets, close)
     return links
 
 
@@ -122,18 +146,23 @@ def _rest(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of lines of different components that share a bucket whose smallest line has not united them, and agree in AGREE classes."""
     of = found.select(F.col("node.k").alias("k"), F.col("node.c").alias("c"), F.struct("component.k", "component.c").alias("component"))
     known = near.join(of, list(KEY), "left").withColumn("component", F.coalesce("component", F.struct("k", "c")))
-    # buckets that hold several components; a bucket's members other than the smallest one
+    # buckets that hold several components besides their smallest line
     held = members.join(known, "k")
-    parted = held.groupBy("bucket").agg(F.min(F.struct("component.k", "component.c")).alias("lo"), F.max(F.struct("component.k", "component.c")).alias("hi"), F.min(F.when(F.col("k") == F.col("hub"), F.col("component"))).alias("home")).where("lo <> hi").select("bucket", "home")
-    left = held.where("k <> hub").join(parted, "bucket")
+    part = F.xxhash64("component.k", "component.c")
+    other = F.when(F.col("k") != F.col("hub"), part)
+    parted = held.groupBy("bucket").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.min(F.when(F.col("k") == F.col("hub"), part)).alias("home")).where("lo <> hi").select("bucket", "home")
+    left = held.where("k <> hub").withColumn("part", part).join(parted, "bucket")
     # two classes besides the band's own, by which pairs that agree in enough are dealt out
     keys = []
     for i, j in combinations(range(BINS), 2):
         own = (F.col("band") == i // 2) | (F.col("band") == j // 2)
         keys.append(F.when(~own, F.xxhash64("bucket", F.lit(i * BINS + j), CLASSES[i], CLASSES[j])))
-    dealt = left.select("k", "c", "component", "home", *CLASSES, F.explode(F.array_compact(F.array(*keys))).alias("deal"))
-    a = dealt.where("component <> home").select("deal", F.col("component").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac"))
-    b = dealt.select("deal", F.col("component").alias("of_b"), F.col("home"), F.col("k").alias("bk"), F.col("c").alias("bc"))
+    dealt = left.select("k", "c", "part", "home", F.explode(F.array_compact(F.array(*keys))).alias("deal"))
+    # the groups that hold several components
+    several = dealt.groupBy("deal").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("deal")
+    dealt = sieve(dealt, "deal", several, "deal")
+    a = dealt.where("part <> home").select("deal", F.col("part").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac"))
+    b = dealt.select("deal", F.col("part").alias("of_b"), "home", F.col("k").alias("bk"), F.col("c").alias("bc"))
     met = a.join(b, "deal").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("home")) | (F.struct("ak", "ac") < F.struct("bk", "bc"))))
     return met.select("ak", "ac", "bk", "bc").distinct()
 
@@ -148,7 +177,7 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     hubs = kept.write(banded.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub <> last").select("bucket", "hub"))
     members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
     meeting = members.select("k").distinct()
-    near = kept.write(sieve(keys, "k", meeting, "k").join(meeting, "k", "left_semi").select(*KEY, *CLASSES))
+    near = kept.write(sieve(keys, "k", meeting, "k").join(meeting, "k").select(*KEY, *CLASSES))
     pairs = members.where("k <> hub").select(F.col("hub").alias("ak"), F.col("k").alias("bk")).distinct()
     pairs = pairs.join(_as(near, "a"), "ak").join(_as(near, "b"), "bk").where(_agreeing("a", "b") >= AGREE)
     links = _linked(pairs.select("ak", "ac", "bk", "bc"), docs, kept)
