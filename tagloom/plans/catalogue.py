@@ -160,4 +160,4 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scrobble_counts"] = _scrobbles
 
 # the other parts of the catalogue register themselves
-from . import curation_queries, state_queries  # noqa: E402, F401
+from . import curation_queries, file_queries, state_queries  # noqa: E402, F401
