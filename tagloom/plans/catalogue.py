@@ -94,9 +94,8 @@ add("nlists_nprobe", lambda v: v.groupBy("genre_id").agg(F.count("*").alias("doc
 
 # plays
 add("plays_top", lambda p: personal.top_tracks(p, 3), "SELECT user_id, nd_id, playcount, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY playcount DESC, last_played DESC, nd_id) AS rank FROM plays) WHERE rank <= 3", PL)
-add("playlist_universal", lambda p: personal.universal(p, 25), "SELECT nd_id, count(*) AS users, CAST(sum(playcount) AS BIGINT) AS plays FROM plays GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25", PL)
-add("playlist_hidden_gems", lambda p: personal.hidden_gems(p, 1, 25), "SELECT nd_id, CAST(sum(playcount) AS BIGINT) AS plays FROM plays WHERE nd_id NOT IN (SELECT nd_id FROM plays WHERE user_id = 1) GROUP BY 1 ORDER BY 2, 1 LIMIT 25", PL)
-add("taste_weights", lambda p: personal.taste_weights(p, "2001-09-01").select("user_id", "nd_id", F.round("weight", 6).alias("weight")), "SELECT user_id, nd_id, round(round(ln(1 + playcount) * pow(2.0e0, -date_diff('day', CAST(last_played AS DATE), DATE '2001-09-01') / 30.0e0), 9), 6) AS weight FROM plays", PL)
+add("plays_most_users", lambda p: personal.most_users(p, 25), "SELECT nd_id, count(*) AS users, CAST(sum(playcount) AS BIGINT) AS plays FROM plays GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25", PL)
+add("plays_least_by_others", lambda p: personal.least_by_others(p, 1, 25), "SELECT nd_id, CAST(sum(playcount) AS BIGINT) AS plays FROM plays WHERE nd_id NOT IN (SELECT nd_id FROM plays WHERE user_id = 1) GROUP BY 1 ORDER BY 2, 1 LIMIT 25", PL)
 add("genre_shares", personal.genre_shares, ", g AS (SELECT DISTINCT file_id, value_str FROM tags_long WHERE rel = 'genre') SELECT user_id, value_str AS genre, CAST(sum(playcount) AS BIGINT) AS plays FROM plays JOIN g ON nd_id = file_id GROUP BY 1, 2", ("plays", "tags_long"))
 
 
@@ -127,8 +126,6 @@ add("calib_drift", lambda t: drift.percentile_drift(t.where("rel = 'nom:calm'").
 
 # vectors in two tiers, taste, sync, matching
 add("track_vector_lookup", lambda v: matching.latest(v.where("file_id % 3 = 0").select("file_id", F.lit("cold").alias("tier")).union(v.where("file_id % 2 = 0").select("file_id", F.lit("hot"))), "file_id", ["tier"]), "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM vectors WHERE file_id % 3 = 0 OR file_id % 2 = 0", VE)
-_WEIGHT = "round(ln(1 + playcount) * pow(2.0e0, -date_diff('day', CAST(last_played AS DATE), DATE '2001-09-01') / 30.0e0), 9)"
-add("taste_centroid", lambda p, v: personal.taste_centroids(personal.taste_weights(p, "2001-09-01"), v).withColumn("value", F.round("value", 5) + 0.0), f", s AS (SELECT user_id, i - 1 AS dim, sum({_WEIGHT} * CAST(vector[i] AS DOUBLE)) AS s FROM plays JOIN vectors ON nd_id = file_id CROSS JOIN (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i) GROUP BY 1, 2), l AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY user_id)) AS len FROM s) SELECT user_id, dim, CASE WHEN len > 0 THEN round(s / len, 5) ELSE 0.0e0 END + 0.0e0 AS value FROM l", ("plays", "vectors"))
 add("sync_diff", lambda p, f: personal.sync_status(p.where("nd_id % 5 <> 0"), f.where("file_id % 7 <> 0")), ", p AS (SELECT DISTINCT nd_id FROM plays WHERE nd_id % 5 <> 0), g AS (SELECT file_id FROM files WHERE file_id % 7 <> 0) SELECT coalesce(g.file_id, nd_id) AS file_id, CASE WHEN g.file_id IS NULL THEN 'orphan' WHEN nd_id IS NULL THEN 'unplayed' ELSE 'matched' END AS status FROM g FULL JOIN p ON g.file_id = nd_id", ("plays", "files"))
 
 
@@ -160,4 +157,4 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scrobble_counts"] = _scrobbles
 
 # the other parts of the catalogue register themselves
-from . import curation_queries, file_queries, state_queries  # noqa: E402, F401
+from . import curation_queries, file_queries, personal_queries, state_queries, vector_queries  # noqa: E402, F401

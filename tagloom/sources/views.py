@@ -28,6 +28,9 @@ UNION ALL SELECT file_id, rel, value_str, CAST(NULL AS DOUBLE) FROM mood_edges""
 SELECT o_custkey AS user_id, l_partkey AS nd_id, count(*) AS playcount, max(o_orderdate) AS last_played
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
     "vectors": "SELECT vec_id AS file_id, embedding AS vector, label AS genre_id FROM embeddings",
+    "tiers": """
+SELECT vec_id AS file_id, embedding AS vector, 'cold' AS tier, CAST(vec_id AS BIGINT) AS created_at FROM embeddings WHERE label % 3 <> 0
+UNION ALL SELECT vec_id, embedding, 'hot', CAST(vec_id AS BIGINT) + 1000 FROM embeddings WHERE label % 3 <> 1""",
     "segments": "SELECT l_partkey AS file_id, l_orderkey * 10 + l_linenumber AS segment_id, l_discount * 10 AS score_a, l_tax * 12.5e0 AS score_b FROM lineitem",
     "libraries": """
 SELECT r_regionkey AS library_id, lower(r_name) AS name, CASE WHEN r_regionkey = 0 THEN 'music' ELSE concat('music/', lower(r_name)) END AS root_path,
