@@ -9,11 +9,12 @@ their sets, which are exact, leave out those that can't link; the others'
 Jaccard similarity is computed from the texts, and pairs of THRESHOLD or more
 are united by distributed union-find.
 
-Each bucket's smallest line is compared with the others first. In buckets that
-still hold several components then, the lines that are not in the smallest
-one's component are compared with all others of theirs, dealt out by two more
-classes that both agree in: as AGREE classes agree, of which a band has two,
-each pair that is left meets so, and no bucket is looked at as a whole.
+Each bucket's most frequent line is compared with the others first. Lines of buckets
+that still hold several components then are dealt out by two more classes that
+they agree in: as AGREE classes agree, of which a band has two, each pair that is
+left meets so, and no bucket is looked at as a whole. In some rounds each deal's
+first line, in an order that changes, is compared with those of other components;
+what is still apart then is compared in full, behind the exact bounds.
 
 Of each component (equal lines are one line) the first occurrence stays, by
 doc_id and place. For a pair just at the threshold the chance to meet is 0.97;
@@ -51,6 +52,8 @@ LEAST = 6
 BITS = 31
 KEY = ("k", "c")
 CLASSES = [f"m{j}" for j in range(BINS)]
+#: Rounds in which hubs are compared with the rest of their deals.
+ROUNDS = 2
 #: 64-bit words that hold the parities of a line's set.
 WORDS = 16
 
@@ -100,7 +103,7 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def _as(keys: DataFrame, side: str) -> DataFrame:
-    return keys.select(F.col("k").alias(f"{side}k"), F.col("c").alias(f"{side}c"), *(F.col(m).alias(f"{side}{m}") for m in CLASSES))
+    return keys.select(F.col("code").alias(f"{side}code"), F.col("k").alias(f"{side}k"), F.col("c").alias(f"{side}c"), *(F.col(m).alias(f"{side}{m}") for m in CLASSES))
 
 
 def _parities(texts: DataFrame) -> DataFrame:
@@ -118,52 +121,86 @@ def _may_link() -> Column:
     return (F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-6) & (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (n + m) + 1e-6)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, kept: Kept) -> DataFrame:
-    """Those pairs of names (ak, ac, bk, bc) whose sets have THRESHOLD of their union in common, as structs a and b."""
-    pairs = kept.write(pairs)
-    wanted = kept.write(pairs.select(F.explode(F.array(F.struct(F.col("ak").alias("k"), F.col("ac").alias("c")), F.struct(F.col("bk").alias("k"), F.col("bc").alias("c")))).alias("key")).distinct().select("key.*"))
-    texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
-    # an inner join: a semi-join would be pushed below the sieve
-    texts = kept.write(texts.join(wanted.hint("merge"), list(KEY)).dropDuplicates(list(KEY)))
-    sets = kept.write(_parities(texts))
-    set_a, set_b = (sets.select(*(F.col(c).alias(f"{x}{c}") for c in sets.columns)) for x in "ab")
-    close = pairs.join(set_a, ["ak", "ac"]).join(set_b, ["bk", "bc"])
-    close = kept.write(close.where(_may_link()).select("ak", "ac", "bk", "bc"))
-    one, two = (texts.select(F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c"), F.col("line").alias(f"l{x}")) for x in "ab")
-    both_sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
-
-    def alike(s: Column) -> Column:
-        both = F.size(F.array_intersect(s["a"], s["b"]))
-        return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
-
-    met = close.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(both_sets, alike))
-    links = kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
-    kept.drop(pairs, wanted, texts, sets, close)
-    return links
-
-
-def _rest(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of lines of different components that share a bucket whose smallest line has not united them, and agree in AGREE classes."""
-    of = found.select(F.col("node.k").alias("k"), F.col("node.c").alias("c"), F.struct("component.k", "component.c").alias("component"))
-    known = near.join(of, list(KEY), "left").withColumn("component", F.coalesce("component", F.struct("k", "c")))
-    # buckets that hold several components besides their smallest line
-    held = members.join(known, "k")
-    part = F.xxhash64("component.k", "component.c")
-    other = F.when(F.col("k") != F.col("hub"), part)
-    parted = held.groupBy("bucket").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.min(F.when(F.col("k") == F.col("hub"), part)).alias("home")).where("lo <> hi").select("bucket", "home")
-    left = held.where("k <> hub").withColumn("part", part).join(parted, "bucket")
-    # two classes besides the band's own, by which pairs that agree in enough are dealt out
-    keys = []
-    for i, j in combinations(range(BINS), 2):
-        own = (F.col("band") == i // 2) | (F.col("band") == j // 2)
-        keys.append(F.when(~own, F.xxhash64("bucket", F.lit(i * BINS + j), CLASSES[i], CLASSES[j])))
-    dealt = left.select("k", "c", "part", "home", F.explode(F.array_compact(F.array(*keys))).alias("deal"))
-    # the groups that hold several components
+class _Verifier:
+    """Texts and parities of lines (k, c), fetched once, and the test of pairs (ak, ac, bk, bc) of them."""
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame, kept: Kept):
+        self.kept, wanted = kept, kept.write(wanted.select(*KEY).distinct())
+        texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
+        # an inner join: a semi-join would be pushed below the sieve
+        self.texts = kept.write(texts.join(wanted.hint("merge"), list(KEY)).dropDuplicates(list(KEY)))
+        self.sets = kept.write(_parities(self.texts))
+        kept.drop(wanted)
+
+    def side(self, x: str) -> DataFrame:
+        return self.sets.select(*(F.col(c).alias(f"{x}{c}") for c in self.sets.columns))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those that have THRESHOLD of their union in common, as structs a and b."""
+        close = pairs.join(self.side("a"), ["ak", "ac"]).join(self.side("b"), ["bk", "bc"]).where(_may_link())
+        return self.alike(self.kept.write(close.select("ak", "ac", "bk", "bc")))
+
+    def alike(self, close: DataFrame) -> DataFrame:
+        one, two = (self.texts.select(F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c"), F.col("line").alias(f"l{x}")) for x in "ab")
+        sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
+
+        def alike(s: Column) -> Column:
+            both = F.size(F.array_intersect(s["a"], s["b"]))
+            return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
+
+        met = close.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(sets, alike))
+        links = self.kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
+        self.kept.drop(close)
+        return links
+
+    def drop(self) -> None:
+        self.kept.drop(self.texts, self.sets)
+
+
+def _with_part(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines (k, c and more) with `part`, a hash of their component's name."""
+    of = found.select(F.col("node.k").alias("k"), F.col("node.c").alias("c"), F.xxhash64("component.k", "component.c").alias("own"))
+    return lines.join(of, list(KEY), "left").withColumn("part", F.coalesce("own", F.xxhash64("k", "c"))).drop("own")
+
+
+def _code() -> Column:
+    """What orders lines: those that occur more often come first, as copies with changes resemble their common original rather than each other. It tells lines apart as well."""
+    often = F.least("times", F.lit((1 << 20) - 1))
+    return F.shiftleft((F.lit((1 << 20) - 1) - often).cast("long"), 43).bitwiseOR(F.shiftrightunsigned("k", 21)).alias("code")
+
+
+def _dealt(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines code, k, c of buckets that hold several components besides their first line, dealt out by two more classes: lines that agree in AGREE classes, a band's two among them, meet in a `deal`."""
+    held = members.join(_with_part(near, found), "code").where("code <> hub")
+    parted = held.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
+    left = held.join(parted, "bucket")
+    codes = F.array(*(F.lit(i * BINS + j) for i, j in combinations(range(BINS), 2)))
+    each = left.select("code", "k", "c", "part", "band", "bucket", F.array(*CLASSES).alias("m"), F.explode(codes).alias("pair"))
+    each = each.withColumn("i", F.floor(F.col("pair") / BINS).cast("int")).withColumn("j", F.col("pair") % BINS)
+    each = each.where("i div 2 <> band AND j div 2 <> band")
+    dealt = each.select("code", "k", "c", "part", F.xxhash64("bucket", "pair", F.get("m", "i"), F.get("m", "j")).alias("deal"))
     several = dealt.groupBy("deal").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("deal")
-    dealt = sieve(dealt, "deal", several, "deal")
-    a = dealt.where("part <> home").select("deal", F.col("part").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac"))
-    b = dealt.select("deal", F.col("part").alias("of_b"), "home", F.col("k").alias("bk"), F.col("c").alias("bc"))
-    met = a.join(b, "deal").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("home")) | (F.struct("ak", "ac") < F.struct("bk", "bc"))))
+    return sieve(dealt, "deal", several, "deal").join(several, "deal").select("deal", "code", "k", "c")
+
+
+def _around(dealt: DataFrame, step: int) -> DataFrame:
+    """Pairs of each deal's first line with those of its lines that are in other components: as many at most as there are lines in deals. Deals have orders of their own from the second step on."""
+    turn = F.xxhash64("deal", F.lit(step)) if step else F.lit(0).cast("long")
+    hubs = dealt.groupBy("deal").agg(F.min(F.col("code").bitwiseXOR(turn)).alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    hubs = hubs.select("deal", F.col("least").bitwiseXOR(turn).alias("hub"))
+    pairs = dealt.join(hubs, "deal").select("hub", F.col("k").alias("bk"), F.col("c").alias("bc"), F.col("part").alias("of_b")).distinct()
+    known = dealt.select(F.col("code").alias("hub"), F.col("k").alias("ak"), F.col("c").alias("ac"), F.col("part").alias("of_a")).distinct()
+    return pairs.join(known, "hub").where("of_a <> of_b").select("ak", "ac", "bk", "bc")
+
+
+def _left(dealt: DataFrame, verifier: _Verifier) -> DataFrame:
+    """The pairs of each deal's lines of different components that sizes and parities don't rule out. Lines of the deal's own first component are not paired with each other."""
+    groups = dealt.groupBy("deal").agg(F.min("part").alias("home"), F.max("part").alias("hi")).where("home <> hi").select("deal", "home")
+    some = dealt.join(groups, "deal")
+    a = some.where("part <> home").select(F.col("deal").alias("at"), F.col("part").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac")).join(verifier.side("a"), ["ak", "ac"])
+    b = some.select("deal", "home", F.col("part").alias("of_b"), F.col("k").alias("bk"), F.col("c").alias("bc")).join(verifier.side("b"), ["bk", "bc"])
+    once = (F.col("of_b") == F.col("home")) | (F.col("ak") < F.col("bk")) | ((F.col("ak") == F.col("bk")) & (F.col("ac") < F.col("bc")))
+    met = a.join(b, (F.col("at") == F.col("deal")) & (F.col("of_a") != F.col("of_b")) & once & _may_link())
     return met.select("ak", "ac", "bk", "bc").distinct()
 
 
@@ -173,19 +210,31 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     for j in range(BINS // 2):
         one, two = CLASSES[2 * j], CLASSES[2 * j + 1]
         bands.append(F.when(F.col(one).isNotNull() | F.col(two).isNotNull(), F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), one, two).alias("bucket"))))
-    banded = keys.select("k", F.inline(F.array_compact(F.array(*bands))))
-    hubs = kept.write(banded.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub <> last").select("bucket", "hub"))
+    keys = keys.select("*", _code())
+    banded = keys.select("code", F.inline(F.array_compact(F.array(*bands))))
+    hubs = kept.write(banded.groupBy("bucket").agg(F.min("code").alias("hub"), F.max("code").alias("last")).where("hub <> last").select("bucket", "hub"))
     members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
-    meeting = members.select("k").distinct()
-    near = kept.write(sieve(keys, "k", meeting, "k").join(meeting, "k").select(*KEY, *CLASSES))
-    pairs = members.where("k <> hub").select(F.col("hub").alias("ak"), F.col("k").alias("bk")).distinct()
-    pairs = pairs.join(_as(near, "a"), "ak").join(_as(near, "b"), "bk").where(_agreeing("a", "b") >= AGREE)
-    links = _linked(pairs.select("ak", "ac", "bk", "bc"), docs, kept)
+    meeting = members.select("code").distinct()
+    near = kept.write(sieve(keys, "code", meeting, "code").join(meeting, "code").select("code", *KEY, *CLASSES))
+    pairs = members.where("code <> hub").select(F.col("hub").alias("acode"), F.col("code").alias("bcode")).distinct()
+    pairs = pairs.join(_as(near, "a"), "acode").join(_as(near, "b"), "bcode").where(_agreeing("a", "b") >= AGREE)
+    pairs = kept.write(pairs.select("ak", "ac", "bk", "bc"))
+    verifier = _Verifier(docs, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
+    links = verifier.links(pairs)
     found = kept.write(components(links, kept))
-    more = _linked(_rest(members, near, found), docs, kept)
-    if not more.isEmpty():
-        found = kept.write(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), kept))
-    kept.drop(members, hubs, near, links, more)
+    verifier.drop()
+    dealt = kept.write(_dealt(members, near, found))
+    verifier = _Verifier(docs, dealt, kept)
+    for step in range(ROUNDS + 1):
+        parts = _with_part(dealt, found)
+        # what hubs could not unite in some rounds is compared in full
+        more = verifier.links(_around(parts, step)) if step < ROUNDS else verifier.alike(kept.write(_left(parts, verifier)))
+        if not more.isEmpty():
+            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            found = kept.write(components(edges, kept))
+        kept.drop(more)
+    verifier.drop()
+    kept.drop(members, hubs, near, pairs, links, dealt)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
 
 
