@@ -20,17 +20,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import Kept, sliced
 
 #: Texts up to so many characters are encoded at once.
-LEAF = 16_384
+LEAF = 1024
 #: A window's first reach to either side of a seam, in characters.
 REACH = 64
 MARGIN = 3
@@ -38,9 +37,8 @@ MARGIN = 3
 SEAMS = " \n\r\t"
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str):
-    """The library's encoder for the ranks at `path`, and each token's bytes."""
+    """The library's encoder for the ranks at `path`, and each token's bytes. It is built once a task: a cache would be looked up by name, and executors need not have this package."""
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -141,6 +139,8 @@ def length_histogram(counted: DataFrame) -> DataFrame:
     quantiles follow.
     """
     hist = counted.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / LENGTHS))
+    # written once: all that follows reads it, and texts are encoded once
+    hist = Kept(counted.sparkSession).write(hist)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

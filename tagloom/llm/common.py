@@ -124,7 +124,7 @@ class Kept:
             self._delete(self.root)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about so many bytes: memory stays bounded whatever the lengths of the texts."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,8 +10,9 @@ some already), which is undone exactly.
 Cases: a null text or role counts as empty; turns with the same number follow
 one another by role and text; a repeated row is a turn of its own; among equal
 scores the longer path wins, then the smaller leaf; messages whose parent is
-missing are roots; an empty table gives no rows; further columns are not looked
-at.
+missing are roots, and so is each message of a circle of parents; of several
+rows of one node that with the smallest parent, role, text and score counts; an
+empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,14 +37,20 @@ def unescape(text: Column) -> Column:
 
 
 def paths(messages: DataFrame, kept: Kept) -> DataFrame:
-    """tree, leaf, node and dist (from the leaf) of all root-to-leaf paths of `messages` (tree, node, parent)."""
+    """tree, leaf, node and dist (from the leaf) of all root-to-leaf paths of `messages` (tree, node, parent), a row a node."""
     nodes = messages.select("tree", "node")
     up = messages.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
     up = kept.write(up.join(nodes.select("tree", F.col("node").alias("to")), ["tree", "to"], "left_semi"))
     leaves = nodes.join(up.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
     found = kept.write(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist")))
     step = 1
+    longest = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while not up.isEmpty():
+        if step > longest:
+            # who has an ancestor so far up runs into a circle, and all ancestors that far up are in circles
+            circles = kept.write(up.select("tree", F.col("to").alias("node"), F.lit(True).alias("round")).distinct())
+            cut = messages.join(circles, ["tree", "node"], "left").withColumn("parent", F.when(F.col("round").isNull(), F.col("parent")))
+            return paths(cut.drop("round"), kept)
         further = found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("dist") + step).alias("dist"))
         old, found = found, kept.write(found.union(further))
         kept.drop(old)
@@ -60,12 +67,16 @@ def format_trees(messages: DataFrame) -> DataFrame:
     `messages`: tree, node, parent, role, text, score.
     """
     kept = Kept(messages.sparkSession)
-    messages = kept.write(messages)
-    along = paths(messages, kept).join(messages, ["tree", "node"])
+    said = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    messages = kept.write(messages.groupBy("tree", "node").agg(said).select("tree", "node", "m.*"))
+    # branches are ranked before texts travel
+    found = paths(messages.select("tree", "node", "parent"), kept)
+    along = found.join(messages.select("tree", "node", "score"), ["tree", "node"])
     ranked = along.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.count("*").alias("n"))
     best = ranked.groupBy("tree").agg(F.max(F.struct("mean", "n", (-F.col("leaf")).alias("minus"))).alias("b")).select("tree", (-F.col("b.minus")).alias("leaf"))
     turn = F.struct((-F.col("dist")).alias("at"), F.url_encode(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), (F.coalesce("role", F.lit("")) == TRAINED).alias("loss"))
-    turns = along.join(best, ["tree", "leaf"]).groupBy("tree").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chosen = found.join(best, ["tree", "leaf"]).select("tree", "node", "dist")
+    turns = chosen.join(messages, ["tree", "node"]).groupBy("tree").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     no = F.lit(False).alias("loss")
     segments = F.flatten(F.transform("turns", lambda t: F.array(F.struct(F.concat(F.lit(BEGIN), t["role"], F.lit("\n")).alias("text"), no), F.struct(t["text"].alias("text"), t["loss"].alias("loss")), F.struct(F.lit(END).alias("text"), no))))
     return turns.select("tree", segments.alias("segments"))

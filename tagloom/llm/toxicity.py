@@ -6,14 +6,15 @@ sentences': toxic unless no sentence is. Weights are trained from labels of
 documents alone, by gradient descent on the likelihood of the noisy-or, and
 sentences' probabilities then say which ones offend.
 
-The model is fitted on a bounded sample of labelled rows: MAX_TRAIN documents,
-those with the smallest hashes of doc_id, of at most MAX_TRAIN_WORDS words.
-Scores are of whole texts, of all rows.
+The model is fitted on a bounded sample of labelled rows: of the MAX_TRAIN
+documents with the smallest hashes of doc_id those of at most MAX_FEATURES
+features (a word has up to three: itself and two stems), so that the sample's
+size has a bound in bytes as well. Scores are of whole texts, of all rows.
 
 Cases: a null or empty text has no sentences and score 0; of several labels of
 a document the largest counts, null ones do not; without labels of both kinds
 the weights are 0, and each score follows from the prior alone; repeated rows
-come out repeated; rows without doc_id are scored, and not held out; an empty
+come out repeated, and of several texts of one doc_id the smallest is trained on; rows without doc_id are scored, and not held out; an empty
 table gives no rows; further columns are not looked at.
 """
 
@@ -28,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import fresh, sliced
 
 BITS = 18
 MAX_TRAIN = 3_000
-MAX_TRAIN_WORDS = 4_000
+MAX_FEATURES = 12_000
 STEPS = 150
 MIN_DOCS = 3
 PENALTY = 3e-5
@@ -139,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is chosen among the labels, so that few texts move
     sample = one.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    bags = texts.mapInArrow(_bags, "doc_id long, toxic int, words array<int>, per_sentence array<int>").where(F.size("words") <= MAX_TRAIN_WORDS * (1 + len(STEMS)))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    bags = texts.mapInArrow(_bags, "doc_id long, toxic int, words array<int>, per_sentence array<int>").where(F.size("words") <= MAX_FEATURES)
     t = bags.toArrow().sort_by("doc_id").combine_chunks()
     if not t.num_rows:
         return np.zeros(1 << BITS), -4.0
@@ -191,12 +192,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of `docs` whose score is below 0.5, in one pass: rows travel through the scorer whole."""
     w, b = fit(docs, labels, max_train)
-    with_text = docs.select("*", F.col("text").cast("string").alias("_text"))
+    name = fresh(docs, "scored_text")
+    with_text = docs.select("*", F.col("text").cast("string").alias(name))
     run, columns = _scorer(w, b), docs.columns
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = pa.record_batch([batch.column("_text")], names=["text"])
+            texts = pa.record_batch([batch.column(name)], names=["text"])
             # the scorer slices too; its parts come in order
             score = np.concatenate([x.column("score").to_numpy() for x in run([texts])])
             yield batch.filter(pa.array(score < 0.5)).select(columns)

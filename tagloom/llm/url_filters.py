@@ -29,7 +29,8 @@ DEFAULT = "allow"
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([(h, p, v) for v, h, p in rules], "host string, path string, verdict string")
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in rules)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -236,7 +236,7 @@ def test_tree_equals_library(leaf):
 
 
 def test_bpe_and_histogram(spark):
-    enc, tokens = bpe.vocabulary(*tokenizer())
+    enc, _ = bpe.vocabulary(*tokenizer())
     got = {r.doc_id: r for r in bpe.tokenized(docs_of(spark, TEXTS), *tokenizer(), leaf=100, ids=True, digests=True).collect()}
     sizes = []
     for i, t in enumerate(TEXTS):
@@ -281,7 +281,7 @@ def test_pipeline_runs(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 100
 
 
 def line_lists(spark, lines):
@@ -365,3 +365,32 @@ def test_licenses_equal_brute_force(spark):
     got = {r.doc_id: r.labels for r in licenses.scan(docs_of(spark, texts)).collect()}
     assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
     assert got[0] == "mit" and got[3] == "apache-2.0,mit" and got[4] == "mit" and got[5] == ""
+
+
+def test_circles_and_repeated_nodes_in_trees(spark):
+    kind = "tree string, node long, parent long, role string, text string, score double"
+    rows = [("c", 1, 2, "user", "a", 0.1), ("c", 2, 1, "assistant", "b", 0.5), ("c", 3, 2, "user", "d", 0.9)]
+    rows += [("r", 1, None, "user", "q", 0.0)] * 3 + [("r", 2, 1, "assistant", "x", 0.0), ("r", 2, 1, "assistant", "w", 0.0)]
+    got = {r.tree: [s.text for s in r.segments][1::3] for r in reply_trees.format_trees(spark.createDataFrame(rows, kind)).collect()}
+    # both messages of the circle are roots; the branch of 3 goes down from 2
+    assert got == {"c": ["b", "d"], "r": ["q", "w"]}
+    assert reply_trees.format_trees(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_clashing_names_in_the_filters(spark):
+    rows = [(i, "clean words here " * 3, "t", "s", "u", "v") for i in range(6)] + [(None, None, "t", None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, scored_text string, _text string, Text2 string, _scored_text string")
+    y = spark.createDataFrame([(1, 0), (2, 1), (2, None)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(d, y)
+    assert kept.columns == d.columns and kept.count() == 7
+    assert toxicity.without_toxic(d.limit(0), y).collect() == []
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tagloom.llm.common import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
