@@ -28,7 +28,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.tokenized(docs, *tokenizer(), digests=True)
+    return bpe.tokenized(docs, *tokenizer(), ids=True, digests=True)
 
 
 STAGES = [
