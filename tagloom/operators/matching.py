@@ -3,33 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType
 
-#: What follows a title or an artist without changing which track it is.
-FEATURING = r"(?i)\s*[(\[]?\s*\b(?:feat\.?|ft\.?|featuring)\s+[^)\]]*[)\]]?\s*$"
-VERSIONS = r"remaster(?:ed)?(?:\s+\d{4})?|live(?:\s+(?:at|from|in)[^)\]]*)?|(?:original\s+)?(?:album\s+)?version|mono(?:\s+version)?|stereo(?:\s+version)?|radio\s+edit|single\s+version|bonus\s+track|explicit|clean(?:\s+version)?"
-SUFFIXES = rf"(?i)(?:\s*[(\[]\s*(?:{VERSIONS})\s*[)\]])+$"
+from ..functions.texts import comparable, comparable_artist
 
-
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode's compatibility composition, which Spark has no function for."""
-    return s.str.normalize("NFKC")
-
-
-def comparable(c: Column) -> Column:
-    """Lower case, without featured artists, versions, apostrophes and punctuation, single spaces; null is empty."""
-    t = F.lower(nfkc(F.coalesce(c, F.lit(""))))
-    for pattern in (SUFFIXES, FEATURING, SUFFIXES):
-        t = F.regexp_replace(t, pattern, "")
-    t = F.regexp_replace(F.regexp_replace(t, "['’]", ""), r"[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-
-def comparable_artist(c: Column) -> Column:
-    return F.regexp_replace(comparable(c), "^the ", "")
+#: Least scores of a candidate and of a sure match, the gap within which others count as alternatives, and how many of them.
+LOW, HIGH, GAP, ALTERNATIVES = 70.0, 85.0, 5.0, 3
+#: Of a track's title and artist so many trigrams, those that the fewest library tracks have, look up candidates.
+LOOKED_UP = 8
 
 
 def match(tracks: DataFrame, library: DataFrame) -> DataFrame:
@@ -73,3 +56,78 @@ def moves(removed: DataFrame, new: DataFrame, tolerance: float = 1.0) -> DataFra
 def latest(tiers: DataFrame, key: str, order: list) -> DataFrame:
     """One row a key, the first in this order."""
     return tiers.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence: one step a character of `b`, in which all of `a` are bits of one number."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def token_sort_ratio(a: str, b: str) -> float:
+    """How alike two texts are whose words are sorted, 0 to 100: twice the common subsequence by both lengths. Two empty texts are alike."""
+    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+@F.pandas_udf(DoubleType())
+def similarity(ta: pd.Series, aa: pd.Series, tb: pd.Series, ab: pd.Series) -> pd.Series:
+    return pd.Series([0.7 * token_sort_ratio(t, u) + 0.3 * token_sort_ratio(a, b) for t, a, u, b in zip(ta, aa, tb, ab, strict=True)])
+
+
+def _trigrams(c):
+    padded = F.concat(F.lit(" "), c, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+
+
+def candidates(tracks: DataFrame, library: DataFrame) -> DataFrame:
+    """Pairs of tracks and library files (with t and a, comparable title and artist) that share one of the track's rarest trigrams of title and artist.
+
+    Rarest first keeps the lists short that are joined; each library row lists all its trigrams.
+    """
+    of = lambda df, id_: df.select(id_, F.explode(F.array_union(_trigrams(F.col("t")), _trigrams(F.col("a")))).alias("g"))
+    index = of(library, "file_id")
+    df = index.groupBy("g").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("track_id").orderBy("df", "g")
+    rarest = of(tracks, "track_id").join(df, "g").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LOOKED_UP)
+    return rarest.select("track_id", "g").join(index, "g").select("track_id", "file_id").distinct()
+
+
+def fuzzy(tracks: DataFrame, library: DataFrame) -> DataFrame:
+    """track_id, status (fuzzy, ambiguous or not_found), confidence, file_id and alternatives (comma-joined) by likeness of title (0.7) and artist (0.3).
+
+    At HIGH or more a match is sure unless another is within GAP, from LOW on
+    it is ambiguous. Ties go to the smaller file_id. Candidates come from a
+    join by rare trigrams and are verified exactly.
+    """
+    keyed = lambda d: d.withColumn("t", comparable(F.col("title"))).withColumn("a", comparable_artist(F.col("artist")))
+    own, lib = keyed(tracks).select("track_id", "t", "a"), keyed(library).select("file_id", F.col("t").alias("u"), F.col("a").alias("b"))
+    pairs = candidates(own, lib.select("file_id", F.col("u").alias("t"), F.col("b").alias("a")))
+    scored = pairs.join(own, "track_id").join(lib, "file_id").select("track_id", "file_id", F.round(similarity("t", "a", "u", "b"), 6).alias("score")).where(F.col("score") >= LOW)
+    w = Window.partitionBy("track_id").orderBy(F.col("score").desc(), "file_id")
+    best = scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 1 + ALTERNATIVES)
+    at = lambda n, c: F.max(F.when(F.col("nth") == n, F.col(c)))
+    others = F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.struct("nth", "file_id"))))
+    flat = best.groupBy("track_id").agg(at(1, "score").alias("score"), at(1, "file_id").alias("file_id"), at(2, "score").alias("second"), others.alias("others"))
+    near = F.coalesce(F.col("score") - F.col("second") < GAP, F.lit(False))
+    joined = F.when(near, F.array_join(F.transform("others", lambda x: x["file_id"].cast("string")), ",")).otherwise("")
+    status = F.when(F.col("score").isNull(), "not_found").when((F.col("score") >= HIGH) & ~near, "fuzzy").otherwise("ambiguous")
+    return own.select("track_id").join(flat, "track_id", "left").select("track_id", status.alias("status"), F.coalesce(F.round(F.col("score") / 100, 6), F.lit(0.0)).alias("confidence"), "file_id", F.coalesce(joined, F.lit("")).alias("alternatives"))
+
+
+def match_all(tracks: DataFrame, library: DataFrame) -> DataFrame:
+    """track_id, status, confidence and file_id: by ISRC, else by equal title and artist, else by likeness, which only the rest goes through."""
+    first = match(tracks, library)
+    sure = first.where("status <> 'not_found'").select("track_id", "status", F.lit(1.0).alias("confidence"), "file_id")
+    rest = tracks.join(sure.select("track_id"), "track_id", "left_anti")
+    return sure.union(fuzzy(rest, library).select("track_id", "status", "confidence", "file_id"))
+
+
+def status_counts(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("status").agg(F.count("*").alias("n_tracks"))
