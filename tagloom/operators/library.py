@@ -49,7 +49,7 @@ def scan_diff(known: DataFrame, seen: DataFrame) -> DataFrame:
 def m3u(files: DataFrame) -> DataFrame:
     """The lines of a playlist, in the order of file_id; a missing duration is -1, a missing title the file's name."""
     title = F.coalesce("title", F.element_at(F.split("normalized_path", "/"), -1))
-    return files.select("file_id", F.concat(F.lit("#EXTINF:"), F.coalesce(F.floor("duration_seconds"), F.lit(-1)).cast("string"), F.lit(","), F.col("artist"), F.lit(" - "), title).alias("info"), F.col("normalized_path").alias("path"))
+    return files.select("file_id", F.concat(F.lit("#EXTINF:"), F.coalesce(F.floor("duration_seconds"), F.lit(-1)).cast("string"), F.lit(","), F.coalesce("artist", F.lit("Unknown Artist")), F.lit(" - "), title).alias("info"), F.col("normalized_path").alias("path"))
 
 
 def folders(files: DataFrame) -> DataFrame:

@@ -36,7 +36,9 @@ def moves(removed: DataFrame, new: DataFrame, tolerance: float = 1.0) -> DataFra
     Removed files have file_id, path, fingerprint and duration; new ones path,
     fingerprint and duration. New files choose in the order of their paths, the
     removed file of smallest file_id first. Pairs form within a fingerprint
-    only; rows without one are left out.
+    only, and where all its durations are known, between gaps of its durations
+    that are wider than `tolerance`, so that a common fingerprint is not held
+    whole; rows without one are left out.
     """
     fits = lambda a, b: pd.isna(a) or pd.isna(b) or abs(a - b) <= tolerance
 
@@ -50,7 +52,26 @@ def moves(removed: DataFrame, new: DataFrame, tolerance: float = 1.0) -> DataFra
         return pd.DataFrame(out, columns=["file_id", "old_path", "new_path"])
 
     some = [df.where("fingerprint is not null") for df in (removed, new)]
-    return some[0].groupBy("fingerprint").cogroup(some[1].groupBy("fingerprint")).applyInPandas(choose, "file_id long, old_path string, new_path string")
+    every = some[0].select("fingerprint", "duration").union(some[1].select("fingerprint", "duration")).distinct()
+    w = Window.partitionBy("fingerprint").orderBy("duration")
+    unknown = F.max(F.col("duration").isNull().cast("int")).over(Window.partitionBy("fingerprint"))
+    gap = (F.coalesce(F.col("duration") - F.lag("duration").over(w) > tolerance, F.lit(False)) & (unknown == 0)).cast("int")
+    pieces = every.withColumn("gap", gap).withColumn("piece", F.sum("gap").over(w)).select("fingerprint", F.col("duration").alias("of"), "piece")
+
+    def cut(df: DataFrame, side: str) -> DataFrame:
+        met = df.join(pieces.withColumnRenamed("fingerprint", "print"), (F.col("fingerprint") == F.col("print")) & F.col("duration").eqNullSafe(F.col("of")))
+        # names and columns of this side alone, as both may come from one table
+        own = [F.col(c).alias(c) for c in ("file_id", "path", "duration") if c in df.columns]
+        return met.select(F.col("fingerprint").alias(f"{side}_print"), F.col("piece").alias(f"{side}_piece"), *own)
+
+    grouped = [cut(df, side).groupBy(f"{side}_print", f"{side}_piece") for df, side in zip(some, ("old", "new"), strict=True)]
+    return grouped[0].cogroup(grouped[1]).applyInPandas(choose, "file_id long, old_path string, new_path string")
+
+
+def collisions(removed: DataFrame, new: DataFrame) -> DataFrame:
+    """Fingerprints that several removed or several new files have, with their numbers: where moves are a choice."""
+    count = lambda df, c: df.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias(c))
+    return count(removed, "n_removed").join(count(new, "n_new"), "fingerprint").where("n_removed > 1 or n_new > 1")
 
 
 def latest(tiers: DataFrame, key: str, order: list) -> DataFrame:

@@ -41,9 +41,10 @@ def histogram(values: DataFrame, value: str) -> DataFrame:
 
 
 def percentiles(hist: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One row: the lower edges of the bins where the cumulative count reaches the shares. At most BINS rows are summed in order."""
+    """One row: the lower edges of the bins where the cumulative count reaches the shares. It starts at the underflow, which so counts twice. At most BINS rows are summed in order."""
     width = (HI - LO) / BINS
-    cum = hist.select("bin", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    run = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) + F.sum("underflow").over(Window.partitionBy())
+    cum = hist.select("bin", run.alias("cum"), F.sum("n").over(Window.partitionBy()).alias("total"))
     reach = lambda q: F.min(F.when(F.col("cum") >= F.col("total") * q, F.col("bin")))
     return cum.agg(F.round(F.coalesce(reach(low) * width + LO, F.lit(LO)), 6).alias("p5"), F.round(F.coalesce(reach(high) * width + LO, F.lit(HI)), 6).alias("p95"), F.max("total").alias("n"))
 

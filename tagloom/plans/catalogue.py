@@ -21,6 +21,10 @@ def _playlist(t: DataFrame, f: DataFrame) -> DataFrame:
     return f.join(tags.files_for_rules(t, RULES), "file_id").select("file_id", "artist", "album", "title")
 
 
+def _renamed(f: DataFrame, every: int, below: str) -> DataFrame:
+    return f.withColumn("normalized_path", F.concat(F.when(F.col("file_id") % every == 0, below).otherwise(""), "normalized_path"))
+
+
 T, FI, ME, PL, SE, VE = ("tags_long",), ("files",), ("mood_edges",), ("plays",), ("segments",), ("vectors",)
 
 # tags
@@ -29,7 +33,7 @@ add("tags_list_by_value", lambda t: tags.page(tags.tags_by_rel(t, "artist"), ["v
 add("tags_search", lambda t: tags.tags_by_rel(t, "genre", "IN"), "SELECT value_str AS value, count(DISTINCT file_id) AS song_count FROM tags_long WHERE rel = 'genre' AND contains(lower(value_str), 'in') GROUP BY 1", T)
 add("unique_rels", lambda t: tags.unique_rels(t), "SELECT DISTINCT rel FROM tags_long", T)
 add("unique_rels_prefix", lambda t: tags.unique_rels(t, "nom:"), "SELECT DISTINCT rel FROM tags_long WHERE starts_with(rel, 'nom:')", T)
-add("tag_stats_all", lambda t: tags.tag_stats(t), """, p AS (SELECT rel, file_id, count(*) AS n, count(value_num) AS nums, min(value_num) AS lo, max(value_num) AS hi FROM tags_long GROUP BY 1, 2),
+add("tag_edge_stats", lambda t: tags.tag_stats(t), """, p AS (SELECT rel, file_id, count(*) AS n, count(value_num) AS nums, min(value_num) AS lo, max(value_num) AS hi FROM tags_long GROUP BY 1, 2),
 v AS (SELECT rel, count(DISTINCT value_str) AS s FROM tags_long WHERE value_str IS NOT NULL GROUP BY 1)
 SELECT p.rel, CAST(sum(n) AS BIGINT) AS total, count(*) AS files, 2 * sum(nums) > sum(n) AS numeric, max(n) > 1 AS multivalue, min(lo) AS min_value, max(hi) AS max_value, coalesce(any_value(v.s), 0) AS string_values FROM p LEFT JOIN v ON p.rel = v.rel GROUP BY p.rel""", T)
 add("song_tags_grouped", lambda t: tags.grouped_tags(t), "SELECT file_id, rel, string_agg(value_str, '|' ORDER BY value_str) AS values FROM tags_long WHERE value_str IS NOT NULL GROUP BY 1, 2", T)
@@ -44,7 +48,13 @@ add("year_distribution", lambda t: tags.number_distribution(t, "year"), "SELECT
 add("genre_distribution", lambda t: tags.top(tags.tags_by_rel(t, "genre"), "song_count", "value", 5), "SELECT value_str AS value, count(DISTINCT file_id) AS song_count FROM tags_long WHERE rel = 'genre' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", T)
 add("files_by_tag_nearest", lambda t: tags.nearest(t, "nom:energy", 0.9, 20), "SELECT file_id, round(abs(value_num - 0.9e0), 6) AS distance FROM tags_long WHERE rel = 'nom:energy' ORDER BY 2, 1 LIMIT 20", T)
 add("relink_tags", lambda t: tags.relink(t, "genre", "ring", "small").groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, CASE WHEN rel = 'genre' AND value_str = 'ring' THEN 'small' ELSE value_str END AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
-add("orphan_tags", lambda t, f: tags.orphans(t, f.where("file_id % 7 <> 0")).groupBy("rel").agg(F.count("*").alias("n")), "SELECT rel, count(*) AS n FROM tags_long WHERE file_id NOT IN (SELECT file_id FROM files WHERE file_id % 7 <> 0) GROUP BY 1", ("tags_long", "files"))
+add(
+    "orphan_tags",
+    # every seventh file has another id in the tags
+    lambda t, f: tags.orphans(t.withColumn("file_id", F.when(F.col("file_id") % 7 == 0, F.col("file_id") + 10**9).otherwise(F.col("file_id"))), f).groupBy("rel").agg(F.count("*").alias("n")),
+    "SELECT rel, count(*) AS n FROM tags_long WHERE file_id % 7 = 0 GROUP BY 1",
+    ("tags_long", "files"),
+)
 
 # files
 add("library_overview", library.overview, "SELECT count(*) AS n_files, count(DISTINCT artist) AS artists, count(DISTINCT album) AS albums, CAST(floor(sum(duration_seconds) * 1000) AS BIGINT) AS total_ms, CAST(sum(file_size) AS BIGINT) AS total_size, round(sum(duration_seconds) * 1000 / count(*), 3) AS avg_ms FROM files", FI)
@@ -53,7 +63,17 @@ add("artist_frequencies", lambda f: tags.top(library.frequencies(f, "artist"), "
 add("files_search", lambda f: library.search(f, "RING", album="PROMO").select("file_id", "artist", "title"), "SELECT file_id, artist, title FROM files WHERE (lower(artist) LIKE '%ring%' OR lower(album) LIKE '%ring%' OR lower(title) LIKE '%ring%') AND album = 'PROMO'", FI)
 add("files_in_folder", lambda f: library.in_folder(f, "PROMO").select("file_id", "normalized_path"), "SELECT file_id, normalized_path FROM files WHERE starts_with(normalized_path, 'PROMO/')", FI)
 add("albums_of_artist", lambda f: f.groupBy("artist", "album").agg(F.count("*").alias("n_files")), "SELECT artist, album, count(*) AS n_files FROM files GROUP BY 1, 2", FI)
-add("scan_diff", lambda f: library.scan_diff(f.where("file_id % 11 <> 0"), f.where("file_id % 13 <> 0").withColumn("file_size", F.col("file_size") + F.when(F.col("file_id") % 5 == 0, 1).otherwise(0))), ", k AS (SELECT normalized_path, file_size AS w FROM files WHERE file_id % 11 <> 0), s AS (SELECT normalized_path, file_size + CASE WHEN file_id % 5 = 0 THEN 1 ELSE 0 END AS i FROM files WHERE file_id % 13 <> 0) SELECT coalesce(k.normalized_path, s.normalized_path) AS normalized_path, CASE WHEN w IS NULL THEN 'new' WHEN i IS NULL THEN 'missing' WHEN w <> i THEN 'changed' ELSE 'same' END AS status FROM k FULL JOIN s ON k.normalized_path = s.normalized_path", FI)
+add(
+    "scan_diff",
+    # all files are on both sides: some under other names, some with other sizes
+    lambda f: library.scan_diff(_renamed(f, 11, "gone/"), _renamed(f, 13, "new/").withColumn("file_size", F.col("file_size") + F.when(F.col("file_id") % 5 == 0, 1).otherwise(0))),
+    """
+    , k AS (SELECT concat(CASE WHEN file_id % 11 = 0 THEN 'gone/' ELSE '' END, normalized_path) AS p, file_size AS w FROM files),
+    s AS (SELECT concat(CASE WHEN file_id % 13 = 0 THEN 'new/' ELSE '' END, normalized_path) AS p, file_size + CASE WHEN file_id % 5 = 0 THEN 1 ELSE 0 END AS i FROM files)
+    SELECT coalesce(k.p, s.p) AS normalized_path, CASE WHEN w IS NULL THEN 'new' WHEN i IS NULL THEN 'missing' WHEN w <> i THEN 'changed' ELSE 'same' END AS status FROM k FULL JOIN s ON k.p = s.p
+    """,
+    FI,
+)
 add("m3u_lines", library.m3u, "SELECT file_id, '#EXTINF:' || CAST(CAST(floor(duration_seconds) AS BIGINT) AS VARCHAR) || ',' || artist || ' - ' || title AS info, normalized_path AS path FROM files", FI)
 
 # moods
@@ -100,14 +120,22 @@ add("genre_shares", personal.genre_shares, ", g AS (SELECT DISTINCT file_id, val
 
 
 # merging, splitting and setting tags; what files lack
-add("split_tag", lambda t: tags.split_value(t, "genre", "ring", ["hoop", "small"]).groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, unnest(CASE WHEN rel = 'genre' AND value_str = 'ring' THEN ['hoop', 'small'] ELSE [value_str] END) AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
+add("tag_value_to_parts", lambda t: tags.split_value(t, "genre", "ring", ["hoop", "small"]).groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, unnest(CASE WHEN rel = 'genre' AND value_str = 'ring' THEN ['hoop', 'small'] ELSE [value_str] END) AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
 add("set_song_tags", lambda t, f: tags.set_tags(t, "genre", f.where("file_id % 3 = 0").select("file_id", F.col("artist").alias("value_str"))).groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT rel, value_str FROM tags_long WHERE NOT (rel = 'genre' AND file_id % 3 = 0) UNION ALL SELECT 'genre', artist FROM files WHERE file_id % 3 = 0) GROUP BY 1, 2", ("tags_long", "files"))
 add("incomplete_tags", lambda f, t: tags.incomplete(f, t, ["nom:mood-strict", "nom:mood-loose", "artist"]), ", h AS (SELECT file_id, count(DISTINCT rel) AS has FROM tags_long WHERE rel IN ('nom:mood-strict', 'nom:mood-loose', 'artist') GROUP BY 1) SELECT f.file_id, 3 - coalesce(has, 0) AS lacks FROM files f LEFT JOIN h ON f.file_id = h.file_id WHERE coalesce(has, 0) < 3", ("files", "tags_long"))
 add("tag_value_counts", tags.value_counts, "SELECT rel, count(*) AS n_values FROM (SELECT DISTINCT rel, value_str, value_num FROM tags_long) GROUP BY 1", T)
-add("artist_tag_profile", lambda t: tags.cooccurrence(t, "artist", "genre"), "SELECT x.value_str AS x, y.value_str AS y, count(DISTINCT x.file_id) AS n_files FROM tags_long x JOIN tags_long y ON x.file_id = y.file_id WHERE x.rel = 'artist' AND y.rel = 'genre' GROUP BY 1, 2", T)
+add("artist_genre_counts", lambda t: tags.cooccurrence(t, "artist", "genre"), "SELECT x.value_str AS x, y.value_str AS y, count(DISTINCT x.file_id) AS n_files FROM tags_long x JOIN tags_long y ON x.file_id = y.file_id WHERE x.rel = 'artist' AND y.rel = 'genre' GROUP BY 1, 2", T)
 add("inclusive_moods", moods.inclusive, """, t AS (SELECT * FROM (VALUES ('nom:mood-strict', 0), ('nom:mood-regular', 1), ('nom:mood-loose', 2)) v(name, i)), d AS (SELECT DISTINCT e.file_id, o.name AS rel, e.value_str FROM mood_edges e JOIN t ON t.name = e.rel JOIN t o ON o.i >= t.i)
 SELECT file_id, rel, string_agg(value_str, '|' ORDER BY value_str) AS moods FROM d GROUP BY 1, 2""", ME)
-add("scan_plan", lambda f: library.scan_plan(library.folders(f), library.folders(f.where("file_id % 40 <> 0"))), ", a AS (SELECT regexp_replace(normalized_path, '/[^/]*$', '') AS folder, count(*) AS file_count, sum(file_size) AS m, count_if(file_id % 40 <> 0) AS c, sum(CASE WHEN file_id % 40 <> 0 THEN file_size END) AS cm FROM files GROUP BY 1) SELECT folder, file_count, NOT coalesce(file_count = c AND m = cm, false) AS scan FROM a", FI)
+add(
+    "scan_plan",
+    lambda f: library.scan_plan(library.folders(f), library.folders(f.withColumn("file_size", F.col("file_size") + F.when(F.col("file_id") % 40 == 0, 1).otherwise(0)))),
+    """
+    , a AS (SELECT regexp_replace(normalized_path, '/[^/]*$', '') AS folder, count(*) AS file_count, count_if(file_id % 40 = 0) AS other FROM files GROUP BY 1)
+    SELECT folder, file_count, other > 0 AS scan FROM a
+    """,
+    FI,
+)
 
 # head decisions, drift
 add("head_decisions", lambda s: heads.decide(s.groupBy("segment_id").agg(F.max("score_a").alias("score_a"), F.max("score_b").alias("score_b")).select(F.col("segment_id").alias("file_id"), F.expr("stack(2, 'a', score_a, 'b', score_b) AS (label, p)"), F.round(F.col("score_b") / 4, 6).alias("std"))), """, g AS (SELECT segment_id, max(score_a) AS score_a, max(score_b) AS score_b FROM segments GROUP BY 1), l AS (SELECT segment_id AS file_id, 'a' AS label, score_a AS p, least(score_b, 1.0e0) AS counter, round(score_b / 4, 6) AS std FROM g UNION ALL SELECT segment_id, 'b', score_b, least(score_a, 1.0e0), round(score_b / 4, 6) FROM g),
@@ -125,18 +153,55 @@ add("median_iqr_drift", lambda t: drift.centre_and_spread(_sides(t)), _SIDE + ",
 add("calib_drift", lambda t: drift.percentile_drift(t.where("rel = 'nom:calm'").select((F.col("file_id") % 20).alias("key"), F.col("file_id").alias("run"), (F.col("value_num") / 100).alias("p5"), (F.col("value_num") / 10).alias("p95"))), ", h AS (SELECT file_id % 20 AS key, file_id AS run, value_num / 100 AS p5, value_num / 10 AS p95 FROM tags_long WHERE rel = 'nom:calm'), b AS (SELECT *, lag(p5) OVER w AS b5, lag(p95) OVER w AS b95, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS nth FROM h WINDOW w AS (PARTITION BY key ORDER BY run)) SELECT key, round(abs(p5 - b5), 6) AS apd_p5, round(abs(p95 - b95), 6) AS apd_p95, round(abs((p95 - p5) - (b95 - b5)), 6) AS srd, abs(p5 - b5) < 0.01e0 AND abs(p95 - b95) < 0.01e0 AS settled FROM b WHERE nth = 1 AND b5 IS NOT NULL", T)
 
 # vectors in two tiers, taste, sync, matching
-add("track_vector_lookup", lambda v: matching.latest(v.where("file_id % 3 = 0").select("file_id", F.lit("cold").alias("tier")).union(v.where("file_id % 2 = 0").select("file_id", F.lit("hot"))), "file_id", ["tier"]), "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM vectors WHERE file_id % 3 = 0 OR file_id % 2 = 0", VE)
-add("sync_diff", lambda p, f: personal.sync_status(p.where("nd_id % 5 <> 0"), f.where("file_id % 7 <> 0")), ", p AS (SELECT DISTINCT nd_id FROM plays WHERE nd_id % 5 <> 0), g AS (SELECT file_id FROM files WHERE file_id % 7 <> 0) SELECT coalesce(g.file_id, nd_id) AS file_id, CASE WHEN g.file_id IS NULL THEN 'orphan' WHEN nd_id IS NULL THEN 'unplayed' ELSE 'matched' END AS status FROM g FULL JOIN p ON g.file_id = nd_id", ("plays", "files"))
+add(
+    "track_vector_lookup",
+    lambda v: matching.latest(v.select("file_id", F.when(F.col("file_id") % 3 == 0, "cold").otherwise("hot").alias("tier")).union(v.select("file_id", F.lit("hot"))), "file_id", ["tier"]),
+    "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM vectors",
+    VE,
+)
+add(
+    "sync_diff",
+    lambda p, f: personal.sync_status(p.withColumn("nd_id", F.when(F.col("nd_id") % 5 == 0, F.col("nd_id") + 10**9).otherwise(F.col("nd_id"))), f),
+    """
+    , p AS (SELECT DISTINCT CASE WHEN nd_id % 5 = 0 THEN nd_id + 1000000000 ELSE nd_id END AS nd_id FROM plays)
+    SELECT coalesce(f.file_id, nd_id) AS file_id, CASE WHEN f.file_id IS NULL THEN 'orphan' WHEN nd_id IS NULL THEN 'unplayed' ELSE 'matched' END AS status FROM files f FULL JOIN p ON f.file_id = nd_id
+    """,
+    ("plays", "files"),
+)
 
 
 def _matched(f: DataFrame) -> DataFrame:
     isrc = F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("I"), F.col("file_id")))
     asked = f.select(F.col("file_id").alias("track_id"), isrc.alias("isrc"), F.concat(F.lit("  "), F.upper("title"), F.lit(" (Remastered 2011)")).alias("title"), F.concat(F.lit("The "), F.col("artist")).alias("artist"))
-    return matching.match(asked, f.where("file_id % 9 <> 0").withColumn("isrc", isrc))
-
-
-add("match_isrc_exact", _matched, ", k AS (SELECT * FROM files WHERE file_id % 9 <> 0), n AS (SELECT lower(title) AS t, artist AS a, min(file_id) AS m FROM k GROUP BY 1, 2) SELECT f.file_id AS track_id, CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN 'isrc' WHEN m IS NOT NULL THEN 'exact' ELSE 'not_found' END AS status, CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN f.file_id ELSE m END AS file_id FROM files f LEFT JOIN n ON lower(f.title) = n.t AND f.artist = n.a", FI)
-add("file_moves", lambda f: matching.moves(*(f.where(f"file_id % 10 = {d}").select("file_id", F.concat(F.lit(at), "normalized_path").alias("path"), F.concat_ws(":", "title", "artist").alias("fingerprint"), F.col("duration_seconds").alias("duration")) for d, at in ((0, "old/"), (5, "new/")))), "", FI)
+    other = F.col("file_id") % 9 == 0
+    return matching.match(asked, f.withColumn("isrc", F.when(~other, isrc)).withColumn("title", F.when(other, F.concat(F.lit("other "), "title")).otherwise(F.col("title"))))
+
+
+def _printed(f: DataFrame, at: str, off: float) -> DataFrame:
+    """Files with a fingerprint each, under paths below `at`."""
+    return f.select("file_id", F.concat(F.lit(at), "normalized_path").alias("path"), F.concat_ws(":", "title", "file_id").alias("fingerprint"), (F.col("duration_seconds") + F.col("file_id") % 3 * off).alias("duration"))
+
+
+add(
+    "match_isrc_exact",
+    _matched,
+    """
+    , k AS (SELECT file_id, concat(CASE WHEN file_id % 9 = 0 THEN 'other ' ELSE '' END, lower(title)) AS t, artist AS a FROM files),
+    n AS (SELECT t, a, min(file_id) AS m FROM k GROUP BY 1, 2)
+    SELECT f.file_id AS track_id, CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN 'isrc' WHEN m IS NOT NULL THEN 'exact' ELSE 'not_found' END AS status,
+      CASE WHEN f.file_id % 4 = 0 AND f.file_id % 9 <> 0 THEN f.file_id ELSE m END AS file_id FROM files f LEFT JOIN n ON lower(f.title) = n.t AND f.artist = n.a
+    """,
+    FI,
+)
+add(
+    "file_moves",
+    # every file under a new path, its length further and further off
+    lambda f: matching.moves(_printed(f, "old/", 0.0), _printed(f, "new/", 0.8)),
+    """
+    SELECT file_id, concat('old/', normalized_path) AS old_path, concat('new/', normalized_path) AS new_path FROM files WHERE file_id % 3 < 2
+    """,
+    FI,
+)
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +222,4 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scrobble_counts"] = _scrobbles
 
 # the other parts of the catalogue register themselves
-from . import calibration_queries, curation_queries, file_queries, personal_queries, state_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, text_queries, vector_queries  # noqa: E402, F401

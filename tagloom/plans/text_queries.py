@@ -159,3 +159,16 @@ add(
     """,
     TF,
 )
+
+
+def _shared(f, at, every):
+    """Files of which several share a fingerprint, all under paths below `at`."""
+    return f.select("file_id", F.concat(F.lit(at), "normalized_path").alias("path"), F.concat_ws(":", "title", "album", (F.col("file_id") % every).cast("string")).alias("fingerprint"), F.col("duration_seconds").alias("duration"))
+
+
+add(
+    "file_move_collisions",
+    lambda f: matching.collisions(_shared(f, "old/", 2), _shared(f, "new/", 2)),
+    "SELECT concat(title, ':', album, ':', CAST(file_id % 2 AS VARCHAR)) AS fingerprint, count(*) AS n_removed, count(*) AS n_new FROM files GROUP BY 1 HAVING count(*) > 1",
+    ("files",),
+)

@@ -1,11 +1,11 @@
-"""Play events as a stream: repeats within a window of the last accepted play are dropped, the others counted."""
+"""Play events as a stream: repeats within a window of the last accepted play are dropped, the others counted. Times before 1970 are no plays."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,12 +31,21 @@ def _update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 def play_counts(events: DataFrame) -> DataFrame:
     """The running counts of a stream (user_id, nd_id, ts_ms), in update mode."""
-    return events.groupBy("user_id", "nd_id").applyInPandasWithState(_update, RESULT, "last long, count long", "update", GroupStateTimeout.NoTimeout)
+    return events.where("ts_ms >= 0").groupBy("user_id", "nd_id").applyInPandasWithState(_update, RESULT, "last long, count long", "update", GroupStateTimeout.NoTimeout)
 
 
 def play_counts_batch(events: DataFrame) -> DataFrame:
-    """The same for a table. A key's events are one sorted array, folded in place: no Python."""
-    own = events.groupBy("user_id", "nd_id").agg(F.array_sort(F.collect_list("ts_ms")).alias("ts"))
+    """The same for a table, in the order of time; no Python.
+
+    After a pause of WINDOW_MS the next event counts whatever went before, so
+    that a key's events are cut there and each piece is folded by itself: no
+    key's events are held whole.
+    """
+    w = Window.partitionBy("user_id", "nd_id").orderBy("ts_ms")
+    pause = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) >= WINDOW_MS, F.lit(True)).cast("int")
+    pieces = events.where("ts_ms >= 0").withColumn("pause", pause).withColumn("piece", F.sum("pause").over(w))
+    own = pieces.groupBy("user_id", "nd_id", "piece").agg(F.array_sort(F.collect_list("ts_ms")).alias("ts"))
     zero = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("count"))
     fold = F.aggregate("ts", zero, lambda s, t: F.when((s["last"] < 0) | (t - s["last"] >= WINDOW_MS), F.struct(t.alias("last"), (s["count"] + 1).alias("count"))).otherwise(s))
-    return own.select("user_id", "nd_id", fold.alias("s")).select("user_id", "nd_id", F.col("s.count").alias("playcount"), F.col("s.last").alias("last_played"))
+    each = own.select("user_id", "nd_id", fold.alias("s"))
+    return each.groupBy("user_id", "nd_id").agg(F.sum("s.count").alias("playcount"), F.max("s.last").alias("last_played"))

@@ -95,3 +95,116 @@ def test_moves(spark):
     old = spark.createDataFrame([(1, "a", "f", 10.0), (2, "b", "f", None), (3, "c", None, 1.0), (4, "d", "g", 5.0)], cols)
     new = spark.createDataFrame([(0, "x", "f", 11.0), (0, "y", "f", 99.0), (0, "z", "f", 10.0), (0, "w", "g", 6.01)], cols).drop("file_id")
     assert {tuple(r) for r in matching.moves(old, new).collect()} == {(1, "a", "x"), (2, "b", "y")}
+
+
+def test_moves_within_gaps_of_durations(spark):
+    cols = "file_id long, path string, fingerprint string, duration double"
+    old = spark.createDataFrame([(i, f"o{i}", "f", float(10 * i)) for i in range(20)], cols)
+    new = spark.createDataFrame([(0, f"n{i}", "f", 10 * i + (0.9 if i % 2 else 1.1)) for i in range(20)], cols)
+    assert {r.file_id for r in matching.moves(old, new).collect()} == {i for i in range(20) if i % 2}
+    assert matching.collisions(old, new).collect()[0].n_removed == 20
+
+
+def test_plain_titles():
+    from tagloom.functions.texts import plain
+
+    said = {"Max Y": "max y", "Song feat. A (with B)": "song", "One ft. Two ft. Three": "one", "Song (feat. X) [Live]": "song feat x", "A (Live at B) [Mono]": "a", "A (Live B)": "a live b", "Ｆｕｌｌ": "full", "X & Y": "", "& Y": "", "rock 'n' roll": "rock n roll", "A (remaster 1999)": "a", "A (1999)": "a 1999", "": ""}
+    assert {k: plain(k) for k in said} == said
+
+
+def test_likeness_equals_dynamic_programming():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert matching.common_subsequence(a, b) == best[-1][-1]
+    assert matching.token_sort_ratio("", "") == 100.0 and matching.token_sort_ratio("b a", "a b") == 100.0
+
+
+def test_fuzzy_matches_of_all_pairs(spark):
+    import random
+
+    from tagloom.functions.texts import plain
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    lib = [(i, None, f"{word()} {word()}", word()) for i in range(150)]
+    ask = []
+    for i, _, t, a in lib[:120]:
+        at = rng.randrange(len(t))
+        ask.append((i, None, t[:at] + t[at + 1 :], a if i % 2 else a + "s"))
+    cols = "isrc string, title string, artist string"
+    got = {r.track_id: r for r in matching.fuzzy(spark.createDataFrame(ask, f"track_id long, {cols}"), spark.createDataFrame(lib, f"file_id long, {cols}")).collect()}
+    found = 0
+    for i, _, t, a in ask:
+        each = sorted(((-round(0.7 * matching.token_sort_ratio(plain(t), plain(u)) + 0.3 * matching.token_sort_ratio(plain(a), plain(b)), 6), j) for j, _, u, b in lib))
+        score, best = -each[0][0], each[0][1]
+        want = "not_found" if score < matching.LOW else "fuzzy" if score >= matching.HIGH and score + each[1][0] >= matching.GAP else "ambiguous"
+        found += (got[i].status, got[i].file_id) == (want, best if want != "not_found" else None)
+    # candidates come from a lookup: nearly all
+    assert found >= 0.97 * len(ask)
+
+
+def test_suppression_follows_the_order_of_keys(spark):
+    import random
+
+    from tagloom.operators import calibration
+
+    rng = random.Random(3)
+    labels = ["a", "b", "c", "d"]
+    against = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "a")]
+    rows = [(f, f"k{n}", f"h{rng.randint(0, 3)}", rng.choice(labels), round(rng.random(), 3), rng.choice(["high", "medium", "low", None])) for f in range(60) for n in range(5)]
+    out = calibration.unsuppressed(spark.createDataFrame(rows, "file_id long, model_key string, head_name string, label string, value double, tier string"), spark.createDataFrame(against, "label string, other string"))
+    rank = {"high": 3, "medium": 2, "low": 1}
+    want = set()
+    for f in range(60):
+        own = sorted((r for r in rows if r[0] == f and r[5]), key=lambda r: r[1])
+        best = {}
+        for r in own:
+            if r[2] not in best or (rank[r[5]], r[4]) > (rank[best[r[2]][5]], best[r[2]][4]):
+                best[r[2]] = r
+        left, gone = [r for r in own if best[r[2]] == r], set()
+        for i, x in enumerate(left):
+            if x[1] in gone:
+                continue
+            for y in left[i + 1 :]:
+                if y[1] not in gone and (x[3], y[3]) in against and x[2] != y[2]:
+                    gone |= {x[1], y[1]}
+        want |= {(f, r[1]) for r in left if r[1] not in gone}
+    # a row that is out goes on to take out the foes behind it only while it is in: as a set that is the pass above
+    assert {(r.file_id, r.model_key) for r in out.collect()} == want
+
+
+def test_recall_of_lists(spark):
+    import random
+
+    from tagloom.operators import vectors
+
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i, [rng.gauss((i % 12) * (d % 3 == i % 3), 1.0) for d in range(16)], 0) for i in range(400)], "file_id long, vector array<float>, genre_id long").cache()
+    index = vectors.Ivf(v, 20)
+    hit = sum(len({r.file_id for r in index.search(s, 10, 8).collect()} & {r.file_id for r in vectors.search(v, s, 10).collect()}) for s in (1, 50, 200, 333))
+    assert hit >= 0.9 * 40
+    assert index.search(1, 10, 20).collect() == vectors.search(v, 1, 10).collect()
+
+
+def test_reserved_tags_are_read_only(spark):
+    from tagloom.operators import curation
+
+    t = spark.createDataFrame([(1, "nom:x", "a", None)], "file_id long, rel string, value_str string, value_num double")
+    with pytest.raises(ValueError, match="read-only"):
+        curation.relinked(t, "nom:x", ["a"], "b")
+
+
+def test_underflow_counts_twice(spark):
+    from tagloom.operators import calibration
+
+    s = spark.createDataFrame([("h", "l", i, x) for i, x in enumerate([-1.0] + [0.01 * j for j in range(1, 40)])], "head_name string, label string, file_id long, value double")
+    r = calibration.states(calibration.histograms(s)).first()
+    # 40 values: the 5 % of 2 is reached at once by the one below 0, which counts twice
+    assert (r.p5, r.n, r.underflow_count) == (0.0, 40, 1)
