@@ -12,9 +12,9 @@ are united by distributed union-find.
 Each bucket's most frequent line is compared with the others first. Lines of buckets
 that still hold several components then are dealt out by two more classes that
 they agree in: as AGREE classes agree, of which a band has two, each pair that is
-left meets so, and no bucket is looked at as a whole. In some rounds each deal's
-first line, in an order that changes, is compared with those of other components;
-what is still apart then is compared in full, behind the exact bounds.
+left meets so, and no bucket is looked at as a whole. One line of each deal is
+compared with those of other components first; what is still apart then is
+compared in full, behind the exact bounds.
 
 Of each component (equal lines are one line) the first occurrence stays, by
 doc_id and place. For a pair just at the threshold the chance to meet is 0.97;
@@ -52,8 +52,8 @@ LEAST = 6
 BITS = 31
 KEY = ("k", "c")
 CLASSES = [f"m{j}" for j in range(BINS)]
-#: Rounds in which hubs are compared with the rest of their deals.
-ROUNDS = 2
+#: Rounds in which a line of each deal is compared with the rest.
+ROUNDS = 1
 #: 64-bit words that hold the parities of a line's set.
 WORDS = 16
 
@@ -178,30 +178,37 @@ def _dealt(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     each = left.select("code", "k", "c", "part", "band", "bucket", F.array(*CLASSES).alias("m"), F.explode(codes).alias("pair"))
     each = each.withColumn("i", F.floor(F.col("pair") / BINS).cast("int")).withColumn("j", F.col("pair") % BINS)
     each = each.where("i div 2 <> band AND j div 2 <> band")
-    dealt = each.select("code", "k", "c", "part", F.xxhash64("bucket", "pair", F.get("m", "i"), F.get("m", "j")).alias("deal"))
+    dealt = each.select("code", "part", F.xxhash64("bucket", "pair", F.get("m", "i"), F.get("m", "j")).alias("deal"))
     several = dealt.groupBy("deal").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("deal")
-    return sieve(dealt, "deal", several, "deal").join(several, "deal").select("deal", "code", "k", "c")
+    return sieve(dealt, "deal", several, "deal").join(several, "deal").select("deal", "code", "part")
+
+
+def _named(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of codes (a, b) with the lines' names."""
+    one, two = (near.select(F.col("code").alias(x), F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("ak", "ac", "bk", "bc")
 
 
 def _around(dealt: DataFrame, step: int) -> DataFrame:
-    """Pairs of each deal's first line with those of its lines that are in other components: as many at most as there are lines in deals. Deals have orders of their own from the second step on."""
-    turn = F.xxhash64("deal", F.lit(step)) if step else F.lit(0).cast("long")
+    """Pairs of codes: a line of each deal, by an order of the deal's own, with those of its lines that are in other components. As many at most as there are lines in deals."""
+    turn = F.xxhash64("deal", F.lit(step))
     hubs = dealt.groupBy("deal").agg(F.min(F.col("code").bitwiseXOR(turn)).alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    hubs = hubs.select("deal", F.col("least").bitwiseXOR(turn).alias("hub"))
-    pairs = dealt.join(hubs, "deal").select("hub", F.col("k").alias("bk"), F.col("c").alias("bc"), F.col("part").alias("of_b")).distinct()
-    known = dealt.select(F.col("code").alias("hub"), F.col("k").alias("ak"), F.col("c").alias("ac"), F.col("part").alias("of_a")).distinct()
-    return pairs.join(known, "hub").where("of_a <> of_b").select("ak", "ac", "bk", "bc")
+    hubs = hubs.select("deal", F.col("least").bitwiseXOR(turn).alias("a"))
+    pairs = dealt.join(hubs, "deal").select("a", F.col("code").alias("b"), F.col("part").alias("of_b")).distinct()
+    known = dealt.select(F.col("code").alias("a"), F.col("part").alias("of_a")).distinct()
+    return pairs.join(known, "a").where("of_a <> of_b").select("a", "b")
 
 
-def _left(dealt: DataFrame, verifier: _Verifier) -> DataFrame:
-    """The pairs of each deal's lines of different components that sizes and parities don't rule out. Lines of the deal's own first component are not paired with each other."""
+def _left(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of codes of each deal's lines of different components that sizes and parities (`sets`, by code) don't rule out. Lines of the deal's own first component are not paired with each other."""
     groups = dealt.groupBy("deal").agg(F.min("part").alias("home"), F.max("part").alias("hi")).where("home <> hi").select("deal", "home")
     some = dealt.join(groups, "deal")
-    a = some.where("part <> home").select(F.col("deal").alias("at"), F.col("part").alias("of_a"), F.col("k").alias("ak"), F.col("c").alias("ac")).join(verifier.side("a"), ["ak", "ac"])
-    b = some.select("deal", "home", F.col("part").alias("of_b"), F.col("k").alias("bk"), F.col("c").alias("bc")).join(verifier.side("b"), ["bk", "bc"])
-    once = (F.col("of_b") == F.col("home")) | (F.col("ak") < F.col("bk")) | ((F.col("ak") == F.col("bk")) & (F.col("ac") < F.col("bc")))
+    side = lambda x: sets.select(*(F.col(c).alias(f"{x}{c}") for c in sets.columns))
+    a = some.where("part <> home").select(F.col("deal").alias("at"), F.col("part").alias("of_a"), F.col("code").alias("acode")).join(side("a"), "acode")
+    b = some.select("deal", "home", F.col("part").alias("of_b"), F.col("code").alias("bcode")).join(side("b"), "bcode")
+    once = (F.col("of_b") == F.col("home")) | (F.col("acode") < F.col("bcode"))
     met = a.join(b, (F.col("at") == F.col("deal")) & (F.col("of_a") != F.col("of_b")) & once & _may_link())
-    return met.select("ak", "ac", "bk", "bc").distinct()
+    return met.select(F.col("acode").alias("a"), F.col("bcode").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
@@ -224,14 +231,22 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     found = kept.write(components(links, kept))
     verifier.drop()
     dealt = kept.write(_dealt(members, near, found))
-    verifier = _Verifier(docs, dealt, kept)
+    names = near.select("code", *KEY)
+    verifier = _Verifier(docs, dealt.select("code").distinct().join(names, "code"), kept)
     for step in range(ROUNDS + 1):
-        parts = _with_part(dealt, found)
-        # what hubs could not unite in some rounds is compared in full
-        more = verifier.links(_around(parts, step)) if step < ROUNDS else verifier.alike(kept.write(_left(parts, verifier)))
+        if step < ROUNDS:
+            more = verifier.links(_named(_around(dealt, step), names))
+        else:
+            # what hubs could not unite is compared in full
+            sets = verifier.sets.join(names, list(KEY)).drop(*KEY)
+            more = verifier.alike(kept.write(_named(_left(dealt, sets), names)))
         if not more.isEmpty():
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
             found = kept.write(components(edges, kept))
+            if step < ROUNDS:
+                parts = _with_part(names, found).select("code", "part")
+                dealt, old = kept.write(dealt.select("deal", "code").join(parts, "code").select("deal", "code", "part")), dealt
+                kept.drop(old)
         kept.drop(more)
     verifier.drop()
     kept.drop(members, hubs, near, pairs, links, dealt)
