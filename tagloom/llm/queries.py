@@ -1,4 +1,4 @@
-"""The queries that the driver runs, one for each operator, and SQL where SQL can say the same."""
+"""The queries that the driver runs, one for each operator; `oracles` has SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, licenses, line_dedup, ngram_join, quality, reply_trees, toxicity, url_filters
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer() -> tuple[str, str]:
@@ -58,21 +59,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_length_histogram, op2_toxicity, op3_license_scan, op4_line_dedup, op5_ngram_join, op6_bpe, op7_reply_trees, op8_host_rules, op9_decontaminate, op10_url_filter)}
-
-_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filters.RULES)
-ORACLE_SQL = {
-    "op10_url_filter": f"""
-WITH rules(verdict, host, path) AS (VALUES {_RULES}),
-split AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-fit AS (
-  SELECT s.page_id, s.host, s.path, r.host || r.path AS rule, r.verdict,
-    row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.host) DESC, length(r.path) DESC) AS nth
-  FROM split s LEFT JOIN rules r
-    ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE nth = 1
-""",
-}

@@ -394,3 +394,74 @@ def test_shared_folder_is_needed_on_a_cluster():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    from pathlib import Path
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return c
+
+
+def same(df, found):
+    cols = sorted(df.columns)
+    names = [x[0] for x in found.description]
+    assert sorted(names) == cols
+    key = lambda r: [(v is None, str(v)) for v in r]
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key) == sorted((tuple(r[names.index(c)] for c in cols) for r in found.fetchall()), key=key)
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_join", "op7_reply_trees", "op8_host_rules", "op9_decontaminate", "op10_url_filter"])
+def test_queries_equal_sql(spark, duck, name):
+    from tagloom.llm import oracles, queries
+
+    same(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), duck.execute(oracles.ORACLE_SQL[name]))
+
+
+def test_hosts_are_shrunk_and_ties_fall_together(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, good if i % 4 else "few", None, f"h{i % 2}", 1, "w", "k", 1) for i in range(40)] + [(100 + i, "bad", None, "worst", 1, "w", "k", 1) for i in range(10)] + [(200, good, None, "worst", 1, "w", "k", 1), (201, good, None, None, 1, "w", "k", 1)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    # h0 fails in half of its texts, h1 in none, worst in 10 of 11; the null host's lone text is drawn to the mean
+    k, n = [10, 0, 10, 0], [20, 20, 11, 1]
+    rates = [a / b for a, b in zip(k, n, strict=True)]
+    mean = sum(rates) / 4
+    var = sum((r - mean) ** 2 for r in rates) / 4
+    size = mean * (1 - mean) / var - 1
+    want = [round((a + mean * size) / (b + size), 9) for a, b in zip(k, n, strict=True)]
+    assert [got[0].host_rate, got[1].host_rate, got[200].host_rate, got[201].host_rate] == pytest.approx(want, abs=1e-8)
+    assert not got[200].kept and not got[200].rule_failed and got[201].kept and got[1].kept and not got[0].kept
+    assert quality.quality(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_ids_and_their_digest(spark):
+    out = bpe.tokenized(docs_of(spark, TEXTS[:20]), *tokenizer(), ids=True, digests=True).collect()
+    import struct
+
+    for r in out:
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest() and r.n_tokens == len(r.ids)
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    """Nulls, empty tables, repeats and clashing names go through every stage; each keeps the columns of documents."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, of string, drop string, _text string, component_id long, hits long"
+    clean = " ".join(f"plain{i}" for i in range(30))
+    rows = [(1, clean, "l", "s", 1, "o", "d", "t", 9, 9), (1, clean, "l", "s", 1, "o", "d", "t", 9, 9), (2, None, None, None, None, None, None, None, None, None), (3, "", "l", "s", 0, "o", "d", "t", 9, 9), (None, "no id\nno id", "l", "s", 1, "o", "d", "t", 9, 9), (4, "own " * 40, "l", "s", 1, "o", "d", "t", 9, 9)]
+    spark.createDataFrame([(1, 0, 0), (4, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("b", " ".join(f"bench{i}" for i in range(12)))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        if name == "bpe":
+            assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+        else:
+            assert out.columns == docs.columns, name
+        assert none.collect() == [] and out.count() >= 5, name
