@@ -150,3 +150,28 @@ def incomplete(files: DataFrame, tags: DataFrame, rels: list[str]) -> DataFrame:
 def value_counts(tags: DataFrame) -> DataFrame:
     """Per rel how many different values it has, of either kind."""
     return tags.groupBy("rel").agg(F.countDistinct(F.struct("value_str", "value_num")).alias("n_values"))
+
+
+#: How a player names the comparisons of a rule.
+PLAYER_OPS = {"=": "is", "!=": "isNot", ">": "gt", "<": "lt", "CONTAINS": "contains", "NOTCONTAINS": "notContains"}
+
+
+def player_rules(rules: Rules) -> dict:
+    """The rules as the document that a player takes: all or any of comparisons of fields and of nested groups."""
+    each = [{PLAYER_OPS[c.op.upper()]: {c.rel.replace(":", "_").replace("-", "_"): c.value}} for c in rules.conditions]
+    return {"all" if rules.logic.upper() == "AND" else "any": [*each, *map(player_rules, rules.groups)]}
+
+
+def preview(tags: DataFrame, files: DataFrame, rules: Rules, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """How many files the rules take (one row), and n of them in a seeded random order."""
+    found = files_for_rules(tags, rules)
+    return found.agg(F.count("*").alias("total")), files.join(found, "file_id", "left_semi").orderBy(F.xxhash64("file_id", F.lit(seed)), "file_id").limit(n)
+
+
+def counts_of_known(known: DataFrame, tags: DataFrame, rel: str) -> DataFrame:
+    """Each value of a rel in the dictionary (tag_id, rel, value_str, value_num) with its number of songs, 0 included."""
+    own = tags.where(F.col("rel") == rel).groupBy("value_str", "value_num").agg(F.countDistinct("file_id").alias("n"))
+    values = known.where(F.col("rel") == rel).select("value_str", "value_num")
+    a, b = values.alias("a"), own.alias("b")
+    same = F.col("a.value_str").eqNullSafe(F.col("b.value_str")) & F.col("a.value_num").eqNullSafe(F.col("b.value_num"))
+    return a.join(b, same, "left").select("a.value_str", "a.value_num", F.coalesce("b.n", F.lit(0)).alias("song_count"))

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.operators import drift, heads, library, matching, scores, tags
 from tagloom.plans import catalogue
@@ -208,3 +209,39 @@ def test_underflow_counts_twice(spark):
     r = calibration.states(calibration.histograms(s)).first()
     # 40 values: the 5 % of 2 is reached at once by the one below 0, which counts twice
     assert (r.p5, r.n, r.underflow_count) == (0.0, 40, 1)
+
+
+def test_folders_and_calibration_files(spark, tmp_path):
+    from tagloom.operators import sinks
+    from tagloom.sources import folders
+
+    for p in ("a/x.MP3", "a/b/y.flac", "a/b/z.txt", "top.ogg"):
+        (tmp_path / "lib" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "lib" / p).write_bytes(b"12345")
+    found = folders.audio_files(spark, str(tmp_path / "lib"))
+    assert {(r.normalized_path, r.file_size) for r in found.collect()} == {("a/x.MP3", 5), ("a/b/y.flac", 5), ("top.ogg", 5)}
+    assert {(r.folder, r.file_count) for r in folders.folders_of(found).collect()} == {("a", 1), ("a/b", 1), ("", 1)}
+    known = found.where("normalized_path <> 'a/x.MP3'").withColumn("modified_ms", found.modified_ms + (found.normalized_path == "top.ogg").cast("int"))
+    assert {(r.normalized_path, r.is_new) for r in folders.changed_files(found, known).collect()} == {("a/x.MP3", True), ("top.ogg", False)}
+    states = spark.createDataFrame([("h", "l", 0.1, 0.9, 5, 0, 0), ("g", "m", 0.2, 0.8, 6, 1, 2)], "head_name string, label string, p5 double, p95 double, n long, underflow_count long, overflow_count long")
+    folders.write_calibrations(states, str(tmp_path / "cal"))
+    assert {tuple(r) for r in folders.read_calibrations(spark, str(tmp_path / "cal")).select(*states.columns).collect()} == {tuple(r) for r in states.collect()}
+    lines = spark.createDataFrame([(2, "#i2", "p2"), (1, "#i1", "p1")], "nth long, info string, path string")
+    sinks.write_lines(lines, str(tmp_path / "list"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "list")).collect()] == ["#i1", "p1", "#i2", "p2"]
+    names = spark.createDataFrame([("a/b: c?",), ("",), (None,)], "n string").select(sinks.safe_name(F.col("n")))
+    assert [r[0] for r in names.collect()] == ["a_b_ c_.m3u", "playlist.m3u", "playlist.m3u"]
+
+
+def test_player_rules():
+    r = tags.Rules("AND", (tags.Condition("nom:energy", ">", 0.5),), (tags.Rules("OR", (tags.Condition("genre", "=", "a"), tags.Condition("genre", "notcontains", "b"))),))
+    assert tags.player_rules(r) == {"all": [{"gt": {"nom_energy": 0.5}}, {"any": [{"is": {"genre": "a"}}, {"notContains": {"genre": "b"}}]}]}
+
+
+def test_files_below_folders(spark):
+    from tagloom.operators import files
+
+    f = spark.createDataFrame([(1, 1, "a/b/c.mp3"), (2, 1, "a/d.mp3"), (3, 1, "x.mp3"), (4, 2, "a/b/c.mp3")], "file_id long, library_id long, normalized_path string")
+    d = spark.createDataFrame([(1, "a"), (1, "a/b"), (1, "")], "library_id long, folder string")
+    assert sorted(r.file_id for r in files.in_folders(f, d).collect()) == [1, 2, 3]
+    assert sorted(r.file_id for r in files.in_folders(f, d.where("folder = ''")).collect()) == [3]
