@@ -4,7 +4,9 @@ Each item is cut into windows of consecutive words (an item of fewer words is
 one window). A window's words are ordered by rarity in the documents; for exact
 containment the necessary prefix is its rarest word, which is joined with the
 places where documents have that word. Length and position bound where the
-window would start, and the words there are compared in full.
+window would start, and the words there are compared in full. The items' words
+are a table of their own: none of it passes through the driver, and a sieve of
+bounded size keeps other words out of the joins.
 
 Cases: a null text has no words and so no hits or windows; items without
 item_id are left out; rows that share a doc_id are one document, whose text
@@ -16,19 +18,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Kept, text_of, words
+from .common import Kept, sieve, text_of, words
 
-#: So many of the items' words are looked for in one pass over the documents; more words take more passes.
-WORDS_A_PASS = 20_000
-#: Item windows up to this many rows (about 200 bytes each) go to every executor; beyond, Spark shuffles them.
+#: Tables up to this many bytes, as JSON, and of this many rows go to every executor; beyond, Spark shuffles them.
+BYTES_TO_BROADCAST = 32 << 20
 ROWS_TO_BROADCAST = 200_000
 
 
 def sized(df: DataFrame, most: int = ROWS_TO_BROADCAST) -> DataFrame:
-    """With a broadcast hint only if it is counted to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """With a broadcast hint only if it is counted to be small, in rows and in bytes."""
+    n, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= most and (size or 0) <= BYTES_TO_BROADCAST else df
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -38,68 +39,60 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return split.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("w")).distinct()
 
 
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("h", F.xxhash64("word"))
+
+
 def find_windows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words and where item windows occur: `hits`, an array of (start, len), and `items`, of item ids."""
+    """doc_id and where item windows occur: `hits`, an array of (start, len), and `items`, of item ids; documents without any are left out."""
+    kept = Kept(docs.sparkSession)
     texts = docs.select("doc_id", words(text_of()).alias("w"))
     found = windows_of(items, window)
-    # the items' vocabulary: it grows with the benchmark, not with the documents
-    vocabulary = sorted(r.word for r in found.select(F.explode("w").alias("word")).distinct().collect())
-    seen = None
-    for a in range(0, len(vocabulary), WORDS_A_PASS):
-        some = vocabulary[a : a + WORDS_A_PASS]
-        # an outer explode: else Spark would split the texts a second time to filter by size
-        held = texts.select(F.explode_outer(F.array_distinct(F.filter("w", lambda w: w.isin(some)))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-        seen = held if seen is None else seen.union(held)
-    if seen is None:
-        seen = found.select(F.lit("").alias("word"), F.lit(0).cast("long").alias("n")).limit(0)
+    vocabulary = kept.write(_named(found.select(F.explode("w").alias("word")).distinct()))
+    # outer explodes: else Spark would split the texts a second time to filter by size
+    every = _named(texts.select(F.explode_outer("w").alias("word")).where("word is not null"))
+    # counts of words are summed before they are shuffled
+    seen = sieve(every, "h", vocabulary, "h").groupBy("word").agg(F.count("*").alias("n"))
     # the prefix: of each window the rarest word and its first place; a word that no document has rules the window out
     placed = found.select("item_id", "w", F.posexplode("w").alias("at", "word")).join(seen, "word", "left")
     prefix = (
         placed.groupBy("item_id", "w")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "word")).alias("p"))
         .where("p.n > 0")
-        .select("item_id", F.col("w").alias("want"), F.col("p.at").alias("at"), F.col("p.word").alias("word"))
-    )
-    # a row a window: written once, so that the documents are counted once for all its uses
-    prefix = Kept(docs.sparkSession).write(prefix)
-    tokens = sorted(r.word for r in prefix.select("word").distinct().collect())
-    hits = texts.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("around", T.ArrayType(T.StringType()))]))).alias("c"))
-    for a in range(0, len(tokens), WORDS_A_PASS):
-        some = tokens[a : a + WORDS_A_PASS]
-        places = texts.select("doc_id", "w", F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(some), i))).alias("at"))
-        around = F.transform("at", lambda i: F.struct(i.alias("at"), F.get("w", i).alias("word"), F.slice("w", F.greatest(F.lit(0), i - window + 1) + 1, 2 * window - 1).alias("around")))
-        passed = places.select("doc_id", F.size("w").cast("long").alias("n_words"), around.alias("c"))
-        hits = passed if a == 0 else hits.union(passed)
-    found_at = hits.select("doc_id", "n_words", F.inline_outer("c"))
-    met = (
-        found_at.join(sized(prefix).withColumnRenamed("at", "off"), "word", "left")
-        .withColumn("len", F.size("want"))
-        .withColumn("start", F.col("at") - F.col("off"))
+        .select("item_id", F.col("w").alias("want"), F.col("p.at").alias("off"), F.col("p.word").alias("word"))
     )
+    # a row a window: written once, so that words are counted once for all its uses
+    prefix = kept.write(prefix)
+    tokens = _named(prefix.select("word").distinct())
+    places = _named(texts.select("doc_id", "w", F.posexplode_outer("w").alias("at", "word")).where("word is not null"))
+    around = F.slice("w", F.greatest(F.lit(0), F.col("at") - window + 1) + 1, 2 * window - 1)
+    met = sieve(places, "h", tokens, "h").select("doc_id", "at", "word", F.size("w").alias("n_words"), around.alias("around"))
+    met = met.join(sized(prefix), "word").withColumn("len", F.size("want")).withColumn("start", F.col("at") - F.col("off"))
     # where the window would start among the words around the place
     inside = F.col("start") - F.greatest(F.lit(0), F.col("at") - window + 1) + 1
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))
     same = F.when(fits, F.slice("around", F.greatest(inside, F.lit(1)), F.col("len")) == F.col("want"))
-    hit = met.select("doc_id", "n_words", F.when(same, F.struct("start", "len")).alias("hit"), F.when(same, F.col("item_id")).alias("item"))
-    return hit.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
+    hit = met.where(same).select("doc_id", F.struct("start", "len").alias("hit"), F.col("item_id").alias("item"))
+    return hit.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit (words inside any occurrence), n_items, items_sha256 and contaminated."""
-    found = find_windows(docs, items, window)
+    found = find_windows(docs, items, window).select(F.col("doc_id").alias("of"), "hits", "items")
+    every = docs.select("doc_id", F.size(words(text_of())).cast("long").alias("n_words")).groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    n_hit = F.size(covered).cast("long")
-    return found.select(
+    zero = F.lit(0).cast("long")
+    return every.join(found, every["doc_id"].eqNullSafe(found["of"]), "left").select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+        F.when(F.col("hits").isNotNull(), F.size(covered).cast("long")).otherwise(zero).alias("n_hit"),
+        F.when(F.col("items").isNotNull(), F.size("items").cast("long")).otherwise(zero).alias("n_items"),
+        F.sha2(F.coalesce(F.array_join(F.sort_array("items"), ","), F.lit("")), 256).alias("items_sha256"),
+        F.col("hits").isNotNull().alias("contaminated"),
     )
 
 
 def clean_only(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs` without any occurrence; rows without doc_id stay."""
-    found = find_windows(docs, items, window).where("size(hits) > 0").select("doc_id")
+    found = find_windows(docs, items, window).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
