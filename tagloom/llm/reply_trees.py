@@ -17,6 +17,8 @@ empty table gives no rows; further columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ def paths(messages: DataFrame, kept: Kept) -> DataFrame:
     up = messages.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
     up = kept.write(up.join(nodes.select("tree", F.col("node").alias("to")), ["tree", "to"], "left_semi"))
     leaves = nodes.join(up.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    found = kept.write(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist")))
+    # what each round finds is written once
+    found = [kept.write(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist")))]
     step = 1
     longest = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while not up.isEmpty():
@@ -51,14 +54,13 @@ def paths(messages: DataFrame, kept: Kept) -> DataFrame:
             circles = kept.write(up.select("tree", F.col("to").alias("node"), F.lit(True).alias("round")).distinct())
             cut = messages.join(circles, ["tree", "node"], "left").withColumn("parent", F.when(F.col("round").isNull(), F.col("parent")))
             return paths(cut.drop("round"), kept)
-        further = found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("dist") + step).alias("dist"))
-        old, found = found, kept.write(found.union(further))
-        kept.drop(old)
+        further = reduce(DataFrame.union, found).join(up, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("dist") + step).alias("dist"))
+        found.append(kept.write(further))
         two = up.alias("a").join(up.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.to") == F.col("b.node")))
         old, up = up, kept.write(two.select(F.col("a.tree").alias("tree"), F.col("a.node").alias("node"), F.col("b.to").alias("to")))
         kept.drop(old)
         step *= 2
-    return found
+    return reduce(DataFrame.union, found)
 
 
 def format_trees(messages: DataFrame) -> DataFrame:
