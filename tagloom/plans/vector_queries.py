@@ -71,12 +71,12 @@ add(
 )
 add(
     "similar_tracks",
-    lambda v, k, f: vx.similar_tracks(v, k, f, "nd8", 10),
+    lambda v, k, f: vx.similar_tracks(v, k, f, "nd4", 10),
     UNIT
     + f"""
-    , s AS (SELECT b.file_id, {SCORE} AS score FROM unit a, unit b WHERE a.file_id = (SELECT file_id FROM nd_links WHERE nd_id = 'nd8')),
+    , s AS (SELECT b.file_id, {SCORE} AS score FROM unit a, unit b WHERE a.file_id = (SELECT file_id FROM nd_links WHERE nd_id = 'nd4')),
     r AS (SELECT * FROM s ORDER BY score DESC, file_id LIMIT 21)
-    SELECT nd_id, r.file_id, title, artist, score FROM r JOIN nd_links USING (file_id) JOIN files f ON f.file_id = r.file_id WHERE nd_id <> 'nd8' ORDER BY score DESC, r.file_id LIMIT 10
+    SELECT nd_id, r.file_id, title, artist, score FROM r JOIN nd_links USING (file_id) JOIN files f ON f.file_id = r.file_id WHERE nd_id <> 'nd4' ORDER BY score DESC, r.file_id LIMIT 10
     """,
     ("vectors", "nd_links", "files"),
 )
