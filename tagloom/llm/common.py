@@ -100,7 +100,8 @@ class Kept:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
-        atexit.register(self.end)
+        # not a bound method, which would keep all DataFrames and their plans
+        atexit.register(_end, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -112,16 +113,18 @@ class Kept:
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            self._delete(self.paths.pop(id(df))[1])
+            _delete(self.spark, self.paths.pop(id(df))[1])
 
-    def _delete(self, at: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def end(self) -> None:
-        # a session that has been stopped has no file systems any more
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.root)
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _end(spark: SparkSession, root: str) -> None:
+    # a session that has been stopped has no file systems any more
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, root)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -96,12 +96,15 @@ def train(words: np.ndarray, per_sentence: np.ndarray, per_doc: np.ndarray, y: n
     w, b = np.zeros(1 << BITS), -4.0
     if not (0 < y.sum() < len(y)):
         return w, b
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    # in how many documents, and toxic ones, each feature is
-    pair = np.unique(doc[sentence].astype(np.int64) << BITS | words)
-    held, toxic = pair & ((1 << BITS) - 1), y[pair >> BITS] == 1
-    n_held, n_toxic = np.bincount(held, minlength=1 << BITS), np.bincount(held[toxic], minlength=1 << BITS)
+    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    # in how many documents, and toxic ones, each feature is: a document at a time, so that the driver holds no copies of all words
+    n_held, n_toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    ends = np.cumsum(_sums(per_sentence.astype(float), per_doc).astype(np.int64))
+    for d, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        held = np.unique(words[start:end])
+        n_held[held] += 1
+        n_toxic[held] += y[d] == 1
     share = y.mean()
     telling = (n_toxic - n_held * share) >= TELLING * np.sqrt(n_held * share * (1 - share) + 1e-9)
     seen = ((n_held >= min_docs) & telling)[words]
@@ -146,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     if not t.num_rows:
         return np.zeros(1 << BITS), -4.0
     words, per_sentence = (t[c].chunk(0) for c in ("words", "per_sentence"))
-    return train(words.flatten().to_numpy(), per_sentence.flatten().to_numpy(), np.diff(np.asarray(per_sentence.offsets)), t["toxic"].to_numpy())
+    fitted = train(words.flatten().to_numpy(), per_sentence.flatten().to_numpy(), np.diff(np.asarray(per_sentence.offsets)), t["toxic"].to_numpy())
+    # what Arrow keeps for later goes back: the driver goes on to other stages
+    del t, words, per_sentence
+    pa.default_memory_pool().release_unused()
+    return fitted
 
 
 def _scorer(w: np.ndarray, b: float):
