@@ -127,19 +127,23 @@ def fuzzy(tracks: DataFrame, library: DataFrame) -> DataFrame:
     it is ambiguous. Ties go to the smaller file_id. Candidates come from a
     join by rare trigrams and are verified exactly.
     """
-    keyed = lambda d: d.withColumn("t", comparable(F.col("title"))).withColumn("a", comparable_artist(F.col("artist")))
-    own, lib = keyed(tracks).select("track_id", "t", "a"), keyed(library).select("file_id", F.col("t").alias("u"), F.col("a").alias("b"))
-    pairs = candidates(own, lib.select("file_id", F.col("u").alias("t"), F.col("b").alias("a")))
-    scored = pairs.join(own, "track_id").join(lib, "file_id").select("track_id", "file_id", F.round(similarity("t", "a", "u", "b"), 6).alias("score")).where(F.col("score") >= LOW)
-    w = Window.partitionBy("track_id").orderBy(F.col("score").desc(), "file_id")
+    keyed = lambda d: d.withColumn("t", comparable(F.col("title"))).withColumn("a", comparable_artist(F.col("artist"))).withColumn("text", F.md5(F.concat_ws("\n", "t", "a")))
+    # equal texts are compared once, however many tracks and files have them; of a text's files only the first can come out
+    own, lib = keyed(tracks).select("track_id", "text", "t", "a"), keyed(library).select("file_id", "text", "t", "a")
+    first = lib.withColumn("nth", F.row_number().over(Window.partitionBy("text").orderBy("file_id"))).where(F.col("nth") <= 1 + ALTERNATIVES).select("file_id", F.col("text").alias("of"))
+    asked, held = own.select(F.col("text").alias("track_id"), "t", "a").distinct(), lib.select(F.col("text").alias("file_id"), "t", "a").distinct()
+    pairs = candidates(asked, held).join(asked, "track_id").join(held.select("file_id", F.col("t").alias("u"), F.col("a").alias("b")), "file_id")
+    alike = pairs.select(F.col("track_id").alias("text"), F.col("file_id").alias("of"), F.round(similarity("t", "a", "u", "b"), 6).alias("score")).where(F.col("score") >= LOW)
+    scored = alike.join(first, "of").select("text", "file_id", "score")
+    w = Window.partitionBy("text").orderBy(F.col("score").desc(), "file_id")
     best = scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 1 + ALTERNATIVES)
     at = lambda n, c: F.max(F.when(F.col("nth") == n, F.col(c)))
     others = F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.struct("nth", "file_id"))))
-    flat = best.groupBy("track_id").agg(at(1, "score").alias("score"), at(1, "file_id").alias("file_id"), at(2, "score").alias("second"), others.alias("others"))
+    flat = best.groupBy("text").agg(at(1, "score").alias("score"), at(1, "file_id").alias("file_id"), at(2, "score").alias("second"), others.alias("others"))
     near = F.coalesce(F.col("score") - F.col("second") < GAP, F.lit(False))
     joined = F.when(near, F.array_join(F.transform("others", lambda x: x["file_id"].cast("string")), ",")).otherwise("")
     status = F.when(F.col("score").isNull(), "not_found").when((F.col("score") >= HIGH) & ~near, "fuzzy").otherwise("ambiguous")
-    return own.select("track_id").join(flat, "track_id", "left").select("track_id", status.alias("status"), F.coalesce(F.round(F.col("score") / 100, 6), F.lit(0.0)).alias("confidence"), "file_id", F.coalesce(joined, F.lit("")).alias("alternatives"))
+    return own.select("track_id", "text").join(flat, "text", "left").select("track_id", status.alias("status"), F.coalesce(F.round(F.col("score") / 100, 6), F.lit(0.0)).alias("confidence"), "file_id", F.coalesce(joined, F.lit("")).alias("alternatives"))
 
 
 def match_all(tracks: DataFrame, library: DataFrame) -> DataFrame:
