@@ -151,7 +151,9 @@ def _emit(width: int, to_label: list[int]):
             run_of, sig, to = run_of[order], sig[order], to[order]
             cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
             rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            # texts without words alone have no signatures
+            ends = [*cuts[1:], len(to)] if len(to) else []
+            for a, b in zip(cuts, ends, strict=True):
                 runs, count = np.unique(run_of[a:b], return_counts=True)
                 low = (sig[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 rows.append((int(label[to[a]]), ids[runs // 256].tobytes(), (runs % 256).astype(np.uint8).tobytes(), count.astype(np.uint16 if count.max() < 65536 else np.uint32).tobytes(), low.tobytes()))

@@ -465,3 +465,9 @@ def test_pipeline_stages_on_edge_cases(spark, tmp_path):
         else:
             assert out.columns == docs.columns, name
         assert none.collect() == [] and out.count() >= 5, name
+
+
+def test_ngram_join_of_texts_without_words_alone(spark):
+    got = ngram_join.jaccard_components(docs_of(spark, [None, "", " \n"])).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+    assert ngram_join.one_of_each(docs_of(spark, [None, "", "a", "a"])).count() == 3
