@@ -1,8 +1,8 @@
-"""DuckDB SQL of the queries that SQL can say whole: URL filters, n-gram join, reply trees, quality rules, decontamination."""
+"""DuckDB SQL of the queries that SQL can say whole: URL filters, n-gram join, reply trees, quality rules, decontamination, vector codes, divergence."""
 
 from __future__ import annotations
 
-from . import quality, reply_trees, url_filters
+from . import divergence, quality, reply_trees, url_filters, vector_codes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,4 +101,61 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_ngram_join": NGRAMS, "op7_reply_trees": CHAT, "op8_host_rules": QUALITY, "op9_decontaminate": LEAKS, "op10_url_filter": URLS}
+
+def _codes() -> str:
+    """Assignments and means, a CTE each, as recursion allows no aggregates."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    ctes = [f"""
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT r, vec_id, k AS part, v[k * len(v) // {parts} + 1:(k + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(k)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT {entries})),
+book0 AS MATERIALIZED (SELECT part, e, min(x) AS c FROM cut JOIN first USING (vec_id) GROUP BY part, e)"""]
+    for n in range(vector_codes.ROUNDS + 1):
+        ctes.append(f"""
+far{n} AS MATERIALIZED (
+  SELECT r, part, min((d, e)) AS best FROM (
+    SELECT r, part, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut JOIN book{n} USING (part))
+  GROUP BY r, part)""")
+        if n < vector_codes.ROUNDS:
+            ctes.append(f"""
+mean{n} AS (
+  SELECT part, e, list(c ORDER BY i) AS c FROM (
+    SELECT part, f.best[2] AS e, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS c
+    FROM cut JOIN far{n} f USING (r, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY part, f.best[2], i)
+  GROUP BY part, e),
+book{n + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} m USING (part, e))""")
+    last = vector_codes.ROUNDS
+    return f"""WITH {",".join(ctes)},
+coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM far{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM book{last}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SHARE = "1 + (1000000000 * (CAST({0} AS HUGEINT) + 2)) // ({1} + 2 * V)"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_words("text", _TERMS, True)} AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS V, sum(n) AS NL FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(group_n, 0) AS group_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS group_n FROM c GROUP BY ALL) USING (lang, source)),
+-- every group with every kept word of its language
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format("coalesce(c.n, 0)", "group_n")} AS p, {_SHARE.format("k.n", "NL")} AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM grid WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+ORACLE_SQL = {
+    "op5_ngram_join": NGRAMS, "op7_reply_trees": CHAT, "op8_host_rules": QUALITY, "op9_decontaminate": LEAKS, "op10_url_filter": URLS,
+    "op11_vector_codes": _codes(), "op13_divergence": DIVERGENCE,
+}

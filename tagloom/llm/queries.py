@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, line_dedup, ngram_join, quality, reply_trees, toxicity, url_filters
+from . import bpe, decontaminate, divergence, licenses, line_dedup, ngram_join, quality, reply_trees, simhash, toxicity, url_filters, vector_codes
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -58,4 +58,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_length_histogram, op2_toxicity, op3_license_scan, op4_line_dedup, op5_ngram_join, op6_bpe, op7_reply_trees, op8_host_rules, op9_decontaminate, op10_url_filter)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_length_histogram, op2_toxicity, op3_license_scan, op4_line_dedup, op5_ngram_join, op6_bpe, op7_reply_trees,
+        op8_host_rules, op9_decontaminate, op10_url_filter, op11_vector_codes, op12_simhash, op13_divergence,
+    )
+}
