@@ -1 +1,11 @@
-"""Operators on tag, file, play, score and vector tables: DataFrames in, DataFrames out."""
+"""Operators on tag, file, play, score and vector tables: DataFrames in, DataFrames out.
+
+Helpers that run in Python workers travel by value, so executors need not have
+this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,14 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.texts import comparable, comparable_artist
+from .likeness import common_subsequence, most_alike
 
 #: Least scores of a candidate and of a sure match, the gap within which others count as alternatives, and how many of them.
 LOW, HIGH, GAP, ALTERNATIVES = 70.0, 85.0, 5.0, 3
-#: Of a track's title and artist so many trigrams, those that the fewest library tracks have, look up candidates.
-LOOKED_UP = 8
 
 
 def match(tracks: DataFrame, library: DataFrame) -> DataFrame:
@@ -79,62 +77,26 @@ def latest(tiers: DataFrame, key: str, order: list) -> DataFrame:
     return tiers.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """The length of the longest common subsequence: one step a character of `b`, in which all of `a` are bits of one number."""
-    at: dict[str, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    row = full = (1 << len(a)) - 1
-    for y in b:
-        hit = row & at.get(y, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
 def token_sort_ratio(a: str, b: str) -> float:
     """How alike two texts are whose words are sorted, 0 to 100: twice the common subsequence by both lengths. Two empty texts are alike."""
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-@F.pandas_udf(DoubleType())
-def similarity(ta: pd.Series, aa: pd.Series, tb: pd.Series, ab: pd.Series) -> pd.Series:
-    return pd.Series([0.7 * token_sort_ratio(t, u) + 0.3 * token_sort_ratio(a, b) for t, a, u, b in zip(ta, aa, tb, ab, strict=True)])
-
-
-def _trigrams(c):
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
-
-
-def candidates(tracks: DataFrame, library: DataFrame) -> DataFrame:
-    """Pairs of tracks and library files (with t and a, comparable title and artist) that share one of the track's rarest trigrams of title and artist.
-
-    Rarest first keeps the lists short that are joined; each library row lists all its trigrams.
-    """
-    of = lambda df, id_: df.select(id_, F.explode(F.array_union(_trigrams(F.col("t")), _trigrams(F.col("a")))).alias("g"))
-    index = of(library, "file_id")
-    df = index.groupBy("g").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("track_id").orderBy("df", "g")
-    rarest = of(tracks, "track_id").join(df, "g").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LOOKED_UP)
-    return rarest.select("track_id", "g").join(index, "g").select("track_id", "file_id").distinct()
-
-
 def fuzzy(tracks: DataFrame, library: DataFrame) -> DataFrame:
     """track_id, status (fuzzy, ambiguous or not_found), confidence, file_id and alternatives (comma-joined) by likeness of title (0.7) and artist (0.3).
 
     At HIGH or more a match is sure unless another is within GAP, from LOW on
-    it is ambiguous. Ties go to the smaller file_id. Candidates come from a
-    join by rare trigrams and are verified exactly.
+    it is ambiguous. Ties go to the smaller file_id. All pairs that may be
+    among the best are compared, and no others; see `likeness`.
     """
     keyed = lambda d: d.withColumn("t", comparable(F.col("title"))).withColumn("a", comparable_artist(F.col("artist"))).withColumn("text", F.md5(F.concat_ws("\n", "t", "a")))
     # equal texts are compared once, however many tracks and files have them; of a text's files only the first can come out
     own, lib = keyed(tracks).select("track_id", "text", "t", "a"), keyed(library).select("file_id", "text", "t", "a")
     first = lib.withColumn("nth", F.row_number().over(Window.partitionBy("text").orderBy("file_id"))).where(F.col("nth") <= 1 + ALTERNATIVES).select("file_id", F.col("text").alias("of"))
-    asked, held = own.select(F.col("text").alias("track_id"), "t", "a").distinct(), lib.select(F.col("text").alias("file_id"), "t", "a").distinct()
-    pairs = candidates(asked, held).join(asked, "track_id").join(held.select("file_id", F.col("t").alias("u"), F.col("a").alias("b")), "file_id")
-    alike = pairs.select(F.col("track_id").alias("text"), F.col("file_id").alias("of"), F.round(similarity("t", "a", "u", "b"), 6).alias("score")).where(F.col("score") >= LOW)
-    scored = alike.join(first, "of").select("text", "file_id", "score")
+    asked = own.groupBy("text").agg(F.first("t").alias("t"), F.first("a").alias("a"))
+    held = lib.groupBy(F.col("text").alias("of")).agg(F.first("t").alias("t"), F.first("a").alias("a"), F.min("file_id").alias("first"))
+    scored = most_alike(asked, held, LOW, 1 + ALTERNATIVES).join(first, "of").select("text", "file_id", "score")
     w = Window.partitionBy("text").orderBy(F.col("score").desc(), "file_id")
     best = scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 1 + ALTERNATIVES)
     at = lambda n, c: F.max(F.when(F.col("nth") == n, F.col(c)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,20 +117,15 @@ MAX_FIT = 100_000
 
 
 class Ivf:
-    """An index of coarse lists: k-means cells of unit vectors, fitted on a bounded sample (the MAX_FIT smallest hashes of file_id)."""
+    """An index of so many lists over vectors, below a new shared folder: `vector_index` for a table that does not change."""
 
-    def __init__(self, vectors: DataFrame, lists: int, seed: int = 7):
-        unit = normalized(vectors)
-        sample = unit.select("file_id", array_to_vector("vector_n").alias("features")).orderBy(F.xxhash64("file_id"), "file_id").limit(MAX_FIT)
-        self.model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="cell").fit(sample)
-        # a row a list
-        self.centers = unit.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())], "cell int, center array<double>")
-        self.vectors = self.model.transform(unit.withColumn("features", array_to_vector("vector_n"))).drop("features")
+    def __init__(self, vectors: DataFrame, lists: int):
+        from .vector_index import VectorIndex
+
+        self.index = VectorIndex(vectors.sparkSession)
+        self.index.build(vectors, lists=lists)
 
     def search(self, seed: int, k: int, probes: int) -> DataFrame:
-        """The k nearest of a file among the `probes` lists whose centers are nearest to it. Lists are a join key, so that others are not scored."""
-        one = self.vectors.where(F.col("file_id") == seed).select(F.col("vector_n").alias("q")).limit(1)
-        size = norm(F.col("center"))
-        near = self.centers.crossJoin(F.broadcast(one)).withColumn("s", dot(F.col("center"), F.col("q")) / F.when(size > 0, size).otherwise(1.0)).orderBy(F.col("s").desc(), "cell").limit(probes)
-        scored = self.vectors.where(F.col("file_id") != seed).join(F.broadcast(near.select("cell", "q")), "cell").select("file_id", F.round(dot(F.col("vector_n"), F.col("q")), 6).alias("score"))
-        return scored.orderBy(F.col("score").desc(), "file_id").limit(k)
+        """The k nearest of a file among the `probes` lists whose centres are nearest to it; none if it is not in the index."""
+        query = self.index.vector_of(seed)
+        return self.index.search(query or [], k, probes if query else 0, without=seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vectors as vx
+from ..operators.vector_index import VectorIndex
 from .registry import add
 
 UNIT = ", unit AS (SELECT file_id, CAST(vector AS DOUBLE[]) AS v FROM vectors)"
@@ -92,3 +93,59 @@ add(
 )
 # approximate by nature; tests measure its recall
 add("vector_ivf", lambda v: vx.Ivf(v, 20).search(7, 10, 8), views=("vectors",))
+
+#: More cells than there can be: all of them are probed, and the result is exact.
+ALL = 4001
+
+
+def _searched(index, genre=None):
+    return index.search(index.vector_of(7), 10, ALL, genre=genre, without=7)
+
+
+def _built(v, tags=None):
+    index = VectorIndex(v.sparkSession)
+    index.build(v, tags)
+    return index
+
+
+def _promoted(t, tags=None):
+    """The cold tier's index after the hot tier, of which each vector is turned round, has been moved in."""
+    index = _built(t.where("tier = 'cold'"), tags)
+    index.promote(t.where("tier = 'hot'").withColumn("vector", F.reverse("vector")), tags)
+    return index
+
+
+GENRES = ", g AS (SELECT file_id FROM tags_long WHERE rel = 'genre' AND value_str = (SELECT min(value_str) FROM tags_long WHERE rel = 'genre'))"
+DRAINED = """
+, m AS (
+  SELECT file_id, CASE WHEN max(tier) = 'hot' THEN list_reverse(any_value(CAST(vector AS DOUBLE[]))) ELSE any_value(CAST(vector AS DOUBLE[])) END AS v FROM tiers GROUP BY file_id)
+"""
+add(
+    "vector_ivf_stored",
+    lambda v: _searched(_built(v)),
+    UNIT + f"SELECT b.file_id, {SCORE} AS score FROM unit a, unit b WHERE a.file_id = 7 AND b.file_id <> 7 ORDER BY score DESC, b.file_id LIMIT 10",
+    ("vectors",),
+)
+add(
+    "vector_ivf_genre",
+    lambda v, t: _searched(_built(v, t), t.where("rel = 'genre'").agg(F.min("value_str")).first()[0]),
+    UNIT + GENRES + f"SELECT b.file_id, {SCORE} AS score FROM unit a, unit b WHERE a.file_id = 7 AND b.file_id <> 7 AND b.file_id IN (FROM g) ORDER BY score DESC, b.file_id LIMIT 10",
+    ("vectors", "tags_long"),
+)
+add(
+    "vector_promoted",
+    lambda t: _searched(_promoted(t)),
+    DRAINED + f"SELECT b.file_id, {SCORE} AS score FROM m a, m b WHERE a.file_id = 7 AND b.file_id <> 7 ORDER BY score DESC, b.file_id LIMIT 10",
+    ("tiers",),
+)
+add(
+    "vector_promoted_rows",
+    lambda t, g: _promoted(t, g).rows().select("file_id", "created_at", F.array_join("genres", ",").alias("genres"), first("vector").alias("x0")),
+    DRAINED
+    + """
+    , g AS (SELECT file_id, string_agg(DISTINCT value_str, ',' ORDER BY value_str) AS genres FROM tags_long WHERE rel = 'genre' GROUP BY file_id)
+    SELECT t.file_id, max(created_at) AS created_at, max(coalesce(genres, '')) AS genres, round(any_value(m.v)[1], 6) AS x0
+    FROM tiers t JOIN m ON m.file_id = t.file_id LEFT JOIN g ON g.file_id = t.file_id GROUP BY t.file_id
+    """,
+    ("tiers", "tags_long"),
+)
