@@ -189,7 +189,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     pairs = neither.unionByName(alone).unionByName(turned(alone)).unionByName(both).unionByName(turned(both))
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value")).withColumn("part", F.lit("pair"))
 
-    terms = compared.where("part = 'term'")
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(order))
-    return ranked.where(f"part = 'pair' OR rank <= {int(top)}").select("lang", "source", "part", "item", "value", "rank")
+    # ranks of words are bounded, so that each task passes on as many as can still count
+    nth = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    terms = compared.where("part = 'term'").withColumn("rank", nth).where(F.col("rank") <= top)
+    ranked = pairs.withColumn("rank", nth).unionByName(terms)
+    return ranked.select("lang", "source", "part", "item", "value", "rank")
