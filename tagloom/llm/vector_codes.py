@@ -18,7 +18,7 @@ Cases: a vector that is null or holds null, NaN or an infinite component is left
 out. So is one whose length is not a positive multiple of eight, or is not the
 commonest such length (of equally common ones the shortest), as parts of other
 lengths have no distance, and one whose components are so large that a squared
-distance might not fit 64 bits (for 64 dimensions from 131,072 on). A repeated
+distance might not fit 64 bits (for 64 dimensions from 46,340 on). A repeated
 vec_id gives a row each time, but seeds once, by its smallest vector; rows
 without vec_id are coded, yet don't seed. With fewer than 16 vec_ids the
 codebooks have as many entries. label_error is null where it does not fit a
@@ -133,7 +133,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     sizes = rows.where(f"size(v) > 0 AND size(v) % {PARTS} = 0").groupBy(F.size("v").alias("n")).count()
     common = sizes.orderBy(F.desc("count"), "n").limit(1).first()
     n = common.n if common else PARTS
-    # two components differ by twice the largest one at most; with 2 * width parts' squares still fit
+    # two components differ by less than twice the largest, so that n squares of what they differ by still fit
     largest = math.isqrt((2**63 - 1) // n) // 2
     floors = F.transform("v", lambda x: F.floor(F.lit(float(SCALE)) * x))
     fits = lambda x: F.abs(F.lit(float(SCALE)) * x) < largest
