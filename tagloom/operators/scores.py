@@ -53,3 +53,35 @@ def calibrated(x: Column, p5: Column, p95: Column) -> Column:
     """Scaled to [0, 1]; the value itself where there is no range."""
     scaled = F.least(F.greatest((x - p5) / (p95 - p5), F.lit(0.0)), F.lit(1.0))
     return F.when(p5.isNull() | p95.isNull() | (p95 <= p5), x).otherwise(scaled)
+
+
+def pool_scores(segments: DataFrame, mode: str = "mean", trim: float = 0.1, omit: bool = True) -> DataFrame:
+    """file_id, dim and value: of each file's segments (file_id, scores, an array) one value a dimension; null elements count as NaN.
+
+    `mode` is mean, median or trimmed_mean. With `omit` NaN is left out, and a
+    dimension of nothing else is 0; without it a dimension with NaN is NaN. The
+    trimmed mean leaves NaN out either way, and cuts floor(trim * segments) at
+    both ends, of all segments, with NaN or not; where that would leave none, it
+    is the mean. Order statistics are ranks in a window: no file's scores are
+    collected.
+    """
+    if mode not in ("mean", "median", "trimmed_mean"):
+        raise ValueError(f"unknown pooling mode: {mode}")
+    if not 0.0 <= trim < 0.5:
+        raise ValueError("trim must be in [0, 0.5)")
+    each = segments.select("file_id", F.posexplode(F.col("scores").cast("array<double>")).alias("dim", "x")).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    counts = lambda df: df.groupBy("file_id", "dim")
+    missing = F.max(F.col("x").isNull())
+    if mode == "mean":
+        pooled = counts(each).agg(F.avg("x").alias("value"), missing.alias("odd"))
+    else:
+        w = Window.partitionBy("file_id", "dim")
+        # nulls come last, so that the ranks of numbers are 1 to m
+        ranked = each.withColumns({"r": F.row_number().over(w.orderBy(F.col("x").asc_nulls_last())), "n": F.count("*").over(w), "m": F.count("x").over(w)})
+        cut = F.floor(F.col("n") * trim) if mode == "trimmed_mean" else F.floor((F.col("m") - 1) / 2)
+        inside = (F.col("r") > cut) & (F.col("r") <= F.col("m") - cut) | (F.col("m") <= 2 * cut)
+        pooled = counts(ranked).agg(F.avg(F.when(inside, F.col("x"))).alias("value"), missing.alias("odd"))
+    value = F.coalesce("value", F.lit(0.0))
+    if not omit and mode != "trimmed_mean":
+        value = F.when(F.col("odd"), F.lit(float("nan"))).otherwise(value)
+    return pooled.select("file_id", "dim", value.alias("value"))

@@ -1 +1,11 @@
-"""Readers of the standard tables and writers of playlists and bundles."""
+"""Where tables come from and where they go.
+
+Helpers that run in Python workers travel by value, so executors need not have
+this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
