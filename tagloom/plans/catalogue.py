@@ -222,4 +222,4 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scrobble_counts"] = _scrobbles
 
 # the other parts of the catalogue register themselves
-from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, table_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, table_queries, text_queries, vector_queries, workflow_queries  # noqa: E402, F401
