@@ -88,19 +88,27 @@ def compared(drift: DataFrame, limits: dict[str, float] = DRIFT_LIMITS) -> DataF
 def regression_outputs(stats: DataFrame, terms: dict[str, tuple[str, str]]) -> DataFrame:
     """head_name, file_id, label, value and tier from a regression head's mean and std; `terms` has each head's high and low term.
 
-    A mean that is neither high nor low gives both terms without a tier. A term
-    is high, medium or low by how steady and how far from the middle it is.
     Heads without terms give nothing.
     """
     names = F.create_map(*(x for h, (a, b) in terms.items() for x in (F.lit(h), F.array(F.lit(a), F.lit(b)))))
+    own = stats.withColumn("term", names[F.col("head_name")])
+    return regression_terms(own.withColumns({"high_term": F.get("term", F.lit(0)), "low_term": F.get("term", F.lit(1))}))
+
+
+def regression_terms(stats: DataFrame) -> DataFrame:
+    """The same from rows that carry their high_term and low_term.
+
+    A mean that is neither high nor low gives both terms without a tier. A term
+    is high, medium or low by how steady and how far from the middle it is.
+    """
     m = F.least(F.greatest("mean", F.lit(0.0)), F.lit(1.0))
-    own = stats.withColumn("m", m).withColumn("term", names[F.col("head_name")]).where("term is not null")
+    own = stats.withColumn("m", m).where("high_term is not null and low_term is not null")
     intensity = F.abs(F.col("m") - 0.5) * 2
     tier = F.when(F.col("std") >= ACCEPTABLE, F.lit(None)).when((F.col("std") < VERY_STABLE) & (intensity >= 0.8), "high").when((F.col("std") < STABLE) & (intensity >= 0.6), "medium").otherwise("low")
-    one = lambda i, value, t: F.struct(F.get("term", F.lit(i)).alias("label"), value.alias("value"), t.cast("string").alias("tier"))
+    one = lambda term, value, t: F.struct(F.col(term).alias("label"), value.alias("value"), t.cast("string").alias("tier"))
     none = F.lit(None).cast("string")
     high, low = F.col("m") >= HIGH_MEAN, F.col("m") <= LOW_MEAN
-    out = F.when(high, F.array(one(0, F.col("m"), tier))).when(low, F.array(one(1, F.col("m"), tier))).otherwise(F.array(one(0, F.col("m"), none), one(1, 1 - F.col("m"), none)))
+    out = F.when(high, F.array(one("high_term", F.col("m"), tier))).when(low, F.array(one("low_term", F.col("m"), tier))).otherwise(F.array(one("high_term", F.col("m"), none), one("low_term", 1 - F.col("m"), none)))
     return own.select("head_name", "file_id", F.inline(out))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibrated
 from ..operators import calibration as cal
 from ..operators import sinks
 from .registry import add
@@ -138,3 +139,96 @@ add(
     "SELECT DISTINCT a.artist AS label, b.artist AS other FROM files a JOIN files b USING (album) WHERE a.artist <> b.artist",
     ("files",),
 )
+
+# from scores to tags that change: three heads, one of each kind, and two pairs of labels that contradict each other
+_HEADS = """
+SELECT * FROM VALUES ('energy', 'regression', 'energy', CAST(NULL AS DOUBLE), 'energetic', 'mellow'), ('party', 'multiclass', 'party', 0.6e0, NULL, NULL), ('party', 'multiclass', 'not_party', NULL, NULL, NULL),
+  ('mood', 'multilabel', 'happy', NULL, NULL, NULL), ('mood', 'multilabel', 'sad', 0.7e0, NULL, NULL) AS t(head_name, kind, label, threshold, high_term, low_term)
+"""
+_PAIRS = "SELECT * FROM VALUES ('energetic', 'sad'), ('sad', 'energetic'), ('party', 'mellow'), ('mellow', 'party') AS t(label, other)"
+
+
+def _segment_figures(g):
+    """Per file one figure a label, and a deviation."""
+    far = F.when(F.col("file_id") % 2 == 0, F.max("score_a")).when(F.col("file_id") % 3 == 0, F.avg("score_a")).otherwise(F.min("score_a"))
+    steady = F.stddev_pop("score_a") / (F.col("file_id") % 7 + 1)
+    one = g.groupBy("file_id").agg(F.round(far, 4).alias("energy"), F.round(F.max("score_b"), 4).alias("party"), F.round(1 - F.min("score_b"), 4).alias("not_party"), F.round(F.max("score_a"), 4).alias("happy"), F.round(1 - F.min("score_a") / 2, 4).alias("sad"), F.round(steady, 4).alias("std"))
+    head = {"energy": "energy", "party": "party", "not_party": "party", "happy": "mood", "sad": "mood"}
+    each = F.array(*(F.struct(F.lit(h).alias("head_name"), F.lit(x).alias("label"), F.col(x).alias("value")) for x, h in head.items()))
+    return one.select("file_id", "std", F.inline(each))
+
+
+def _calibrated_tags(g, states):
+    spark, figures = g.sparkSession, _segment_figures(g)
+    scores = figures.where("head_name <> 'energy'").select("file_id", "head_name", "label", "value")
+    stats = figures.select("file_id", "head_name", "label", F.col("value").alias("mean"), "std")
+    known = spark.createDataFrame(states, "label string, p5 double, p95 double")
+    return calibrated.calibrated_tags(scores, stats, spark.sql(_HEADS), known, spark.sql(_PAIRS))
+
+
+def _tags_sql(n: int, states: list) -> str:
+    """The CTEs figures, ..., tags with this number, for these states."""
+    state = {x: (a, b) for x, a, b in states}
+
+    def scaled(x):
+        return f"least(greatest(({x} - {state[x][0]}e0) / ({state[x][1]}e0 - {state[x][0]}e0), 0.0e0), 1.0e0)" if x in state else x
+
+    def span(x):
+        return f"std / ({state[x][1]}e0 - {state[x][0]}e0)" if x in state else "std"
+
+    return f"""
+, figures{n} AS (
+  SELECT file_id, round(CASE WHEN file_id % 2 = 0 THEN max(score_a) WHEN file_id % 3 = 0 THEN avg(score_a) ELSE min(score_a) END, 4) AS energy, round(max(score_b), 4) AS party, round(1 - min(score_b), 4) AS not_party,
+    round(max(score_a), 4) AS happy, round(1 - min(score_a) / 2, 4) AS sad, round(stddev_pop(score_a) / (file_id % 7 + 1), 4) AS std FROM segments GROUP BY file_id),
+reg{n} AS (SELECT file_id, least(greatest({scaled("energy")}, 0.0e0), 1.0e0) AS m, {span("energy")} AS s FROM figures{n}),
+terms{n} AS (
+  SELECT file_id, 'energy' AS head, CASE WHEN m >= 0.7 THEN 'energetic' ELSE 'mellow' END AS label,
+    CASE WHEN s >= 0.25 THEN NULL WHEN s < 0.08 AND abs(m - 0.5e0) * 2 >= 0.8 THEN 'high' WHEN s < 0.15 AND abs(m - 0.5e0) * 2 >= 0.6 THEN 'medium' ELSE 'low' END AS tier
+  FROM reg{n} WHERE m >= 0.7 OR m <= 0.3),
+cls{n} AS (
+  SELECT file_id, 'party' AS head, 'party' AS label, 0.6e0 AS least, {scaled("party")} AS p, {scaled("not_party")} AS c, {span("party")} AS s FROM figures{n}
+  UNION ALL SELECT file_id, 'party', 'not_party', 0.6e0, {scaled("not_party")}, {scaled("party")}, {span("not_party")} FROM figures{n}
+  UNION ALL SELECT file_id, 'mood', 'happy', 0.6e0, {scaled("happy")}, {scaled("sad")}, {span("happy")} FROM figures{n}
+  UNION ALL SELECT file_id, 'mood', 'sad', 0.7e0, {scaled("sad")}, {scaled("happy")}, {span("sad")} FROM figures{n}),
+found{n} AS (
+  SELECT file_id, head, label, CASE WHEN p >= 0.8 AND q >= 1.2 AND p - k >= 0.15 AND s < 0.08 THEN 'high' WHEN p >= 0.75 AND q >= 1.1 AND p - k >= 0.08 AND s < 0.15 THEN 'medium' WHEN p >= 0.6 AND q >= 1.02 AND p - k >= 0.03 AND s < 0.25 THEN 'low' END AS tier
+  FROM (SELECT *, least(greatest(c, 0), 1) AS k, p / greatest(least(greatest(c, 0), 1), 1e-9) AS q FROM cls{n}) WHERE p >= least
+  UNION ALL SELECT file_id, head, label, tier FROM terms{n}),
+tiered{n} AS (SELECT * FROM found{n} WHERE tier IS NOT NULL),
+stay{n} AS (
+  SELECT * FROM tiered{n} t WHERE NOT EXISTS (
+    SELECT 1 FROM tiered{n} o JOIN (VALUES ('energetic', 'sad'), ('sad', 'energetic'), ('party', 'mellow'), ('mellow', 'party')) AS v(label, other) ON v.label = t.label AND v.other = o.label
+    WHERE o.file_id = t.file_id AND o.head <> t.head)),
+tags{n} AS (
+  SELECT file_id, rel, string_agg(DISTINCT label, '|' ORDER BY label) AS moods
+  FROM (SELECT file_id, label, CASE tier WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS l FROM stay{n}) JOIN (VALUES ('mood-strict', 0), ('mood-regular', 1), ('mood-loose', 2)) AS names(rel, i) ON i >= l GROUP BY 1, 2)"""
+
+
+_BEFORE, _AFTER = [("happy", 0.0, 0.9)], [("energy", 0.05, 0.95), ("happy", 0.1, 0.9), ("sad", 0.2, 1.0)]
+
+
+def _changed_tags(g):
+    files = g.select("file_id").distinct()
+    stored = calibrated.content_hash(_calibrated_tags(g, _BEFORE), files)
+    return calibrated.changed(_calibrated_tags(g, _AFTER), files, stored)
+
+
+_HASHES = """
+, hashes AS (
+  SELECT f.file_id, md5(coalesce((SELECT string_agg(concat(rel, '=', moods), chr(10) ORDER BY concat(rel, '=', moods)) FROM tags0 t WHERE t.file_id = f.file_id), '')) AS was,
+    md5(coalesce((SELECT string_agg(concat(rel, '=', moods), chr(10) ORDER BY concat(rel, '=', moods)) FROM tags1 t WHERE t.file_id = f.file_id), '')) AS content_hash
+  FROM (SELECT DISTINCT file_id FROM segments) f)
+"""
+add("calibrated_tags", lambda g: _calibrated_tags(g, _AFTER), _tags_sql(1, _AFTER) + " SELECT file_id, rel, moods FROM tags1", ("segments",))
+add(
+    "calibrated_tags_changed",
+    lambda g: _changed_tags(g)[0],
+    _tags_sql(0, _BEFORE) + _tags_sql(1, _AFTER) + _HASHES + "SELECT file_id, content_hash FROM hashes WHERE was <> content_hash",
+    ("segments",),
+)
+add(
+    "calibrated_tags_to_write",
+    lambda g: _changed_tags(g)[1],
+    _tags_sql(0, _BEFORE) + _tags_sql(1, _AFTER) + _HASHES + "SELECT file_id, rel, moods FROM tags1 WHERE file_id IN (SELECT file_id FROM hashes WHERE was <> content_hash)",
+    ("segments",),
+)
