@@ -77,9 +77,8 @@ def in_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
 
     Each file's ancestors are joined by equality, which no number of folders makes quadratic.
     """
-    up = files.select("library_id", "file_id", F.explode(ancestors(F.col("normalized_path"))).alias("folder"))
     deep = F.array_size(F.split("normalized_path", "/")) > 1
-    keyed = up.join(files.select("file_id", deep.alias("deep")), "file_id").where("folder <> '' OR NOT deep")
+    keyed = files.select("library_id", "file_id", deep.alias("deep"), F.explode(ancestors(F.col("normalized_path"))).alias("folder")).where("folder <> '' OR NOT deep")
     hit = keyed.join(folders.distinct(), ["library_id", "folder"]).select("file_id").distinct()
     return files.join(hit, "file_id", "left_semi")
 
@@ -126,9 +125,12 @@ def files_of_specs(tags: DataFrame, specs: DataFrame) -> DataFrame:
     text = F.coalesce("value_str", F.col("value_num").cast("string"))
     own = tags.select("file_id", "rel", text.alias("text"), "value_num")
     named = specs.where("value <> '*'").withColumn("number", F.expr("try_cast(value AS double)"))
-    exact = own.join(named, "rel").where((F.col("text") == F.col("value")) | (F.col("value_num") == F.col("number")))
+    # two equi-joins, by text and by number, so that a rel with many values is not a key of its own
+    by_text = own.withColumnRenamed("text", "value").join(named.select("rel", "value"), ["rel", "value"])
+    by_number = own.join(named.where("number IS NOT NULL").select("rel", "value", F.col("number").alias("value_num")), ["rel", "value_num"])
     any_value = own.join(specs.where("value = '*'"), "rel")
-    return exact.select("rel", "value", "file_id").union(any_value.select("rel", "value", "file_id")).distinct()
+    each = lambda df: df.select("rel", "value", "file_id")
+    return each(by_text).union(each(by_number)).union(each(any_value)).distinct()
 
 
 def cooccurrence_matrix(tags: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def cooccurrence_matrix(tags: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFr
     counts = one.join(two, "file_id").groupBy("x", "y").agg(F.count("*").alias("n"))
     name = F.concat("rel", F.lit(":"), "value")
     # the frame of the matrix: one row a pair of specifications
-    frame = xs.select(name.alias("x")).crossJoin(F.broadcast(ys.select(name.alias("y"))))
+    frame = xs.select(name.alias("x")).crossJoin(ys.select(name.alias("y")))
     return frame.join(counts, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 

@@ -52,3 +52,27 @@ def inclusive(edges: DataFrame) -> DataFrame:
     dealt = edges.select("file_id", "value_str", F.explode(F.sequence(tiers[F.col("rel")], F.lit(len(TIERS) - 1))).alias("i"))
     names = F.array(*(F.lit(PREFIX + t) for t in TIERS))
     return dealt.groupBy("file_id", "i").agg(F.array_join(F.array_sort(F.collect_set("value_str")), "|").alias("moods")).select("file_id", F.get(names, "i").alias("rel"), "moods")
+
+
+def of_library(edges: DataFrame, files: DataFrame, library: int | None) -> DataFrame:
+    """The edges of one library's files, or all."""
+    return edges if library is None else edges.join(files.where(F.col("library_id") == library).select("file_id"), "file_id", "left_semi")
+
+
+def top_pairs(edges: DataFrame, tier: str, n: int) -> DataFrame:
+    """The n pairs of moods that most files have; ties by name."""
+    return pairs(edges, tier).orderBy(F.desc("n_files"), "mood1", "mood2").limit(n)
+
+
+def files_of_moods(edges: DataFrame, specs: DataFrame) -> DataFrame:
+    """tier, mood and file_id of the files that have a specified mood (tier, mood) in its tier or a stricter one."""
+    wanted = specs.withColumn("rel", F.explode(F.create_map(*(x for t in TIERS for x in (F.lit(t), F.array(*map(F.lit, tier_rels(t))))))[F.col("tier")]))
+    met = edges.withColumnRenamed("value_str", "mood").join(wanted, ["rel", "mood"])
+    return met.select("tier", "mood", "file_id").distinct()
+
+
+def analysis(edges: DataFrame, files: DataFrame, tier: str = "strict", n: int = 10, library: int | None = None) -> dict[str, DataFrame]:
+    """All of a library's mood figures: coverage and balance by tier, the n most common pairs, and the n commonest moods."""
+    own = of_library(edges, files, library)
+    some = files if library is None else files.where(F.col("library_id") == library)
+    return {"coverage": coverage(own, some), "balance": balance(own), "top_pairs": top_pairs(own, tier, n), "dominant": dominant(own, n)}

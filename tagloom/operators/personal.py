@@ -27,6 +27,12 @@ def top_tracks(plays: DataFrame, n: int) -> DataFrame:
     return plays.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("user_id", "nd_id", "playcount", "rank")
 
 
+def with_files(top: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
+    """Tracks (nd_id) with their file's title and artist, null where they have none; of several files the smallest."""
+    one = links.groupBy("nd_id").agg(F.min("file_id").alias("file_id"))
+    return top.join(one, "nd_id", "left").join(files.select("file_id", "title", "artist"), "file_id", "left").select(*top.columns, "file_id", "title", "artist")
+
+
 def most_users(plays: DataFrame, n: int) -> DataFrame:
     """The tracks that most users play, over all users."""
     return plays.groupBy("nd_id").agg(F.count("*").alias("users"), F.sum("playcount").alias("plays")).orderBy(F.col("users").desc(), F.col("plays").desc(), "nd_id").limit(n)

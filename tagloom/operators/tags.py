@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import compare
@@ -111,23 +111,11 @@ def nearest(tags: DataFrame, rel: str, target: float, n: int) -> DataFrame:
     return tags.where((F.col("rel") == rel) & F.col("value_num").isNotNull()).select("file_id", F.round(d, 6).alias("distance")).orderBy("distance", "file_id").limit(n)
 
 
-def relink(tags: DataFrame, rel: str, old: str, new: str) -> DataFrame:
-    """The table with one value renamed; a file that has both keeps one edge."""
-    is_old = (F.col("rel") == rel) & (F.col("value_str") == old)
-    return tags.withColumn("value_str", F.when(is_old, F.lit(new)).otherwise(F.col("value_str"))).distinct()
-
-
 def orphans(tags: DataFrame, files: DataFrame) -> DataFrame:
     """Tags of files that are gone."""
     return tags.join(files.select("file_id"), "file_id", "left_anti")
 
 
-def ranked_per_group(df: DataFrame, group: str, by: str, then: str, n: int) -> DataFrame:
-    """The n largest of each group; Spark prunes by rank before it shuffles."""
-    w = Window.partitionBy(group).orderBy(F.col(by).desc(), F.col(then))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def split_value(tags: DataFrame, rel: str, old: str, parts: list[str]) -> DataFrame:
     """The table with one value replaced by several; a file that has one of them already keeps one edge."""
     is_old = (F.col("rel") == rel) & (F.col("value_str") == old)
@@ -163,9 +151,9 @@ def player_rules(rules: Rules) -> dict:
 
 
 def preview(tags: DataFrame, files: DataFrame, rules: Rules, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """How many files the rules take (one row), and n of them in a seeded random order."""
+    """How many files the rules take (one row), and n of them in a seeded random order, by the hash of seed and id."""
     found = files_for_rules(tags, rules)
-    return found.agg(F.count("*").alias("total")), files.join(found, "file_id", "left_semi").orderBy(F.xxhash64("file_id", F.lit(seed)), "file_id").limit(n)
+    return found.agg(F.count("*").alias("total")), files.join(found, "file_id", "left_semi").orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("file_id").cast("string"))), "file_id").limit(n)
 
 
 def counts_of_known(known: DataFrame, tags: DataFrame, rel: str) -> DataFrame:

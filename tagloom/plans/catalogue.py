@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, heads, library, matching, moods, personal, scores, tags, vectors
+from ..operators import curation, drift, heads, library, matching, moods, personal, scores, tags, vectors
 from ..sources.views import view
 from ..streaming import scrobbles
 from .registry import ORACLE_SQL, QUERIES, add  # noqa: F401
@@ -47,7 +47,7 @@ add("tag_cooccurrence", lambda t: tags.cooccurrence(t, "genre", "album"), "SELEC
 add("year_distribution", lambda t: tags.number_distribution(t, "year"), "SELECT CAST(value_num AS BIGINT) AS value, count(DISTINCT file_id) AS n_files FROM tags_long WHERE rel = 'year' AND value_num IS NOT NULL GROUP BY 1", T)
 add("genre_distribution", lambda t: tags.top(tags.tags_by_rel(t, "genre"), "song_count", "value", 5), "SELECT value_str AS value, count(DISTINCT file_id) AS song_count FROM tags_long WHERE rel = 'genre' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", T)
 add("files_by_tag_nearest", lambda t: tags.nearest(t, "nom:energy", 0.9, 20), "SELECT file_id, round(abs(value_num - 0.9e0), 6) AS distance FROM tags_long WHERE rel = 'nom:energy' ORDER BY 2, 1 LIMIT 20", T)
-add("relink_tags", lambda t: tags.relink(t, "genre", "ring", "small").groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, CASE WHEN rel = 'genre' AND value_str = 'ring' THEN 'small' ELSE value_str END AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
+add("relink_tags", lambda t: curation.relinked(t, "genre", ["ring"], "small").groupBy("rel", "value_str").agg(F.count("*").alias("n")), "SELECT rel, value_str, count(*) AS n FROM (SELECT DISTINCT file_id, rel, CASE WHEN rel = 'genre' AND value_str = 'ring' THEN 'small' ELSE value_str END AS value_str, value_num FROM tags_long) GROUP BY 1, 2", T)
 add(
     "orphan_tags",
     # every seventh file has another id in the tags
@@ -222,4 +222,4 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scrobble_counts"] = _scrobbles
 
 # the other parts of the catalogue register themselves
-from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, table_queries, text_queries, vector_queries, workflow_queries  # noqa: E402, F401
+from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, store_queries, table_queries, text_queries, vector_queries, workflow_queries  # noqa: E402, F401

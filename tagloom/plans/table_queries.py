@@ -51,8 +51,12 @@ add(
 )
 add("tag_counts_of_known", lambda t, c: tags.counts_of_known(curation.dictionary(t), curation.without_files(t, c), "genre"), "SELECT value_str, value_num, count(DISTINCT file_id) FILTER (WHERE file_id NOT IN (SELECT file_id FROM claims)) AS song_count FROM tags_long WHERE rel = 'genre' GROUP BY 1, 2", ("tags_long", "claims"))
 add("rules_preview_total", lambda t, f: tags.preview(t, f, RULES, 10, 1)[0], RULES_SQL + "SELECT count(*) AS total FROM hit", ("tags_long", "files"))
-# which ten come out follows from a hash that DuckDB doesn't have
-add("rules_preview", lambda t, f: tags.preview(t, f, RULES, 10, 1)[1].select("file_id", "title"), views=("tags_long", "files"))
+add(
+    "rules_preview",
+    lambda t, f: tags.preview(t, f, RULES, 10, 1)[1].select("file_id", "title"),
+    RULES_SQL + "SELECT file_id, title FROM files WHERE file_id IN (SELECT file_id FROM hit) ORDER BY md5(concat('1:', file_id)), file_id LIMIT 10",
+    ("tags_long", "files"),
+)
 add("rules_nested", lambda t: tags.files_for_rules(t, RULES), RULES_SQL + "SELECT file_id FROM hit", ("tags_long",))
 
 

@@ -24,6 +24,7 @@ def _rels(t, f):
 
 
 TF = ("tags_long", "files")
+#: Fixed value: the form of a versioned key.
 VERSIONED = r"^([a-z_]+)_essentia[\w.-]+_[a-z]+\d+_[a-z_]+\d+$"
 add(
     "key_names",
