@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sliced
+from .common import Kept, fresh, sliced
 
 BITS = 18
 MAX_TRAIN = 3_000
@@ -138,14 +138,49 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), cut(words, n_words, np.int32), cut(per_sentence, per_doc, np.int32)], names=["doc_id", "toxic", "words", "per_sentence"])
 
 
+BAGS = "doc_id long, toxic int, words array<int>, per_sentence array<int>"
+
+
+def _useful(bags: DataFrame) -> np.ndarray:
+    """The features that `train` will give a weight: what it counts, counted by Spark, so that no others travel to the driver."""
+    n, toxic = bags.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    if not 0 < toxic < n:
+        return np.zeros(0, np.int32)
+    share = toxic / n
+    each = bags.select((F.col("toxic") == 1).alias("is_toxic"), F.explode(F.array_distinct("words")).alias("feature"))
+    counts = each.groupBy("feature").agg(F.count("*").cast("double").alias("held"), F.count_if("is_toxic").alias("toxic"))
+    telling = F.col("toxic") - F.col("held") * share >= F.lit(TELLING) * F.sqrt(F.col("held") * share * (1 - share) + 1e-9)
+    return np.array(sorted(r.feature for r in counts.where((F.col("held") >= MIN_DOCS) & telling).select("feature").collect()), np.int32)
+
+
+def _only(useful: np.ndarray):
+    """Bags with these features alone; all their sentences stay, empty ones too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, per_sentence = (batch.column(c) for c in ("words", "per_sentence"))
+            flat, counts, per_doc = words.flatten().to_numpy(), per_sentence.flatten().to_numpy(), np.diff(np.asarray(per_sentence.offsets))
+            keep = np.isin(flat, useful)
+            sentence = np.repeat(np.arange(len(counts)), counts)
+            left = np.bincount(sentence[keep], minlength=len(counts)).astype(np.int32)
+            per_words = _sums(left.astype(float), per_doc).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v)) for v, n in ((flat[keep].astype(np.int32), per_words), (left, per_doc))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "words", "per_sentence"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """Trained on at most `max_train` labelled documents that are not held out."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is chosen among the labels, so that few texts move
     sample = one.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
-    bags = texts.mapInArrow(_bags, "doc_id long, toxic int, words array<int>, per_sentence array<int>").where(F.size("words") <= MAX_FEATURES)
-    t = bags.toArrow().sort_by("doc_id").combine_chunks()
+    kept = Kept(docs.sparkSession)
+    bags = kept.write(texts.mapInArrow(_bags, BAGS).where(F.size("words") <= MAX_FEATURES))
+    useful = _useful(bags)
+    t = bags.mapInArrow(_only(useful), BAGS).toArrow().sort_by("doc_id").combine_chunks()
+    kept.drop(bags)
     if not t.num_rows:
         return np.zeros(1 << BITS), -4.0
     words, per_sentence = (t[c].chunk(0) for c in ("words", "per_sentence"))
