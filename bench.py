@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 QUERIES = [
     "playlist_rules", "tag_stats_all", "tag_cooccurrence", "tag_cooccurrence_matrix", "mood_pairs_loose", "mood_correlation", "segment_stats", "calib_apply", "calib_states",
     "files_with_tags", "files_in_folders", "states_head_coverage", "match_fuzzy", "vector_topk", "plays_top", "taste_weights", "pl_hidden_gems", "tags_merge_counts",
-    "op1_length_histogram", "op2_toxicity", "op3_license_scan", "op4_line_dedup", "op5_ngram_join", "op6_bpe", "op7_reply_trees", "op8_host_rules", "op9_decontaminate", "op10_url_filter",
+    "op1_length_histogram", "op2_toxicity", "op3_license_scan", "op4_line_dedup", "op5_ngram_join", "op6_bpe", "op7_reply_trees", "op8_host_rules", "op9_decontaminate", "op10_url_filter", "op11_vector_codes", "op12_simhash", "op13_divergence",
+    "vector_ivf_stored", "vector_promoted", "scan_changes", "sync_changes", "calibrated_tags", "m3u_documents", "pool_trimmed_mean",
 ]
 
 

@@ -220,6 +220,15 @@ def _scrobbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["scrobble_counts"] = _scrobbles
+# from each accepted play to the first event that lies far enough behind it
+ORACLE_SQL["scrobble_counts"] = """
+WITH RECURSIVE e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS nd_id, epoch_us(ts) // 1000 AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+acc AS (
+  SELECT user_id, nd_id, min(t) AS t FROM e WHERE t >= 0 GROUP BY user_id, nd_id
+  UNION ALL
+  SELECT a.user_id, a.nd_id, min(e.t) FROM acc a JOIN e ON e.user_id = a.user_id AND e.nd_id IS NOT DISTINCT FROM a.nd_id AND e.t >= a.t + 30000 GROUP BY a.user_id, a.nd_id, a.t)
+SELECT user_id, nd_id, count(*) AS playcount, max(t) AS last_played FROM acc GROUP BY user_id, nd_id
+"""
 
 # the other parts of the catalogue register themselves
 from . import analytics_queries, calibration_queries, curation_queries, file_queries, personal_queries, state_queries, store_queries, table_queries, text_queries, vector_queries, workflow_queries  # noqa: E402, F401

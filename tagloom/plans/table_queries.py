@@ -104,6 +104,18 @@ add(
 )
 
 
+add(
+    "signal_patch_contents",
+    lambda v: signals.patches(v.select(F.col("file_id").alias("id"), F.transform("vector", lambda x: F.array(x)).alias("samples")), 24, 16)
+    .select("id", "patch", F.posexplode("frames").alias("place", "frame")).select("id", "patch", "place", F.round(F.get("frame", F.lit(0)).cast("double"), 6).alias("value")),
+    """
+    SELECT file_id AS id, patch, place, CASE WHEN patch * 16 + place < 64 THEN round(CAST(vector[patch * 16 + place + 1] AS DOUBLE), 6) ELSE 0.0e0 END AS value
+    FROM vectors CROSS JOIN (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS patch) CROSS JOIN (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS place)
+    """,
+    ("vectors",),
+)
+
+
 def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null and user_id is not null")
     out = tables.settled(events.select((F.col("user_id") % 5).alias("library_id"), F.col("ts").cast("timestamp").alias("ts")), "10 minutes")

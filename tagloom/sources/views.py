@@ -20,9 +20,8 @@ SELECT file_id, 'artist' AS rel, artist AS value_str, CAST(NULL AS DOUBLE) AS va
 UNION ALL SELECT file_id, 'album', album, CAST(NULL AS DOUBLE) FROM files
 UNION ALL SELECT file_id, 'genre', split_part(title, ' ', 1), CAST(NULL AS DOUBLE) FROM files
 UNION ALL SELECT file_id, 'genre', split_part(title, ' ', 2), CAST(NULL AS DOUBLE) FROM files
-UNION ALL SELECT l_partkey, 'year', NULL, CAST(min(year(l_shipdate)) AS DOUBLE) FROM lineitem GROUP BY l_partkey
-UNION ALL SELECT l_partkey, 'nom:energy', NULL, max(l_quantity) / 50.0e0 FROM lineitem GROUP BY l_partkey
-UNION ALL SELECT l_partkey, 'nom:calm', NULL, min(l_extendedprice) / 10000.0e0 FROM lineitem GROUP BY l_partkey
+UNION ALL SELECT file_id, rel, NULL, CASE rel WHEN 'year' THEN CAST(y AS DOUBLE) WHEN 'nom:energy' THEN e / 50.0e0 ELSE c / 10000.0e0 END
+FROM (SELECT l_partkey AS file_id, min(year(l_shipdate)) AS y, max(l_quantity) AS e, min(l_extendedprice) AS c FROM lineitem GROUP BY l_partkey) CROSS JOIN (VALUES ('year'), ('nom:energy'), ('nom:calm')) AS r(rel)
 UNION ALL SELECT file_id, rel, value_str, CAST(NULL AS DOUBLE) FROM mood_edges""",
     "plays": """
 SELECT o_custkey AS user_id, l_partkey AS nd_id, count(*) AS playcount, max(o_orderdate) AS last_played
