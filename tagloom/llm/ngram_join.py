@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, sliced
+from .common import Kept, lean, sliced
 from .components import components
 from .decontaminate import sized
 from .shingles import mix, shingle_sets
@@ -182,18 +182,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     doc, instance = np.concatenate(docs), np.concatenate(instances)
     # 32 bits may meet by chance (and are then told apart by what follows), but only within an instance
-    sig = np.concatenate(sigs) << 8 | instance
+    sig = np.concatenate(sigs)
     del sigs, docs, instances
-    order = np.argsort(sig)
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    several = np.zeros(len(sig), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    order, sig = order[several], sig[several]
-    if not len(sig):
+    sig <<= 8
+    sig |= instance
+    # most signatures are alone: those that are not are picked by value before places are sorted
+    values = np.sort(sig)
+    values = values[1:][values[1:] == values[:-1]]
+    if not len(values):
         return
-    doc, instance = doc[order], instance[order]
+    values = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    at = np.searchsorted(values, sig)
+    at[at == len(values)] = 0
+    several = values[at] == sig
+    del at, values
+    sig, doc, instance = sig[several], doc[several], instance[several]
     order = np.lexsort((doc, sig))
     order = order[np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(doc[order]) != 0)])]
     sig, doc, instance = sig[order], doc[order], instance[order]
@@ -342,7 +345,7 @@ def _linked(pairs: DataFrame, single: DataFrame, width: int, kept: Kept) -> Data
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    out = kept.write(both.mapInArrow(_alike(width), "a long, b long").distinct())
+    out = kept.write(both.mapInArrow(lean(_alike(width)), "a long, b long").distinct())
     kept.drop(pairs, texts)
     return out
 
@@ -352,7 +355,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     kept = Kept(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    keys = kept.write(docs.mapInArrow(_keys(width), "doc_id long, n long, k1 long, k2 long"))
+    keys = kept.write(docs.mapInArrow(lean(_keys(width)), "doc_id long, n long, k1 long, k2 long"))
     classes = keys.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     of = kept.write(keys.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     kept.drop(keys)
@@ -361,16 +364,16 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     single = docs.join(sized(copies), "doc_id", "left_anti")
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packets = single.mapInArrow(_emit(width, labels(spark, n_parts)), PACKETS).repartition(n_parts, "part")
-    members = kept.write(packets.mapInArrow(_meet, MEMBERS))
+    packets = single.mapInArrow(lean(_emit(width, labels(spark, n_parts))), PACKETS).repartition(n_parts, "part")
+    members = kept.write(packets.mapInArrow(lean(_meet), MEMBERS))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sketches = kept.write(single.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_sketches(width), "doc_id long, instance int, n long, sketch binary"))
+    sketches = kept.write(single.join(sized(wanted), "doc_id", "left_semi").mapInArrow(lean(_sketches(width)), "doc_id long, instance int, n long, sketch binary"))
 
     pairs = members.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("instance").alias("instance"))
     one = sketches.select(F.col("doc_id").alias("a"), "instance", F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("doc_id").alias("b"), "instance", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     close = pairs.join(one, ["a", "instance"]).join(two, ["b", "instance"]).where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    links = _linked(close.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_prune, "a long, b long"), single, width, kept)
+    links = _linked(close.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_prune), "a long, b long"), single, width, kept)
     found = kept.write(components(links, kept))
 
     # what still parts a bucket: its smallest member has been compared with all others
@@ -384,7 +387,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     parted = parted.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", F.col("rep").alias("doc_id"), "component", "n", "sketch")
     dealt = dealt.repartition(n_parts, *GROUP).sortWithinPartitions(*GROUP)
-    more = dealt.mapInArrow(_may_link, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = dealt.mapInArrow(lean(_may_link), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links2 = _linked(more, single, width, kept)
     if links2.isEmpty():
         last = found

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, fresh, sliced
+from .common import Kept, fresh, lean, sliced
 
 BITS = 18
 MAX_TRAIN = 3_000
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     sample = one.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
     kept = Kept(docs.sparkSession)
-    bags = kept.write(texts.mapInArrow(_bags, BAGS).where(F.size("words") <= MAX_FEATURES))
+    bags = kept.write(texts.mapInArrow(lean(_bags), BAGS).where(F.size("words") <= MAX_FEATURES))
     useful = _useful(bags)
     t = bags.mapInArrow(_only(useful), BAGS).toArrow().sort_by("doc_id").combine_chunks()
     kept.drop(bags)
@@ -245,4 +245,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
             score = np.concatenate([x.column("score").to_numpy() for x in run([texts])])
             yield batch.filter(pa.array(score < 0.5)).select(columns)
 
-    return with_text.mapInArrow(filtered, docs.schema)
+    return with_text.mapInArrow(lean(filtered), docs.schema)
