@@ -62,8 +62,18 @@ def moves(removed: DataFrame, new: DataFrame, tolerance: float = 1.0) -> DataFra
         own = [F.col(c).alias(c) for c in ("file_id", "path", "duration") if c in df.columns]
         return met.select(F.col("fingerprint").alias(f"{side}_print"), F.col("piece").alias(f"{side}_piece"), *own)
 
-    grouped = [cut(df, side).groupBy(f"{side}_print", f"{side}_piece") for df, side in zip(some, ("old", "new"), strict=True)]
-    return grouped[0].cogroup(grouped[1]).applyInPandas(choose, "file_id long, old_path string, new_path string")
+    old, new = cut(some[0], "old"), cut(some[1], "new")
+    key = lambda side: [f"{side}_print", f"{side}_piece"]
+    # one file on either side is no choice, and needs no group
+    lone = lambda df, side: df.groupBy(*key(side)).agg(*(F.first(c).alias(f"{side}_{c}") for c in ("file_id", "path", "duration") if c in df.columns), F.count("*").alias(f"{side}_n"))
+    met = lone(old, "old").join(lone(new, "new"), (F.col("old_print") == F.col("new_print")) & (F.col("old_piece") == F.col("new_piece")))
+    apart = F.nanvl(F.abs(F.col("old_duration") - F.col("new_duration")).cast("double"), F.lit(0.0))
+    near = F.coalesce(apart <= tolerance, F.lit(True))
+    sure = met.where((F.col("old_n") == 1) & (F.col("new_n") == 1) & near).select(F.col("old_file_id").alias("file_id"), "old_path", "new_path")
+    several = met.where((F.col("old_n") > 1) | (F.col("new_n") > 1))
+    open_ = [df.join(several.select(*key(side)), key(side), "left_semi").groupBy(*key(side)) for df, side in ((old, "old"), (new, "new"))]
+    chosen = open_[0].cogroup(open_[1]).applyInPandas(choose, "file_id long, old_path string, new_path string")
+    return sure.union(chosen)
 
 
 def collisions(removed: DataFrame, new: DataFrame) -> DataFrame:

@@ -10,8 +10,12 @@ from ..operators.files import parent
 from .registry import add
 
 # a scan: of four files one is as it was, one has changed, one moved, and one went while another came
-_KIND = F.col("file_id") % 4
-_NEW_PATH = F.when(_KIND == 2, F.concat(F.lit("moved/"), "normalized_path")).when(_KIND == 3, F.concat("normalized_path", F.lit(".flac"))).otherwise(F.col("normalized_path"))
+def _kind():
+    return F.col("file_id") % 4
+
+
+def _new_path():
+    return F.when(_kind() == 2, F.concat(F.lit("moved/"), "normalized_path")).when(_kind() == 3, F.concat("normalized_path", F.lit(".flac"))).otherwise(F.col("normalized_path"))
 
 
 def _known(f):
@@ -21,14 +25,14 @@ def _known(f):
 def _listing(f):
     """What listing the tree would give: each file where it is now, and all folders of then and now as opened."""
     null = lambda kind: F.lit(None).cast(kind)
-    now = f.select(_NEW_PATH.alias("path"), "file_size", F.when(_KIND == 1, 2000).otherwise(1000).cast("long").alias("ms"))
+    now = f.select(_new_path().alias("path"), "file_size", F.when(_kind() == 1, 2000).otherwise(1000).cast("long").alias("ms"))
     files = now.select(parent(F.col("path")).alias("folder"), F.lit("file").alias("kind"), "path", F.col("file_size").alias("size"), F.col("ms").alias("modified_ms"), null("string").alias("note"))
     folders = files.select("folder").union(f.select(parent(F.col("normalized_path")))).distinct()
     return files.union(folders.select("folder", F.lit("listed"), "folder", null("long"), F.lit(1).cast("long"), null("string")))
 
 
 def _described(f):
-    return f.where(_KIND >= 2).select(_NEW_PATH.alias("normalized_path"), F.when(_KIND == 2, F.concat(F.lit("p"), "file_id")).otherwise(F.concat(F.lit("new"), "file_id")).alias("fingerprint"), F.col("duration_seconds").alias("duration"))
+    return f.where(_kind() >= 2).select(_new_path().alias("normalized_path"), F.when(_kind() == 2, F.concat(F.lit("p"), "file_id")).otherwise(F.concat(F.lit("new"), "file_id")).alias("fingerprint"), F.col("duration_seconds").alias("duration"))
 
 
 add(
@@ -177,11 +181,12 @@ add(
 )
 
 # pooling: two scores a segment, one of them not a number now and then
-_ODD = F.when(F.col("segment_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("score_a").cast("double"))
+def _odd():
+    return F.when(F.col("segment_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("score_a").cast("double"))
 
 
 def _pooled(mode, omit=True):
-    return lambda s: scores.pool_scores(s.select("file_id", F.array(_ODD, F.when(F.col("file_id") % 3 > 0, F.col("score_b").cast("double"))).alias("scores")), mode, 0.2, omit).withColumn("value", F.round("value", 6) + 0.0)
+    return lambda s: scores.pool_scores(s.select("file_id", F.array(_odd(), F.when(F.col("file_id") % 3 > 0, F.col("score_b").cast("double"))).alias("scores")), mode, 0.2, omit).withColumn("value", F.round("value", 6) + 0.0)
 
 
 _EACH = """
