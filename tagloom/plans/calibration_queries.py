@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import calibrated
 from ..operators import calibration as cal
 from ..operators import sinks
-from .registry import add
+from ..sources.views import with_views
+from .registry import ORACLE_SQL, add
 
 T, SN = ("tags_long",), ("snapshots",)
 #: Scores of two labels; values run from below 0 to above 1.
@@ -131,8 +132,26 @@ def _against(g):
     return g.sparkSession.sql("SELECT * FROM VALUES ('energetic', 'unenergetic'), ('unenergetic', 'energetic'), ('bright', 'mellow'), ('mellow', 'bright') AS t(label, other)")
 
 
-# greedy by the order of keys; tests hold it against a mirror in Python
+# greedy by the order of keys: SQL goes through each file's outputs one by one
 add("mood_suppression", lambda g: cal.unsuppressed(_outputs(g), _against(g)).withColumn("value", F.round("value", 6)), views=("segments",))
+_GREEDY = """
+, o AS (
+  SELECT head_name, file_id, label, value, tier FROM outs WHERE tier IS NOT NULL
+  UNION ALL SELECT concat('not-', head_name), file_id, concat('un', label), 1 - value, tier FROM outs WHERE tier IS NOT NULL AND label IN ('energetic', 'dark')),
+k AS (SELECT *, concat(head_name, '/', label) AS model_key FROM o),
+best AS (SELECT *, row_number() OVER (PARTITION BY file_id, head_name ORDER BY CASE tier WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, value DESC, model_key) AS nth FROM k),
+rows_of AS (SELECT file_id, list({'k': model_key, 'h': head_name, 'l': label} ORDER BY model_key) AS every FROM best WHERE nth = 1 GROUP BY file_id),
+step AS (
+  SELECT file_id, 0 AS i, CAST([] AS VARCHAR[]) AS gone FROM rows_of
+  UNION ALL
+  SELECT file_id, i + 1, CASE WHEN list_contains(gone, a.k) OR len(later) = 0 THEN gone ELSE list_concat(list_concat(gone, [a.k]), later) END FROM (
+    SELECT s.file_id, i, gone, every[i + 1] AS a, list_transform(list_filter(every, lambda b: b.k > every[i + 1].k AND NOT list_contains(gone, b.k) AND b.h <> every[i + 1].h
+      AND list_contains(['energetic|unenergetic', 'unenergetic|energetic', 'bright|mellow', 'mellow|bright'], concat(every[i + 1].l, '|', b.l))), lambda b: b.k) AS later
+    FROM step s JOIN rows_of r ON r.file_id = s.file_id WHERE i < len(every))),
+final AS (SELECT file_id, max_by(gone, i) AS gone FROM step GROUP BY file_id)
+SELECT b.file_id, model_key, head_name, label, round(value, 6) AS value, tier FROM best b JOIN final f ON f.file_id = b.file_id WHERE nth = 1 AND NOT list_contains(gone, model_key)
+"""
+ORACLE_SQL["mood_suppression"] = with_views("segments").replace("WITH ", "WITH RECURSIVE ", 1) + STATS + _GREEDY
 add(
     "model_opponents",
     lambda f: cal.opponents(f.select(F.col("album").alias("model"), F.col("artist").alias("label")).distinct()),
