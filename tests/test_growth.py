@@ -23,3 +23,11 @@ def plan_of(df):
 
 def test_moves_broadcast_no_table(eager):
     assert "BroadcastHashJoin" not in plan_of(entry.queries()["file_moves"](eager, SMALL))
+
+
+@pytest.mark.parametrize("name", ["files_path_prefix", "files_in_folders", "files_with_tags"])
+def test_paths_and_tags_are_not_broadcast(eager, name):
+    plan = plan_of(entry.queries()[name](eager, SMALL))
+    # tags have a table of three constants, and in this view orders
+    assert "normalized_path" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert "SortMergeJoin" in plan
