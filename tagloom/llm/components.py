@@ -14,17 +14,18 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     Large star: each node's larger neighbours move to its smallest neighbour.
     Small star: each node's smaller neighbours (and itself) do.
     Minima are pre-aggregated, and the join back is one that Spark can split
-    for a node with very many neighbours.
+    for a node with very many neighbours; it is a merge, as a broadcast in each
+    round would have the driver hold tables that grow with the edges.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node without larger neighbours keeps its edge through that neighbour's own entry
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = (
-            edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
         )
     return moved.where("a <> b").distinct()

@@ -118,7 +118,7 @@ def star_links(prints: DataFrame) -> DataFrame:
     mixed = sent.union(_sent(even, _flips(0) + _flips(2))).join(hubs.hint("shuffle_hash"), "variant")
     sent = _sent(even, _flips(1))
     several = sent.groupBy("variant").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    alike = sent.join(several, "variant")
+    alike = sent.join(several.hint("merge"), "variant")
     pairs = mixed.select("fp", "hub").union(alike.select("fp", "hub")).where("fp <> hub")
     return pairs.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct().where(apart("a", "b") <= RADIUS)
 
@@ -138,8 +138,9 @@ def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
     found = kept.write(components(links, kept))
     kept.drop(links)
     # a component is named by a fingerprint until its smallest doc_id is known
-    named = found.join(prints, found.node == prints.fp).groupBy("component").agg(F.min("least").alias("first"))
-    of = found.join(named, "component").select(F.col("node").alias("fp"), "first")
-    of = kept.write(prints.join(of, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id")))
+    # merged: fingerprints are few bytes each, but as many as there are different texts, too many for the driver to broadcast
+    named = found.join(prints.hint("merge"), found.node == prints.fp).groupBy("component").agg(F.min("least").alias("first"))
+    of = found.join(named.hint("merge"), "component").select(F.col("node").alias("fp"), "first")
+    of = kept.write(prints.join(of.hint("merge"), "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id")))
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return keys.join(of, "fp").select("doc_id", fingerprint, "component_id")
+    return keys.join(of.hint("merge"), "fp").select("doc_id", fingerprint, "component_id")

@@ -31,3 +31,16 @@ def test_paths_and_tags_are_not_broadcast(eager, name):
     # tags have a table of three constants, and in this view orders
     assert "normalized_path" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
     assert "SortMergeJoin" in plan
+
+
+def test_simhash_broadcasts_no_fingerprints(eager, monkeypatch):
+    from tagloom.llm import common, simhash
+
+    plans, write = [], common.Kept.write
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common.Kept, "write", lambda self, df: (noted(df), write(self, df))[1])
+    docs = eager.createDataFrame([(i, f"one two three four five six seven eight {i // 2}") for i in range(40)], "doc_id long, text string")
+    out = simhash.near_components(docs)
+    noted(out)
+    assert out.where("component_id <= doc_id").count() == 40
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
