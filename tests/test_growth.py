@@ -44,3 +44,13 @@ def test_simhash_broadcasts_no_fingerprints(eager, monkeypatch):
     noted(out)
     assert out.where("component_id <= doc_id").count() == 40
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_lists_are_fitted_by_several_tasks(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: (seen.append((df.rdd.getNumPartitions(), self.getInitMode())), fit(self, df))[1])
+    rows = entry.queries()["vector_ivf_stored"](spark, SMALL).collect()
+    assert len(rows) == 10
+    assert seen and all(n > 1 and mode == "random" for n, mode in seen)
