@@ -54,3 +54,9 @@ def test_lists_are_fitted_by_several_tasks(spark, monkeypatch):
     rows = entry.queries()["vector_ivf_stored"](spark, SMALL).collect()
     assert len(rows) == 10
     assert seen and all(n > 1 and mode == "random" for n, mode in seen)
+
+
+def test_taste_travels_before_it_is_taken_apart(spark):
+    plan = plan_of(entry.queries()["taste_centroid"](spark, SMALL)).split("== Initial Plan ==")[0]
+    # the plan's root comes first: no exchange above the rows of dimensions
+    assert "Exchange" not in plan[: plan.index("Generate posexplode")]
