@@ -60,3 +60,19 @@ def test_taste_travels_before_it_is_taken_apart(spark):
     plan = plan_of(entry.queries()["taste_centroid"](spark, SMALL)).split("== Initial Plan ==")[0]
     # the plan's root comes first: no exchange above the rows of dimensions
     assert "Exchange" not in plan[: plan.index("Generate posexplode")]
+
+
+def test_shuffles_are_cut_by_the_size_of_the_tables(spark, monkeypatch):
+    from tagloom.sources import views
+
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(views, "PER_PARTITION", 4096, raising=False)
+    try:
+        df = entry.queries()["head_decisions"](spark, SMALL)
+        cut = int(spark.conf.get(initial, None) or 0)
+        assert cut > 4 and df.count() > 0
+        monkeypatch.setattr(views, "PER_PARTITION", 1 << 30)
+        entry.queries()["head_decisions"](spark, SMALL)
+        assert int(spark.conf.get(initial)) == cut
+    finally:
+        spark.conf.unset(initial)
