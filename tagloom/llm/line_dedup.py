@@ -9,8 +9,8 @@ their sets, which are exact, leave out those that can't link; the others'
 Jaccard similarity is computed from the texts, and pairs of THRESHOLD or more
 are united by distributed union-find.
 
-Each bucket's most frequent line is compared with the others first. Lines of buckets
-that still hold several components then are dealt out by two more classes that
+Of a bucket of SMALL members at most all pairs are looked at. A larger one's most
+frequent line is compared with the others first. Lines of larger buckets that still hold several components then are dealt out by two more classes that
 they agree in: as AGREE classes agree, of which a band has two, each pair that is
 left meets so, and no bucket is looked at as a whole. One line of each deal is
 compared with those of other components first; what is still apart then is
@@ -30,7 +30,6 @@ out as they are, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -52,28 +51,14 @@ LEAST = 6
 BITS = 31
 KEY = ("k", "c")
 CLASSES = [f"m{j}" for j in range(BINS)]
+#: Members of a bucket of which all pairs are looked at; of larger ones the hub with the others, and then what is left.
+SMALL = 12
 #: Rounds in which a line of each deal is compared with the rest.
 ROUNDS = 1
 #: 64-bit words that hold the parities of a line's set.
 WORDS = 16
 
 
-def _let(x: Column, of: Callable[[Column], Column]) -> Column:
-    """`of` a value that is computed once."""
-    return F.get(F.transform(F.array(x), of), F.lit(0))
-
-
-def shingles(line: Column) -> Column:
-    """The hashes of a line's character shingles, without repetitions. In UTF-32 each is cut out without a walk over the line."""
-    width = 4 * SHINGLE
-
-    def cut(b: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - width + 1), F.lit(4))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(b, i, width))))
-
-    return _let(F.encode(line, "UTF-32"), cut)
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, place and line of each line that holds a word, with the line's name: 96 bits of hash."""
     texts = docs.where("doc_id is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
@@ -102,16 +87,25 @@ def _agreeing(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.col(f"{a}{m}").eqNullSafe(F.col(f"{b}{m}")).cast("int") for m in CLASSES))
 
 
-def _as(keys: DataFrame, side: str) -> DataFrame:
-    return keys.select(F.col("code").alias(f"{side}code"), F.col("k").alias(f"{side}k"), F.col("c").alias(f"{side}c"), *(F.col(m).alias(f"{side}{m}") for m in CLASSES))
+def _as(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{side}{c}") for c in rows.columns))
+
+
+def _exploded(texts: DataFrame, *more: str) -> DataFrame:
+    """Of each line, with `more` of its columns, the hashes of its shingles as rows `h`, repetitions included: compiled code, where `transform` is not."""
+    whole = texts.select(*more, F.encode("line", "UTF-32").alias("b"))
+    last = F.greatest(F.lit(1), F.octet_length("b") - (4 * SHINGLE - 1))
+    each = whole.select(*more, "b", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("i"))
+    return each.select(*more, F.xxhash64(F.col("b").substr(F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
 
 
-def _parities(texts: DataFrame) -> DataFrame:
+def _parities(texts: DataFrame, n_parts: int) -> DataFrame:
     """Of each line k, c the size n of its set, and for each class of shingles whether it holds an odd number of them, in WORDS words."""
-    each = texts.select(*KEY, F.explode(shingles(F.col("line"))).alias("h"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    each = _exploded(texts.repartition(n_parts, *KEY), *KEY).distinct()
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    return each.groupBy(*KEY).agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(WORDS)))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("word")
+    each = each.select(*KEY, word, bit.alias("bit")).groupBy(*KEY, "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("p"))
+    return each.groupBy(*KEY).agg(F.sum("n").alias("n"), *(F.bit_xor(F.when(F.col("word") == j, F.col("p")).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(WORDS)))
 
 
 def _may_link() -> Column:
@@ -122,39 +116,35 @@ def _may_link() -> Column:
 
 
 class _Verifier:
-    """Texts and parities of lines (k, c), fetched once, and the test of pairs (ak, ac, bk, bc) of them."""
+    """Texts of lines (k, c), fetched once, and the test of pairs (ak, ac, bk, bc) of them."""
 
     def __init__(self, docs: DataFrame, wanted: DataFrame, kept: Kept):
         self.kept, wanted = kept, kept.write(wanted.select(*KEY).distinct())
+        self.n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
         # an inner join: a semi-join would be pushed below the sieve
         self.texts = kept.write(texts.join(wanted.hint("merge"), list(KEY)).dropDuplicates(list(KEY)))
-        self.sets = kept.write(_parities(self.texts))
         kept.drop(wanted)
 
-    def side(self, x: str) -> DataFrame:
-        return self.sets.select(*(F.col(c).alias(f"{x}{c}") for c in self.sets.columns))
-
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those that have THRESHOLD of their union in common, as structs a and b."""
-        close = pairs.join(self.side("a"), ["ak", "ac"]).join(self.side("b"), ["bk", "bc"]).where(_may_link())
-        return self.alike(self.kept.write(close.select("ak", "ac", "bk", "bc")))
-
-    def alike(self, close: DataFrame) -> DataFrame:
-        one, two = (self.texts.select(F.col("k").alias(f"{x}k"), F.col("c").alias(f"{x}c"), F.col("line").alias(f"l{x}")) for x in "ab")
-        sets = F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b"))
-
-        def alike(s: Column) -> Column:
-            both = F.size(F.array_intersect(s["a"], s["b"]))
-            return both >= THRESHOLD * (F.size(s["a"]) + F.size(s["b"]) - both)
-
-        met = close.join(one, ["ak", "ac"]).join(two, ["bk", "bc"]).where(_let(sets, alike))
+        """Those that have THRESHOLD of their union in common, as structs a and b.
+
+        Each pair's texts go to one task, the pairs to as many tasks as shuffles
+        have; a shingle then is one row of its pair, with the sides that hold it.
+        """
+        pairs = self.kept.write(pairs)
+        names = [F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c"), F.lit(side).alias("side")) for x, side in (("a", 1), ("b", 2))]
+        sides = pairs.select(F.xxhash64(*pairs.columns).alias("pair"), F.inline(F.array(*names)))
+        dealt = sides.join(self.texts, list(KEY)).select("pair", "side", "line").repartition(self.n_parts, "pair")
+        held = _exploded(dealt, "pair", "side").groupBy("pair", "h").agg(F.bit_or("side").alias("sides"))
+        alike = held.groupBy("pair").agg(F.count("*").alias("all"), F.count_if(F.col("sides") == 3).alias("both")).where(F.col("both") >= THRESHOLD * F.col("all"))
+        met = pairs.withColumn("pair", F.xxhash64(*pairs.columns)).join(alike, "pair")
         links = self.kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
-        self.kept.drop(close)
+        self.kept.drop(pairs)
         return links
 
     def drop(self) -> None:
-        self.kept.drop(self.texts, self.sets)
+        self.kept.drop(self.texts)
 
 
 def _with_part(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -169,18 +159,18 @@ def _code() -> Column:
     return F.shiftleft((F.lit((1 << 20) - 1) - often).cast("long"), 43).bitwiseOR(F.shiftrightunsigned("k", 21)).alias("code")
 
 
-def _dealt(members: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, found: DataFrame) -> DataFrame:
     """Lines code, k, c of buckets that hold several components besides their first line, dealt out by two more classes: lines that agree in AGREE classes, a band's two among them, meet in a `deal`."""
-    held = members.join(_with_part(near, found), "code").where("code <> hub")
+    held = _with_part(members.where("code <> hub"), found)
     parted = held.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
     left = held.join(parted, "bucket")
     codes = F.array(*(F.lit(i * BINS + j) for i, j in combinations(range(BINS), 2)))
     each = left.select("code", "k", "c", "part", "band", "bucket", F.array(*CLASSES).alias("m"), F.explode(codes).alias("pair"))
     each = each.withColumn("i", F.floor(F.col("pair") / BINS).cast("int")).withColumn("j", F.col("pair") % BINS)
     each = each.where("i div 2 <> band AND j div 2 <> band")
-    dealt = each.select("code", "part", F.xxhash64("bucket", "pair", F.get("m", "i"), F.get("m", "j")).alias("deal"))
+    dealt = each.select("code", "k", "c", "part", F.xxhash64("bucket", "pair", F.get("m", "i"), F.get("m", "j")).alias("deal"))
     several = dealt.groupBy("deal").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("deal")
-    return sieve(dealt, "deal", several, "deal").join(several, "deal").select("deal", "code", "part")
+    return sieve(dealt, "deal", several, "deal").join(several, "deal").select("deal", "code", "k", "c", "part")
 
 
 def _named(pairs: DataFrame, near: DataFrame) -> DataFrame:
@@ -211,45 +201,68 @@ def _left(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("acode").alias("a"), F.col("bcode").alias("b")).distinct()
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs (ak, ac, bk, bc) that agree in AGREE classes: all of a small bucket, of a larger one its hub with the others."""
+    rows = members.select("bucket", "code", *KEY, *CLASSES)
+    small, large = rows.where(F.col("m") <= SMALL), rows.where(F.col("m") > SMALL)
+    all_ = _as(small, "a").join(_as(small, "b"), (F.col("abucket") == F.col("bbucket")) & (F.col("acode") < F.col("bcode")) & (_agreeing("a", "b") >= AGREE))
+    hubs = _as(members.where((F.col("m") > SMALL) & (F.col("code") == F.col("hub"))).select(*rows.columns), "a")
+    around = hubs.join(_as(large, "b"), (F.col("abucket") == F.col("bbucket")) & (F.col("acode") < F.col("bcode")) & (_agreeing("a", "b") >= AGREE))
+    names = ("ak", "ac", "bk", "bc")
+    return all_.select(*names).union(around.select(*names)).distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
+    """The components `found` (node, component), united by `links`: only the components that these name go through the rounds again."""
+    edges = links
+    for x in "ab":
+        of = found.select(F.col("node").alias(x), F.col("component").alias("of"))
+        edges = edges.join(of, x, "left").withColumn(x, F.coalesce("of", x)).drop("of")
+    over = kept.write(components(edges.select("a", "b"), kept))
+    names = over.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    moved = found.join(names, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return kept.write(moved.union(over.join(found.select("node"), "node", "left_anti").select("node", "component")))
+
+
 def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     """k, c and component of each line that resembles a different one; `keys` has each line's name and signature."""
     bands = []
     for j in range(BINS // 2):
         one, two = CLASSES[2 * j], CLASSES[2 * j + 1]
         bands.append(F.when(F.col(one).isNotNull() | F.col(two).isNotNull(), F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), one, two).alias("bucket"))))
-    keys = keys.select("*", _code())
-    banded = keys.select("code", F.inline(F.array_compact(F.array(*bands))))
-    hubs = kept.write(banded.groupBy("bucket").agg(F.min("code").alias("hub"), F.max("code").alias("last")).where("hub <> last").select("bucket", "hub"))
+    banded = keys.select(_code(), *KEY, *CLASSES, F.inline(F.array_compact(F.array(*bands))))
+    hubs = kept.write(banded.groupBy("bucket").agg(F.min("code").alias("hub"), F.count("*").alias("m")).where("m > 1"))
     members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
-    meeting = members.select("code").distinct()
-    near = kept.write(sieve(keys, "code", meeting, "code").join(meeting, "code").select("code", *KEY, *CLASSES))
-    pairs = members.where("code <> hub").select(F.col("hub").alias("acode"), F.col("code").alias("bcode")).distinct()
-    pairs = pairs.join(_as(near, "a"), "acode").join(_as(near, "b"), "bcode").where(_agreeing("a", "b") >= AGREE)
-    pairs = kept.write(pairs.select("ak", "ac", "bk", "bc"))
+    kept.drop(hubs)
+    pairs = kept.write(_pairs(members))
     verifier = _Verifier(docs, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
     links = verifier.links(pairs)
     found = kept.write(components(links, kept))
     verifier.drop()
-    dealt = kept.write(_dealt(members, near, found))
-    names = near.select("code", *KEY)
-    verifier = _Verifier(docs, dealt.select("code").distinct().join(names, "code"), kept)
+    kept.drop(pairs, links)
+    # small buckets are done
+    dealt = kept.write(_dealt(members.where(F.col("m") > SMALL), found))
+    kept.drop(members)
+    names = kept.write(dealt.select("code", *KEY).distinct())
+    verifier = _Verifier(docs, names, kept)
+    sets = kept.write(_parities(verifier.texts, verifier.n_parts).join(names, list(KEY)).drop(*KEY))
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
-            more = verifier.links(_named(_around(dealt, step), names))
+            pairs = _around(dealt, step).join(_as(sets, "a").withColumnRenamed("acode", "a"), "a").join(_as(sets, "b").withColumnRenamed("bcode", "b"), "b").where(_may_link()).select("a", "b")
         else:
             # what hubs could not unite is compared in full
-            sets = verifier.sets.join(names, list(KEY)).drop(*KEY)
-            more = verifier.alike(kept.write(_named(_left(dealt, sets), names)))
+            pairs = _left(dealt, sets)
+        more = verifier.links(_named(pairs, names))
         if not more.isEmpty():
-            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-            found = kept.write(components(edges, kept))
+            found, before = _merged(found, more, kept), found
             if step < ROUNDS:
                 parts = _with_part(names, found).select("code", "part")
                 dealt, old = kept.write(dealt.select("deal", "code").join(parts, "code").select("deal", "code", "part")), dealt
                 kept.drop(old)
+            kept.drop(before)
         kept.drop(more)
     verifier.drop()
-    kept.drop(members, hubs, near, pairs, links, dealt)
+    kept.drop(names, sets, dealt)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
 
 
