@@ -57,12 +57,15 @@ SMALL = 12
 ROUNDS = 1
 #: 64-bit words that hold the parities of a line's set.
 WORDS = 16
+#: ASCII white space.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, place and line of each line that holds a word, with the line's name: 96 bits of hash."""
     texts = docs.where("doc_id is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
-    return texts.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "at", "line", F.xxhash64("line").alias("k"), F.hash("line").alias("c"))
+    # trimming looks at bytes, where a pattern would have the line decoded first
+    return texts.where(F.ltrim("line", F.lit(BLANKS)) != "").select("doc_id", "at", "line", F.xxhash64("line").alias("k"), F.hash("line").alias("c"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -91,17 +94,17 @@ def _as(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{side}{c}") for c in rows.columns))
 
 
-def _exploded(texts: DataFrame, *more: str) -> DataFrame:
-    """Of each line, with `more` of its columns, the hashes of its shingles as rows `h`, repetitions included: compiled code, where `transform` is not."""
-    whole = texts.select(*more, F.encode("line", "UTF-32").alias("b"))
-    last = F.greatest(F.lit(1), F.octet_length("b") - (4 * SHINGLE - 1))
-    each = whole.select(*more, "b", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("i"))
-    return each.select(*more, F.xxhash64(F.col("b").substr(F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
+def _hashes(line: str) -> Column:
+    """The hashes of the shingles of a line, in a column."""
+    last = lambda b: F.greatest(F.lit(1), F.octet_length(b) - (4 * SHINGLE - 1))
+    of = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda i: F.xxhash64(b.substr(i, F.lit(4 * SHINGLE))))
+    # the encoded line is a lambda's variable: a column would be copied whole for each shingle
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), 0)
 
 
-def _parities(texts: DataFrame, n_parts: int) -> DataFrame:
+def _parities(texts: DataFrame) -> DataFrame:
     """Of each line k, c the size n of its set, and for each class of shingles whether it holds an odd number of them, in WORDS words."""
-    each = _exploded(texts.repartition(n_parts, *KEY), *KEY).distinct()
+    each = texts.select(*KEY, F.explode(F.array_distinct(_hashes("line"))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("word")
     each = each.select(*KEY, word, bit.alias("bit")).groupBy(*KEY, "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("p"))
@@ -118,10 +121,9 @@ def _may_link() -> Column:
 class _Verifier:
     """Texts of lines (k, c), fetched once, and the test of pairs (ak, ac, bk, bc) of them."""
 
-    def __init__(self, docs: DataFrame, wanted: DataFrame, kept: Kept):
+    def __init__(self, lines: DataFrame, wanted: DataFrame, kept: Kept):
         self.kept, wanted = kept, kept.write(wanted.select(*KEY).distinct())
-        self.n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        texts = sieve(_lines(docs).select("k", "c", "line"), "k", wanted, "k")
+        texts = sieve(lines.select("k", "c", "line"), "k", wanted, "k")
         # an inner join: a semi-join would be pushed below the sieve
         self.texts = kept.write(texts.join(wanted.hint("merge"), list(KEY)).dropDuplicates(list(KEY)))
         kept.drop(wanted)
@@ -129,19 +131,16 @@ class _Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those that have THRESHOLD of their union in common, as structs a and b.
 
-        Each pair's texts go to one task, the pairs to as many tasks as shuffles
-        have; a shingle then is one row of its pair, with the sides that hold it.
+        Both texts of a pair meet in one row, so that its shingles are held for
+        that row only, and no table of shingles of many pairs is looked up.
         """
-        pairs = self.kept.write(pairs)
-        names = [F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c"), F.lit(side).alias("side")) for x, side in (("a", 1), ("b", 2))]
-        sides = pairs.select(F.xxhash64(*pairs.columns).alias("pair"), F.inline(F.array(*names)))
-        dealt = sides.join(self.texts, list(KEY)).select("pair", "side", "line").repartition(self.n_parts, "pair")
-        held = _exploded(dealt, "pair", "side").groupBy("pair", "h").agg(F.bit_or("side").alias("sides"))
-        alike = held.groupBy("pair").agg(F.count("*").alias("all"), F.count_if(F.col("sides") == 3).alias("both")).where(F.col("both") >= THRESHOLD * F.col("all"))
-        met = pairs.withColumn("pair", F.xxhash64(*pairs.columns)).join(alike, "pair")
-        links = self.kept.write(met.select(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab")))
-        self.kept.drop(pairs)
-        return links
+        for x in "ab":
+            pairs = pairs.join(_as(self.texts, x), [f"{x}k", f"{x}c"])
+        names = [F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")).alias(x) for x in "ab"]
+        hashed = pairs.select(*names, _hashes("aline").alias("one"), _hashes("bline").alias("two"))
+        alike = F.size(F.array_intersect("one", "two")) >= THRESHOLD * F.size(F.array_union("one", "two"))
+        # written before they are filtered: a filter would move down and compute all of it twice
+        return self.kept.write(hashed.select("a", "b", alike.alias("alike")))
 
     def drop(self) -> None:
         self.kept.drop(self.texts)
@@ -224,7 +223,7 @@ def _merged(found: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
     return kept.write(moved.union(over.join(found.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
+def line_components(lines: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     """k, c and component of each line that resembles a different one; `keys` has each line's name and signature."""
     bands = []
     for j in range(BINS // 2):
@@ -235,24 +234,25 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
     members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
     kept.drop(hubs)
     pairs = kept.write(_pairs(members))
-    verifier = _Verifier(docs, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
+    verifier = _Verifier(lines, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
     links = verifier.links(pairs)
-    found = kept.write(components(links, kept))
+    found = kept.write(components(links.where("alike").select("a", "b"), kept))
     verifier.drop()
     kept.drop(pairs, links)
     # small buckets are done
     dealt = kept.write(_dealt(members.where(F.col("m") > SMALL), found))
     kept.drop(members)
     names = kept.write(dealt.select("code", *KEY).distinct())
-    verifier = _Verifier(docs, names, kept)
-    sets = kept.write(_parities(verifier.texts, verifier.n_parts).join(names, list(KEY)).drop(*KEY))
+    verifier = _Verifier(lines, names, kept)
+    sets = kept.write(_parities(verifier.texts).join(names, list(KEY)).drop(*KEY))
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
             pairs = _around(dealt, step).join(_as(sets, "a").withColumnRenamed("acode", "a"), "a").join(_as(sets, "b").withColumnRenamed("bcode", "b"), "b").where(_may_link()).select("a", "b")
         else:
             # what hubs could not unite is compared in full
             pairs = _left(dealt, sets)
-        more = verifier.links(_named(pairs, names))
+        met = verifier.links(_named(pairs, names))
+        more = met.where("alike").select("a", "b")
         if not more.isEmpty():
             found, before = _merged(found, more, kept), found
             if step < ROUNDS:
@@ -260,7 +260,7 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
                 dealt, old = kept.write(dealt.select("deal", "code").join(parts, "code").select("deal", "code", "part")), dealt
                 kept.drop(old)
             kept.drop(before)
-        kept.drop(more)
+        kept.drop(met)
     verifier.drop()
     kept.drop(names, sets, dealt)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
@@ -269,17 +269,18 @@ def line_components(docs: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id and `drop`, the places of the lines that go."""
     kept = Kept(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    keys = kept.write(signatures(_lines(docs)))
-    near = line_components(docs, keys, kept)
+    # texts are split once; what follows reads the columns that it needs
+    lines = kept.write(_lines(docs.select("doc_id", "text")))
+    keys = kept.write(signatures(lines))
+    near = line_components(lines, keys, kept)
     united = keys.join(near, list(KEY), "left").where("times > 1 or component is not null")
     united = kept.write(united.select("k", "c", F.coalesce("component", F.struct("k", "c")).alias("component")))
-    occurrences = sieve(_lines(docs).select("doc_id", "at", "k", "c"), "k", united, "k").join(united, list(KEY))
+    occurrences = sieve(lines.select("doc_id", "at", "k", "c"), "k", united, "k").join(united, list(KEY))
     occurrences = kept.write(occurrences.select("doc_id", "at", F.xxhash64("component.k", "component.c").alias("h"), "component"))
     stays = occurrences.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("stay"))
     gone = occurrences.join(stays, "component").where(F.struct("doc_id", "at") != F.col("stay"))
     out = kept.write(gone.groupBy("doc_id").agg(F.collect_set("at").alias("drop")))
-    kept.drop(keys, united, occurrences)
+    kept.drop(lines, keys, united, occurrences)
     return out
 
 
