@@ -10,9 +10,12 @@ Jaccard similarity is computed from the texts, and pairs of THRESHOLD or more
 are united by distributed union-find.
 
 Of a bucket of SMALL members at most all pairs are looked at. A larger one's most
-frequent line is compared with the others first. Lines of larger buckets that still hold several components then are dealt out by two more classes that
+frequent line is compared with the others first. Of larger buckets that still hold
+several components then, those of MEDIUM members at most have their pairs of
+different components listed; each line's first pair is verified before the others.
+Lines of still larger ones are dealt out by two more classes that
 they agree in: as AGREE classes agree, of which a band has two, each pair that is
-left meets so, and no bucket is looked at as a whole. One line of each deal is
+left meets so, and no such bucket is looked at as a whole. One line of each deal is
 compared with those of other components first; what is still apart then is
 compared in full, behind the exact bounds.
 
@@ -53,6 +56,8 @@ KEY = ("k", "c")
 CLASSES = [f"m{j}" for j in range(BINS)]
 #: Members of a bucket of which all pairs are looked at; of larger ones the hub with the others, and then what is left.
 SMALL = 12
+#: Members of a bucket of which the pairs that its hub left apart are listed at once; lines of larger ones are dealt out, as rows for each pair of classes.
+MEDIUM = 256
 #: Rounds in which a line of each deal is compared with the rest.
 ROUNDS = 1
 #: 64-bit words that hold the parities of a line's set.
@@ -158,11 +163,23 @@ def _code() -> Column:
     return F.shiftleft((F.lit((1 << 20) - 1) - often).cast("long"), 43).bitwiseOR(F.shiftrightunsigned("k", 21)).alias("code")
 
 
-def _dealt(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Lines code, k, c of buckets that hold several components besides their first line, dealt out by two more classes: lines that agree in AGREE classes, a band's two among them, meet in a `deal`."""
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines, with their part, of buckets that hold several components besides their first line."""
     held = _with_part(members.where("code <> hub"), found)
     parted = held.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-    left = held.join(parted, "bucket")
+    return held.join(parted.hint("merge"), "bucket")
+
+
+def _listed(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of codes, with their names, of lines of one bucket and different components that agree in AGREE classes."""
+    rows = apart.select("bucket", "code", *KEY, "part", *CLASSES)
+    one, two = _as(rows, "a"), _as(rows, "b")
+    met = one.join(two, (F.col("abucket") == F.col("bbucket")) & (F.col("acode") < F.col("bcode")) & (F.col("apart") != F.col("bpart")) & (_agreeing("a", "b") >= AGREE))
+    return met.select(F.col("acode").alias("a"), "ak", "ac", F.col("bcode").alias("b"), "bk", "bc").distinct()
+
+
+def _dealt(left: DataFrame) -> DataFrame:
+    """Lines code, k, c that `_apart` gives, dealt out by two more classes: lines that agree in AGREE classes, a band's two among them, meet in a `deal`."""
     codes = F.array(*(F.lit(i * BINS + j) for i, j in combinations(range(BINS), 2)))
     each = left.select("code", "k", "c", "part", "band", "bucket", F.array(*CLASSES).alias("m"), F.explode(codes).alias("pair"))
     each = each.withColumn("i", F.floor(F.col("pair") / BINS).cast("int")).withColumn("j", F.col("pair") % BINS)
@@ -200,6 +217,14 @@ def _left(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("acode").alias("a"), F.col("bcode").alias("b")).distinct()
 
 
+def _parted(listed: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs of codes (a, b) whose lines are in different components."""
+    parts = _with_part(names, found).select("code", "part")
+    for x in "ab":
+        listed = listed.join(parts.select(F.col("code").alias(x), F.col("part").alias(f"of_{x}")), x)
+    return listed.where("of_a <> of_b").select("a", "b")
+
+
 def _pairs(members: DataFrame) -> DataFrame:
     """Pairs (ak, ac, bk, bc) that agree in AGREE classes: all of a small bucket, of a larger one its hub with the others."""
     rows = members.select("bucket", "code", *KEY, *CLASSES)
@@ -223,35 +248,21 @@ def _merged(found: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
     return kept.write(moved.union(over.join(found.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def line_components(lines: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
-    """k, c and component of each line that resembles a different one; `keys` has each line's name and signature."""
-    bands = []
-    for j in range(BINS // 2):
-        one, two = CLASSES[2 * j], CLASSES[2 * j + 1]
-        bands.append(F.when(F.col(one).isNotNull() | F.col(two).isNotNull(), F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), one, two).alias("bucket"))))
-    banded = keys.select(_code(), *KEY, *CLASSES, F.inline(F.array_compact(F.array(*bands))))
-    hubs = kept.write(banded.groupBy("bucket").agg(F.min("code").alias("hub"), F.count("*").alias("m")).where("m > 1"))
-    members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
-    kept.drop(hubs)
-    pairs = kept.write(_pairs(members))
-    verifier = _Verifier(lines, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
-    links = verifier.links(pairs)
-    found = kept.write(components(links.where("alike").select("a", "b"), kept))
-    verifier.drop()
-    kept.drop(pairs, links)
-    # small buckets are done
-    dealt = kept.write(_dealt(members.where(F.col("m") > SMALL), found))
-    kept.drop(members)
-    names = kept.write(dealt.select("code", *KEY).distinct())
+def _second(lines: DataFrame, found: DataFrame, listed: DataFrame, dealt: DataFrame, names: DataFrame, kept: Kept) -> DataFrame:
+    """The components `found`, united by what links `listed` pairs and lines that are `dealt` out; `names` has the lines of both."""
     verifier = _Verifier(lines, names, kept)
     sets = kept.write(_parities(verifier.texts).join(names, list(KEY)).drop(*KEY))
+    bounded = lambda pairs: pairs.join(_as(sets, "a").withColumnRenamed("acode", "a"), "a").join(_as(sets, "b").withColumnRenamed("bcode", "b"), "b").where(_may_link()).select("a", "b")
+    listed, old = kept.write(bounded(listed.select("a", "b"))), listed
+    kept.drop(old)
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
-            pairs = _around(dealt, step).join(_as(sets, "a").withColumnRenamed("acode", "a"), "a").join(_as(sets, "b").withColumnRenamed("bcode", "b"), "b").where(_may_link()).select("a", "b")
+            # as copies resemble their original, the first of a line's pairs mostly spares the others
+            pairs = bounded(_around(dealt, step)).union(listed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         else:
             # what hubs could not unite is compared in full
-            pairs = _left(dealt, sets)
-        met = verifier.links(_named(pairs, names))
+            pairs = _left(dealt, sets).union(_parted(listed, names, found))
+        met = verifier.links(_named(pairs.distinct(), names))
         more = met.where("alike").select("a", "b")
         if not more.isEmpty():
             found, before = _merged(found, more, kept), found
@@ -262,7 +273,36 @@ def line_components(lines: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
             kept.drop(before)
         kept.drop(met)
     verifier.drop()
-    kept.drop(names, sets, dealt)
+    kept.drop(names, sets, listed, dealt)
+    return found
+
+
+def line_components(lines: DataFrame, keys: DataFrame, kept: Kept) -> DataFrame:
+    """k, c and component of each line that resembles a different one; `keys` has each line's name and signature."""
+    bands = F.array(*(F.when(F.col(one).isNotNull() | F.col(two).isNotNull(), F.xxhash64(F.lit(j), one, two)) for j, (one, two) in enumerate(zip(CLASSES[::2], CLASSES[1::2], strict=True))))
+    # an array of numbers is taken apart in compiled code
+    banded = keys.select(_code(), *KEY, *CLASSES, F.posexplode(bands).alias("band", "bucket")).where("bucket is not null")
+    hubs = kept.write(banded.groupBy("bucket").agg(F.min("code").alias("hub"), F.count("*").alias("m")).where("m > 1"))
+    members = kept.write(sieve(banded, "bucket", hubs, "bucket").join(hubs, "bucket"))
+    kept.drop(hubs)
+    pairs = kept.write(_pairs(members))
+    verifier = _Verifier(lines, pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"))).alias("key")).select("key.*"), kept)
+    links = verifier.links(pairs)
+    found = kept.write(components(links.where("alike").select("a", "b"), kept))
+    verifier.drop()
+    kept.drop(pairs, links)
+    # small buckets are done
+    apart = kept.write(_apart(members.where(F.col("m") > SMALL), found))
+    kept.drop(members)
+    listed = kept.write(_listed(apart.where(F.col("m") <= MEDIUM)))
+    dealt = kept.write(_dealt(apart.where(F.col("m") > MEDIUM)))
+    kept.drop(apart)
+    either = [listed.select(F.col(x).alias("code"), F.col(f"{x}k").alias("k"), F.col(f"{x}c").alias("c")) for x in "ab"]
+    names = kept.write(dealt.select("code", *KEY).union(either[0]).union(either[1]).distinct())
+    if names.isEmpty():
+        kept.drop(listed, dealt, names)
+    else:
+        found = _second(lines, found, listed, dealt, names, kept)
     return found.select("node.k", "node.c", F.struct("component.k", "component.c").alias("component"))
 
 
@@ -273,7 +313,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = kept.write(_lines(docs.select("doc_id", "text")))
     keys = kept.write(signatures(lines))
     near = line_components(lines, keys, kept)
-    united = keys.join(near, list(KEY), "left").where("times > 1 or component is not null")
+    # lines that occur once and resemble none take no part
+    united = keys.where("times > 1").select(*KEY).join(near.hint("merge"), list(KEY), "full")
     united = kept.write(united.select("k", "c", F.coalesce("component", F.struct("k", "c")).alias("component")))
     occurrences = sieve(lines.select("doc_id", "at", "k", "c"), "k", united, "k").join(united, list(KEY))
     occurrences = kept.write(occurrences.select("doc_id", "at", F.xxhash64("component.k", "component.c").alias("h"), "component"))
